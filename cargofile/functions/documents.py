@@ -7,7 +7,7 @@ from operator import add
 
 from pyspark.sql import Column, functions as F
 
-from cargofile.functions.text import strip, clean
+from cargofile.functions.text import strip
 
 # Mod-11 weights of the two public id schemes.
 CNPJ_WEIGHTS = (
@@ -27,52 +27,67 @@ def digits_only(c: Column) -> Column:
 
 def document(c: Column) -> Column:
     """Digits of an id column; null when the cell is missing or holds no digit."""
-    return F.nullif(digits_only(clean(c)), F.lit(""))
+    return F.nullif(digits_only(c), F.lit(""))
 
 
-def _digit(d: Column, pos: int) -> Column:
-    # ascii() of a missing position is 0, so no cast can fail under ANSI mode.
-    return F.ascii(F.substring(d, pos, 1)) - 48
+def _check_sql(d: str, weights: tuple[int, ...]) -> str:
+    """Check digit as SQL: (11 - weighted sum mod 11), where 10 and 11 mean 0.
 
+    Summed in doubles: exact at this size, and free of the overflow checks that integer
+    arithmetic compiles to under ANSI mode, which keeps the generated code small.  ascii()
+    of a missing position is 0, so no cast can fail.
+    """
+    total = " + ".join(f"ascii(substr({d}, {i + 1}, 1)) * {w}D" for i, w in enumerate(weights))
+    return f"((11D - ({total} - {48 * sum(weights)}D) % 11D) % 11D % 10D)"
 
-def _check(d: Column, weights: tuple[int, ...]) -> Column:
-    rest = reduce(add, [_digit(d, i + 1) * w for i, w in enumerate(weights)]) % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
 
+def _valid(d: Column | str, size: int, weights) -> Column:
+    """mod-11 test of a column (given by name: one parsed expression) or of any Column."""
+    test = lambda v: (
+        f"coalesce(length({v}) = {size} AND replace({v}, left({v}, 1), '') <> ''"
+        f" AND ascii(substr({v}, {size - 1}, 1)) = 48 + {_check_sql(v, weights[0])}"
+        f" AND ascii(substr({v}, {size}, 1)) = 48 + {_check_sql(v, weights[1])}, false)")
+    if isinstance(d, str):
+        return F.expr(test(d))
+    # A one-element array binds any expression to a name without repeating it.
+    return F.exists(F.array(d), lambda v: _valid_column(v, size, weights))
+
+
+def _valid_column(v: Column, size: int, weights) -> Column:
+    code = lambda i: F.ascii(F.substring(v, i, 1))
+
+    def digit(w):
+        total = reduce(add, [code(i + 1) * float(x) for i, x in enumerate(w)])
+        return (11.0 - (total - 48.0 * sum(w)) % 11.0) % 11.0 % 10.0
 
-def _valid(d: Column, size: int, weights) -> Column:
-    same = F.replace(d, F.left(d, F.lit(1)), F.lit("")) == ""
     ok = (
-        (F.length(d) == size)
-        & ~same
-        & (_digit(d, size - 1) == _check(d, weights[0]))
-        & (_digit(d, size) == _check(d, weights[1]))
-    )
+        (F.length(v) == size) & (F.replace(v, F.left(v, F.lit(1)), F.lit("")) != "")
+        & (code(size - 1) == 48 + digit(weights[0])) & (code(size) == 48 + digit(weights[1])))
     return F.coalesce(ok, F.lit(False))
 
 
-def is_valid_cnpj(digits: Column) -> Column:
+def is_valid_cnpj(digits: Column | str) -> Column:
     return _valid(digits, 14, CNPJ_WEIGHTS)
 
 
-def is_valid_cpf(digits: Column) -> Column:
+def is_valid_cpf(digits: Column | str) -> Column:
     return _valid(digits, 11, CPF_WEIGHTS)
 
 
-def is_valid_for_field(digits: Column, accept_cpf: bool) -> Column:
-    ok = is_valid_cnpj(digits)
-    return ok | is_valid_cpf(digits) if accept_cpf else ok
+def is_valid_for_field(name: str, accept_cpf: bool) -> Column:
+    ok = is_valid_cnpj(name)
+    return ok | is_valid_cpf(name) if accept_cpf else ok
 
 
-def is_zero_filled_cpf(digits: Column) -> Column:
+def is_zero_filled_cpf(name: str) -> Column:
     """A 14-digit value that really is a person id with leading filler."""
-    tail = F.right(digits, F.lit(11))
-    hit = is_valid_cpf(tail) | (digits.startswith("000") & (tail != "0" * 11))
+    digits = F.col(name)
+    hit = is_valid_cpf(f"right({name}, 11)") | (digits.startswith("000") & (F.right(digits, F.lit(11)) != "0" * 11))
     return F.coalesce((F.length(digits) == 14) & hit, F.lit(False))
 
 
-def cpf_from_cnpj(digits: Column) -> Column:
-    return F.when(is_zero_filled_cpf(digits), F.right(digits, F.lit(11)))
+def cpf_from_cnpj(name: str) -> Column:
+    return F.when(is_zero_filled_cpf(name), F.right(F.col(name), F.lit(11)))
 
 
 # Words that mark a company name.
@@ -93,9 +108,9 @@ def document_type(digits: Column) -> Column:
     return F.when(n == 11, "CPF").when(n == 14, "CNPJ").otherwise("DESCONHECIDO")
 
 
-def valid_type(digits: Column) -> Column:
+def valid_type(name: str) -> Column:
     """CNPJ / CPF when the checksum holds, else null."""
-    return F.when(is_valid_cnpj(digits), "CNPJ").when(is_valid_cpf(digits), "CPF")
+    return F.when(is_valid_cnpj(name), "CNPJ").when(is_valid_cpf(name), "CPF")
 
 
 def loose_id(c: Column) -> Column:
@@ -109,14 +124,14 @@ def fixed_document(digits: Column) -> Column:
     return F.lpad(F.coalesce(digits, F.lit("")), 14, " ")
 
 
-def document_class(digits: Column) -> Column:
+def document_class(name: str) -> Column:
     """Quality class of an id."""
-    n = F.length(digits)
+    digits = F.col(name)
     return (
         F.when(digits.isNull() | (digits == ""), "vazio")
-        .when(is_valid_cnpj(digits), "cnpj_valido")
-        .when(is_valid_cpf(digits), "cpf_valido")
-        .when(is_zero_filled_cpf(digits), "cpf_com_zeros")
-        .when(n.isin(11, 14), "checksum_invalido")
+        .when(is_valid_cnpj(name), "cnpj_valido")
+        .when(is_valid_cpf(name), "cpf_valido")
+        .when(is_zero_filled_cpf(name), "cpf_com_zeros")
+        .when(F.length(digits).isin(11, 14), "checksum_invalido")
         .otherwise("tamanho_invalido")
     )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cargofile.schema import MISSING_TOKENS, MONTHS, ACTIVITIES
 
@@ -46,14 +46,25 @@ _ACC_SRC, _ACC_DST = _accent_pairs()
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
+def _accents_to_ascii(c: Column) -> Column:
+    plain = F.translate(c, _ACC_SRC + "".join(_SINGLE), _ACC_DST + "".join(_SINGLE.values()))
+    return F.when(c.rlike(_NON_ASCII), plain).otherwise(c)
+
+
+def _rest_to_ascii(c: Column) -> Column:
+    """Letter by letter; only for text that still holds characters without a plain form."""
+    table = F.create_map(*[F.lit(x) for kv in _MULTI.items() for x in kv])
+    spelled = F.array_join(
+        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
+    return F.when(c.rlike(_NON_ASCII), F.regexp_replace(spelled, _NON_ASCII + "+", "")).otherwise(c)
+
+
 def to_ascii(c: Column) -> Column:
-    """Transliterate to ASCII; what has no ASCII form is dropped."""
-    full = F.regexp_replace(c, r"\p{Mn}+", "")
-    for ch, rep in _MULTI.items():
-        full = F.replace(full, F.lit(ch), F.lit(rep))
-    full = F.translate(full, _ACC_SRC + "".join(_SINGLE), _ACC_DST + "".join(_SINGLE.values()))
-    full = F.regexp_replace(full, _NON_ASCII + "+", "")
-    return F.when(c.rlike(_NON_ASCII), full).otherwise(c)
+    """Transliterate to ASCII; what has no ASCII form is dropped.
+
+    Plain ASCII passes untouched and accents cost one translate().
+    """
+    return _rest_to_ascii(_accents_to_ascii(c))
 
 
 def fold_accents(c: Column) -> Column:
@@ -69,7 +80,7 @@ def strip(c: Column) -> Column:
 def clean(c: Column) -> Column:
     """Trimmed text, or null when blank or one of the missing-value tokens."""
     t = strip(c)
-    return F.when((t != "") & ~F.upper(t).isin(*MISSING_TOKENS), t)
+    return F.when(~F.upper(t).isin("", *MISSING_TOKENS), t)
 
 
 def collapse(c: Column) -> Column:
@@ -82,6 +93,16 @@ def flat_text(c: Column) -> Column:
     return collapse(F.regexp_replace(collapse(up), r"[^\x20-\x7E]+", ""))
 
 
+def flatten_columns(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """flat_text() of many columns in steps, so that no step repeats an expensive input."""
+    one_line = {k: F.translate(c, "\n\r\t", "   ") for k, c in texts.items()}
+    df = df.withColumns(one_line)
+    df = df.withColumns({k: _accents_to_ascii(F.col(k)) for k in texts})
+    df = df.withColumns({k: _rest_to_ascii(F.col(k)) for k in texts})
+    return df.withColumns({
+        k: collapse(F.regexp_replace(collapse(F.upper(k)), r"[^\x20-\x7E]+", "")) for k in texts})
+
+
 def fixed_text(c: Column, width: int) -> Column:
     return F.rpad(F.coalesce(flat_text(c), F.lit("")), width, " ")
 

@@ -52,26 +52,39 @@ def first_invoice(lines: DataFrame) -> DataFrame:
 
 # --- L2 ----------------------------------------------------------------------------------
 
-def document_field_error(raw: Column, field: str, accept_cpf: bool) -> Column:
-    """Problem of a 14-position id field, or null (L2)."""
-    d = D.digits_only(raw)
+# 14-position id fields of a line: helper name → first position.
+ID_FIELDS = {"_id3": 3, "_id25": 25, "_id107": 107, "_id191": 191}
+
+
+def with_id_fields(lines: DataFrame) -> DataFrame:
+    """Raw text, digits and checksums of the id fields, each computed once."""
+    out = lines.withColumns({k: F.substring("value", pos, 14) for k, pos in ID_FIELDS.items()})
+    out = out.withColumns({f"{k}_d": D.digits_only(F.col(k)) for k in ID_FIELDS})
+    return out.withColumns(
+        {f"{k}_cnpj": D.is_valid_cnpj(f"{k}_d") for k in ID_FIELDS}
+        | {f"{k}_cpf": D.is_valid_cpf(f"{k}_d") for k in ID_FIELDS}
+        | {f"{k}_tail": D.is_valid_cpf(f"right({k}_d, 11)") for k in ID_FIELDS})
+
+
+def document_field_error(name: str, field: str, accept_cpf: bool) -> Column:
+    """Problem of a 14-position id field, or null (L2); reads with_id_fields() columns."""
+    raw, d = F.col(name), F.col(f"{name}_d")
     n = F.length(d)
     expected = ("CPF valido (11 digitos) ou CNPJ valido (14 digitos)" if accept_cpf
                 else "CNPJ valido (14 digitos)")
-    wrong_length = F.lit(f"{field} deve conter {expected} apos remover espacos.")
     out = (
         F.when(raw.rlike("[^ 0-9]"),
                F.lit(f"{field} contem caracteres invalidos; use apenas digitos e espacos de padding."))
         .when(F.trim(raw) == "", F.lit(f"{field} vazio."))
-        .when(n == 14, F.when(D.is_valid_cnpj(d), F.lit(None).cast("string"))
-              .when(D.is_valid_cpf(F.right(d, F.lit(11))), _cat(
-                  f"{field} contem CPF preenchido com zeros a esquerda (", d,
-                  "); o sistema interpreta esse valor como CNPJ invalido."))
-              .otherwise(_cat(f"{field} invalido: ", d, ".")))
+        .when((n == 14) & F.col(f"{name}_cnpj"), F.lit(None).cast("string"))
+        .when((n == 14) & F.col(f"{name}_tail"), _cat(
+            f"{field} contem CPF preenchido com zeros a esquerda (", d,
+            "); o sistema interpreta esse valor como CNPJ invalido."))
+        .when(n == 14, _cat(f"{field} invalido: ", d, "."))
     )
     if accept_cpf:
-        out = out.when(n == 11, F.when(~D.is_valid_cpf(d), _cat(f"{field} invalido: ", d, ".")))
-    return out.otherwise(wrong_length)
+        out = out.when(n == 11, F.when(~F.col(f"{name}_cpf"), _cat(f"{field} invalido: ", d, ".")))
+    return out.otherwise(F.lit(f"{field} deve conter {expected} apos remover espacos."))
 
 
 def modal_error(modal: Column) -> Column:
@@ -120,9 +133,9 @@ def _line_rules() -> list[Column]:
         F.when(X.has_lower(v), F.lit("linha contem letras minusculas; o manual exige dados alfanumericos em MAIUSCULO.")),
         F.when(X.has_non_ascii(v), F.lit("linha contem caracteres nao ASCII/acentuados proibidos pelo manual.")),
         wrong_width,
-        F.when(tn, document_field_error(at(3, 14), "CPF/CNPJ Contratante", True)),
-        F.when(tn, document_field_error(at(107, 14), "CPF/CNPJ Origem Carga", False)),
-        F.when(tn, document_field_error(at(191, 14), "CPF/CNPJ Destino Carga", True)),
+        F.when(tn, document_field_error("_id3", "CPF/CNPJ Contratante", True)),
+        F.when(tn, document_field_error("_id107", "CPF/CNPJ Origem Carga", False)),
+        F.when(tn, document_field_error("_id191", "CPF/CNPJ Destino Carga", True)),
         place(275, "Local de Retirada"),
         place(276, "Local de Entrega"),
         F.when((t == "CC") & (n >= 103), modal_error(X.strip(F.expr("substr(value, 102)")))),
@@ -130,14 +143,14 @@ def _line_rules() -> list[Column]:
         F.when(ti & ~at(4, 1).isin("O", "D"), _cat("Contratante invalido: '", at(4, 1), "'. Use O ou D.")),
         blank(ti, 5, 10, "Numero NF vazio."),
         blank(ti, 39, 70, "Nome da Empresa vazio."),
-        F.when(ti, document_field_error(at(25, 14), "CPF/CNPJ Empresa", True)),
+        F.when(ti, document_field_error("_id25", "CPF/CNPJ Empresa", True)),
         F.when(ti & ~at(109, 1).isin("P", "A"),
                _cat("Local de Armazenamento invalido: '", at(109, 1), "'. Use apenas P ou A.")),
         blank(pi, 3, 70, "Nome Empresa vazio."),
         F.when(pi & (~at(73, 3).rlike("^[0-9]{3}$") | (at(73, 3) == "000")),
                F.lit("Id do pais invalido; use 3 digitos da tabela oficial.")),
         blank(pi, 76, 70, "Endereco completo vazio."),
-        F.when(la, document_field_error(at(3, 14), "CPF/CNPJ Empresa", True)),
+        F.when(la, document_field_error("_id3", "CPF/CNPJ Empresa", True)),
         blank(la, 17, 70, "Nome Empresa vazio."),
         F.when(~known, _cat("tipo de linha desconhecido: '",
                             F.when(t != "", t).otherwise(F.left(v, F.lit(10))), "'.")),
@@ -152,7 +165,7 @@ def line_errors(lines: DataFrame) -> DataFrame:
         *[F.when(~empty, m) for m in _line_rules()],
     )
     return (
-        with_type(lines)
+        with_id_fields(with_type(lines))
         .select("filing_id", "line_no", "tipo", F.posexplode(rules).alias("ordem", "mensagem"))
         .filter(F.col("mensagem").isNotNull())
     )
@@ -166,10 +179,14 @@ def segment_lines(lines: DataFrame) -> DataFrame:
     ``owner_no`` is the nearest main line (EM/TN/TI) at or before the line, null before the
     first one.  Works on slices of a filing, never on a whole filing in one task.
     """
+    return _with_owner(with_type(lines))
+
+
+def _with_owner(typed: DataFrame) -> DataFrame:
     # Number and type travel as one integer, so every aggregate buffer stays fixed-width.
     code = F.coalesce(*[F.when(F.col("tipo") == t, F.lit(i)) for i, t in enumerate(MAIN_TYPES)])
     owner = F.when(code.isNotNull(), F.col("line_no") * 4 + code)
-    out = ordered.carry_last(with_type(lines), ["filing_id"], "line_no", owner, "_owner")
+    out = ordered.carry_last(typed, ["filing_id"], "line_no", owner, "_owner")
     names = F.array(*[F.lit(t) for t in MAIN_TYPES])
     return out.withColumns({
         "owner_no": F.floor(F.col("_owner") / 4).cast("long"),
@@ -189,23 +206,23 @@ SEGMENT_MESSAGE = {
 
 def dependency_errors(lines: DataFrame, filings: DataFrame | None = None) -> DataFrame:
     """Cross-line rules (L3).  ``filings`` lists expected filings so that empty ones show up."""
-    typed = with_type(lines)
-    v = F.col("value")
-    seg = segment_lines(lines)
-    # Needs come from the main line itself, presence from any line of its segment: integer
-    # flags only, reduced map-side to one row per main record.
-    flag = lambda cond: F.max(F.when(cond, 1).otherwise(0))
-    own = F.col("line_no") == F.col("owner_no")
-    tn = own & (F.col("tipo") == "TN") & (F.length(v) >= WIDTH["TN"])
-    ti = own & (F.col("tipo") == "TI") & (F.length(v) >= WIDTH["TI"])
+    # Needs come from the main line itself, presence from any line of its segment.  Both are
+    # small flags computed in the scan, so line texts are never shuffled or sorted.
+    v, t = F.col("value"), F.col("tipo")
+    tn = (t == "TN") & (F.length(v) >= WIDTH["TN"])
+    ti = (t == "TI") & (F.length(v) >= WIDTH["TI"])
+    need = {"LR": tn & (F.substring(v, 275, 1) == "A"), "LE": tn & (F.substring(v, 276, 1) == "A"),
+            "PI": ti, "LA": ti & (F.substring(v, 109, 1) == "A")}
+    typed = with_type(lines).select(
+        "filing_id", "line_no", "tipo",
+        *[F.when(cond, 1).otherwise(0).alias(f"need_{k}") for k, cond in need.items()])
+    seg = _with_owner(typed)
+    flag = lambda c: F.max(F.when(c, 1).otherwise(0))
     parts = (
         seg.filter(F.col("owner_tipo").isin("TN", "TI"))
         .groupBy("filing_id", "owner_no", "owner_tipo").agg(
-            flag(tn & (F.substring(v, 275, 1) == "A")).alias("need_LR"),
-            flag(tn & (F.substring(v, 276, 1) == "A")).alias("need_LE"),
-            flag(ti).alias("need_PI"),
-            flag(ti & (F.substring(v, 109, 1) == "A")).alias("need_LA"),
-            *[flag(F.col("tipo") == t).alias(f"has_{t}") for t in SEGMENT_MESSAGE])
+            *[F.max(f"need_{k}").alias(f"need_{k}") for k in SEGMENT_MESSAGE],
+            *[flag(t == k).alias(f"has_{k}") for k in SEGMENT_MESSAGE])
     )
     rules = F.array(*[
         F.when((F.col(f"need_{t}") == 1) & (F.col(f"has_{t}") == 0), F.lit(text))

@@ -26,7 +26,7 @@ def resolution_problems(records: DataFrame, resolutions: DataFrame) -> DataFrame
     pending = pending_documents(records).select(*KEY, "campo_label", "aceita_cpf").distinct()
     answers = _answers(resolutions)
     doc = F.col("documento")
-    ok = F.when(F.col("aceita_cpf"), D.is_valid_for_field(doc, True)).otherwise(D.is_valid_for_field(doc, False))
+    ok = F.when(F.col("aceita_cpf"), D.is_valid_for_field("documento", True)).otherwise(D.is_valid_for_field("documento", False))
     matched = pending.join(answers, KEY, "left").withColumn("_ok", ok)
     unknown = answers.join(pending, KEY, "left_anti").select(
         *KEY, F.lit("pendencia_inexistente").alias("problema"),
@@ -47,7 +47,7 @@ def apply_resolutions(records: DataFrame, resolutions: DataFrame) -> DataFrame:
     hits = (
         pending_documents(records).select("seq", *KEY, "aceita_cpf")
         .join(_answers(resolutions), KEY)
-        .filter(F.when(F.col("aceita_cpf"), D.is_valid_for_field(doc, True)).otherwise(D.is_valid_for_field(doc, False)))
+        .filter(F.when(F.col("aceita_cpf"), D.is_valid_for_field("documento", True)).otherwise(D.is_valid_for_field("documento", False)))
         .groupBy("filing_id", "seq")
         .agg(*[F.max(F.when(F.col("campo") == f"{p}_cnpj", doc)).alias(f"_{p}") for p in PARTIES])
     )

@@ -65,8 +65,8 @@ def prepare(records: DataFrame) -> DataFrame:
     out = records.withColumns(cols)
     checks = {}
     for p in PARTIES:
-        checks[f"_{p}_cnpj_ok"] = D.is_valid_cnpj(F.col(f"_{p}_doc"))
-        checks[f"_{p}_cpf_ok"] = D.is_valid_cpf(F.col(f"_{p}_doc"))
+        checks[f"_{p}_cnpj_ok"] = D.is_valid_cnpj(f"_{p}_doc")
+        checks[f"_{p}_cpf_ok"] = D.is_valid_cpf(f"_{p}_doc")
     return out.withColumns(checks)
 
 
@@ -334,7 +334,7 @@ def document_quality(records: DataFrame) -> DataFrame:
     counted = (
         _party_rows(records)
         .select("filing_id", F.concat("parte", F.lit("_cnpj")).alias("campo"),
-                D.document_class(F.col("documento")).alias("classe"),
+                D.document_class("documento").alias("classe"),
                 F.when(D.looks_like_person(F.col("nome")), "pessoa").otherwise("empresa").alias("nome_parece"))
         .groupBy("filing_id", "campo", "classe", "nome_parece").agg(F.count(F.lit(1)).alias("_n"))
     )

@@ -7,6 +7,8 @@ in ``cargofile.plans.oracle``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cargofile.functions.documents import CNPJ_WEIGHTS, CPF_WEIGHTS
@@ -152,23 +154,111 @@ filings as (
   from (select distinct nation, yy, mm from joined) j join reporters r on j.nation = r.nation)"""
 
 
+def _ascii(n: str) -> str:
+    return f"translate({n}, 'ÚÍÉÃÓÊ', 'UIEAOE')"
+
+
+# One row per (record, sub) without a second table: each engine has its own spelling.
+_SUBS = {"spark": "lateral view explode(array({0})) s as sub", "duckdb": ", unnest([{0}]) as s(sub)"}
+
+# raw_lines: written filings with one kind of defect per line or filing (ordem is unique per filing).
+RAW_LINES = f"""{FREIGHT},{FILINGS},
+line_base as (
+  select concat('F', lpad(cast(nation as string), 2, '0'), '-', yy, '-', mm) as filing_id, cast(seq as bigint) as seq, h,
+         h % 29 = 0 as abroad, dmy, pdoc, cdoc, edoc,
+         cast(1000 + l_orderkey % 899000 as string) as nf,
+         {_ascii('cnome')} as cn, {_ascii('enome')} as en, {_ascii('dnome')} as dn,
+         case when h % 179 = 0 then concat('000', pdoc) when h % 181 = 0 then '' when h % 191 = 0 then '12.345.678/000'
+              else ddoc end as dd2,
+         case when h % 173 = 0 then 'Z' when h % 6 = 2 then 'A' else 'P' end as pickup,
+         case when h % 8 = 0 then 'A' else 'P' end as delivery,
+         case h % 64 when 1 then 'ROAE' when 2 then '' when 3 then 'XX' when 4 then 'ROA' when 5 then 'AQZZ' else 'RO' end as modal
+  from joined),
+line_parts as (
+  select filing_id, seq * 8 + sub as ordem, h, sub,
+    case
+      when sub = 1 and not abroad then concat('TN', lpad(cdoc, 14, ' '), rpad(cn, 70, ' '), rpad(nf, 10, ' '), rpad(dmy, 10, ' '),
+           lpad(edoc, 14, ' '), rpad(en, 70, ' '), lpad(dd2, 14, ' '), rpad(dn, 70, ' '), pickup, delivery)
+      when sub = 2 and not abroad and h % 13 <> 0 then concat('CC', lpad(cast(1 + h % 1000000 as string), 9, '0'), dmy, dmy,
+           rpad(concat('MARIA ', dn), 70, ' '), modal)
+      when sub = 3 and not abroad and pickup = 'A' and h % 4 <> 1 then concat('LR', cdoc, rpad(cn, 70, ' '))
+      when sub = 4 and not abroad and delivery = 'A' and h % 3 <> 1 then concat('LE', edoc, rpad(en, 70, ' '))
+      when sub = 5 and not abroad and h % 127 = 0 then concat('PI', rpad(dn, 70, ' '), '056', rpad('RUE NORTE', 70, ' '))
+      when sub = 1 and abroad then concat('TI', case when h % 37 = 1 then 'X' else 'E' end, case when h % 41 = 1 then 'X' else 'O' end,
+           rpad(case when h % 43 = 1 then '' else nf end, 10, ' '), rpad(dmy, 10, ' '), lpad(edoc, 14, ' '),
+           rpad(case when h % 31 = 2 then '' else en end, 70, ' '), case when h % 2 = 0 then 'A' else 'P' end)
+      when sub = 2 and abroad and h % 2 = 0 and h % 3 <> 0 then concat('LA', case when h % 5 = 0 then rpad('', 14, ' ') else cdoc end,
+           rpad(case when h % 7 = 1 then '' else cn end, 70, ' '))
+      when sub = 3 and abroad and h % 4 <> 3 then concat('PI', rpad(dn, 70, ' '),
+           case h % 5 when 0 then '000' when 1 then '  5' else '056' end, rpad(case when h % 11 = 0 then '' else 'RUE NORTE' end, 70, ' '))
+      when sub = 6 and h % 199 = 0 then ''
+      when sub = 6 and h % 211 = 0 then 'ZZ123'
+      when sub = 6 and h % 223 = 0 then 'T'
+    end as v
+  from line_base /*subs 1,2,3,4,5,6*/),
+raw_lines as (
+  select filing_id, ordem,
+         case when h % 151 = 0 and sub = 1 then substr(v, 1, 51) when h % 157 = 0 then lower(v)
+              when h % 163 = 0 and sub < 6 then concat(substr(v, 1, 30), 'Ç', substr(v, 32))
+              when h % 167 = 0 and sub < 6 then concat(v, 'X')
+              when h % 193 = 0 and sub < 6 then concat(substr(v, 1, 20), chr(7), substr(v, 22)) else v end as value
+  from line_parts where v is not null
+  union all
+  select filing_id, cast(0 as bigint) as ordem,
+         concat('EM', cnpj, case mes when 1 then 'JAN' when 2 then 'FEV' when 3 then 'MAR' when 4 then 'ABR' when 5 then 'MAI'
+           when 6 then 'JUN' when 7 then 'JUL' when 8 then 'AGO' when 9 then 'SET' when 10 then 'OUT' when 11 then 'NOV' else 'DEZ' end,
+           cast(ano as string), '00000010') as value
+  from filings where (mes * 7 + ano) % 11 <> 0
+  union all
+  select filing_id, cast(9000000000000 as bigint) as ordem, concat('EM', cnpj, 'JAN2020') as value
+  from filings where (mes * 5 + ano) % 13 = 0)"""
+
+# report_pages / report_rows: text blocks and table rows of synthetic reports; `documents` is noise.
+REPORTS = f"""{FREIGHT},
+report_base as (
+  select concat('F', lpad(cast(nation as string), 2, '0'), '-', yy, '-', mm) as filing_id,
+         (l_orderkey * 8 + l_linenumber) * 4 + least(seq % 1024, 3) as page_no, h, dmy,
+         cast(1000 + l_orderkey % 899000 as string) as nf, cast(1 + h % 1000000 as string) as cte,
+         enome, cnome, dnome, edoc, cdoc, ddoc, h % 29 = 0 as abroad,
+         {_masked('edoc')} as emask, {_masked('cdoc')} as cmask,
+         case when length(ddoc) = 11 then concat(substr(ddoc,1,3),'.',substr(ddoc,4,3),'.',substr(ddoc,7,3),'-',substr(ddoc,10,2))
+              else {_masked('ddoc')} end as dmask
+  from joined),
+report_pages as (
+  select filing_id, page_no,
+         concat('NCM: 3824', chr(10), 'EMITENTE', chr(10), enome, chr(10), 'CNPJ/CPF: ', emask, chr(10),
+                'FONE: 1144445555', chr(10), 'CONTRATANTE', chr(10), case when h % 6 = 1 then '' else concat(cnome, chr(10)) end,
+                'CNPJ/CPF: ', case when h % 5 = 0 then cdoc else cmask end, chr(10),
+                'DESTINATÁRIO', chr(10), dnome, chr(10), 'CNPJ/CPF: ', case when abroad then '' else dmask end, chr(10),
+                case when abroad then concat('END: RUE 1', chr(10), 'CEP: 99999-999 CIDADE: EXTERIOR - EX', chr(10)) else '' end,
+                'NF: ', nf, chr(10), 'DATA NF ', dmy, chr(10),
+                case when h % 9 = 4 then '' else concat('Nº CT-E: ', cte, ' DATA: ', dmy, chr(10)) end) as text
+  from report_base
+  union all
+  select concat('DOC', cast(doc_id % 16 as string)) as filing_id, doc_id as page_no, text from {{documents}})"""
+
+
 def _fill(sql: str, **tables: str) -> str:
     return sql.format(**{t: tables.get(t, t) for t in TABLES})
 
 
+def _for_engine(sql: str, engine: str) -> str:
+    return re.sub(r"/\*subs ([0-9,]+)\*/", lambda m: _SUBS[engine].format(m.group(1)), sql)
+
+
 def with_ctes(ctes: str, select: str) -> str:
     return f"with {ctes.strip()}\n{select}"
 
 
 def run_sql(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     """Run fixture SQL over the parquet tables of ``sf_dir``."""
-    sql = with_ctes(ctes, select)
+    sql = _for_engine(with_ctes(ctes, select), "spark")
     used = [t for t in TABLES if "{" + t + "}" in sql]
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def duck_sql(ctes: str, select: str) -> str:
-    return _fill(with_ctes(ctes, select))
+    return _fill(_for_engine(with_ctes(ctes, select), "duckdb"))
 
 
 def freight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,3 +267,19 @@ def freight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, f"{FREIGHT},{FILINGS}", "select * from filings")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines with physical line numbers (numbered by the library, W4)."""
+    raw = run_sql(spark, sf_dir, RAW_LINES, "select filing_id, ordem, value from raw_lines")
+    return ordered.number_rows(raw, ["filing_id"], "ordem", "line_no").select("filing_id", "line_no", "value")
+
+
+# The same numbering for the SQL side.
+LINES = f"""{RAW_LINES},
+lines as (
+  select filing_id, row_number() over (partition by filing_id order by ordem) as line_no, value from raw_lines)"""
+
+
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, REPORTS, "select * from report_pages")
