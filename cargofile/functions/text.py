@@ -46,13 +46,25 @@ _ACC_SRC, _ACC_DST = _accent_pairs()
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
-def _accents_to_ascii(c: Column) -> Column:
-    plain = F.translate(c, _ACC_SRC + "".join(_SINGLE), _ACC_DST + "".join(_SINGLE.values()))
-    return F.when(c.rlike(_NON_ASCII), plain).otherwise(c)
+def _translation(upper: bool) -> tuple[str, str]:
+    """One translate() table: blanks → space, accents and single letters → ASCII, other
+    control characters dropped (they come last, beyond the end of the target)."""
+    pairs = {c: " " for c in "\n\r\t\x0b\x0c\x1c\x1d\x1e\x1f"}
+    pairs |= dict(zip(_ACC_SRC, _ACC_DST)) | _SINGLE
+    if upper:
+        pairs = {c: r.upper() for c, r in pairs.items()}
+        pairs |= {c: c.upper() for c in "abcdefghijklmnopqrstuvwxyz"}
+    dropped = "".join(chr(i) for i in [*range(1, 9), *range(0x0E, 0x1C), *range(0x7F, 0xA0)])
+    return "".join(pairs) + dropped, "".join(pairs.values())
 
 
-def _rest_to_ascii(c: Column) -> Column:
-    """Letter by letter; only for text that still holds characters without a plain form."""
+_PLAIN_TABLE, _UPPER_TABLE = _translation(False), _translation(True)
+# Already one line of printable upper-case ASCII with single blanks inside.
+_FLAT = r"^[!-`{-~]+(?: [!-`{-~]+)*$"
+
+
+def _spell_out(c: Column) -> Column:
+    """ASCII letter by letter; only for text that still holds characters without a plain form."""
     table = F.create_map(*[F.lit(x) for kv in _MULTI.items() for x in kv])
     spelled = F.array_join(
         F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
@@ -60,11 +72,8 @@ def _rest_to_ascii(c: Column) -> Column:
 
 
 def to_ascii(c: Column) -> Column:
-    """Transliterate to ASCII; what has no ASCII form is dropped.
-
-    Plain ASCII passes untouched and accents cost one translate().
-    """
-    return _rest_to_ascii(_accents_to_ascii(c))
+    """Transliterate to ASCII; what has no ASCII form is dropped."""
+    return F.when(c.rlike(_NON_ASCII), _spell_out(F.translate(c, *_PLAIN_TABLE))).otherwise(c)
 
 
 def fold_accents(c: Column) -> Column:
@@ -83,24 +92,36 @@ def clean(c: Column) -> Column:
     return F.when(~F.upper(t).isin("", *MISSING_TOKENS), t)
 
 
+def clean_columns(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """clean() of many columns, trimmed in one step and tested in the next."""
+    df = df.withColumns({k: strip(F.col(c)) for k, c in texts.items()})
+    return df.withColumns({
+        k: F.when((F.length(k) > 4) | ~F.upper(k).isin("", *MISSING_TOKENS), F.col(k)) for k in texts})
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _flatten(c: Column) -> Column:
+    full = F.upper(_spell_out(F.translate(c, *_UPPER_TABLE)))
+    return F.when(c.rlike(_FLAT), c).otherwise(F.trim(F.regexp_replace(full, " {2,}", " ")))
+
+
 def flat_text(c: Column) -> Column:
     """Upper-case ASCII on one line, single blanks, printable characters only."""
-    up = F.upper(to_ascii(F.translate(c, "\n\r\t", "   ")))
-    return collapse(F.regexp_replace(collapse(up), r"[^\x20-\x7E]+", ""))
+    return _flatten(c)
 
 
 def flatten_columns(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     """flat_text() of many columns in steps, so that no step repeats an expensive input."""
-    one_line = {k: F.translate(c, "\n\r\t", "   ") for k, c in texts.items()}
-    df = df.withColumns(one_line)
-    df = df.withColumns({k: _accents_to_ascii(F.col(k)) for k in texts})
-    df = df.withColumns({k: _rest_to_ascii(F.col(k)) for k in texts})
+    df = df.withColumns(texts)
+    df = df.withColumns({
+        k: F.when(F.col(k).rlike(_FLAT), F.col(k)).otherwise(F.translate(F.col(k), *_UPPER_TABLE)) for k in texts})
+    df = df.withColumns({
+        k: F.when(F.col(k).rlike(_NON_ASCII), F.upper(_spell_out(F.col(k)))).otherwise(F.col(k)) for k in texts})
     return df.withColumns({
-        k: collapse(F.regexp_replace(collapse(F.upper(k)), r"[^\x20-\x7E]+", "")) for k in texts})
+        k: F.when(F.col(k).rlike("^ |  | $"), F.trim(F.regexp_replace(k, " {2,}", " "))).otherwise(F.col(k)) for k in texts})
 
 
 def fixed_text(c: Column, width: int) -> Column:
@@ -122,10 +143,29 @@ def fixed_alnum(c: Column, width: int) -> Column:
     return F.rpad(F.when(c != "", body).otherwise(""), width, " ")
 
 
+_KEY = r"^[A-Z0-9]+(?: [A-Z0-9]+)*$"
+
+
+def _key(c: Column) -> Column:
+    """Upper case, no diacritics, runs of anything but letters and digits → one blank.
+
+    One translate() covers Latin text; letters whose capital has several characters (ß) or
+    that come with combining marks take the long way.
+    """
+    quick = F.translate(c, *_KEY_TABLE)
+    long_way = F.upper(c)
+    long_way = F.translate(F.regexp_replace(long_way, r"\p{Mn}+", ""), _ACC_SRC, _ACC_DST)
+    squeeze = lambda x: F.trim(F.regexp_replace(x, "[^A-Z0-9]+", " "))
+    return F.when(c.rlike(_KEY), c).when(~quick.rlike(_NON_ASCII), squeeze(quick)).otherwise(squeeze(long_way))
+
+
+_KEY_TABLE = (
+    _ACC_SRC + "abcdefghijklmnopqrstuvwxyz", _ACC_DST.upper() + "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def name_key(c: Column) -> Column:
     """Comparison key of a name; '' when nothing comparable is left."""
-    folded = fold_accents(F.upper(clean(c)))
-    return F.coalesce(F.trim(F.regexp_replace(folded, "[^A-Z0-9]+", " ")), F.lit(""))
+    return F.coalesce(_key(clean(c)), F.lit(""))
 
 
 # Names that stand for "no name" in the learned memory.
@@ -134,7 +174,7 @@ _PLACEHOLDER_KEYS = ("NAO INFORMADO", "SEM NOME", "N/A", "NA", "NONE", "NULL")
 
 def memory_key(c: Column) -> Column:
     """name_key() variant of the learned memory: placeholder names have no key."""
-    key = F.trim(F.regexp_replace(fold_accents(F.upper(c)), "[^A-Z0-9]+", " "))
+    key = _key(c)
     return F.when(key.isin(*_PLACEHOLDER_KEYS), "").otherwise(F.coalesce(key, F.lit("")))
 
 

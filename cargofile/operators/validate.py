@@ -57,12 +57,10 @@ def _msg(*parts) -> Column:
 
 def prepare(records: DataFrame) -> DataFrame:
     """Add the cleaned helper columns every rule reads (computed once per row)."""
-    cols = {f"_{c}": X.clean(F.col(c)) for c in
-            ("nf_numero", "nf_data", "cte_numero", "cte_data", "recebedor")}
-    for p in PARTIES:
-        cols[f"_{p}_nome"] = X.clean(F.col(f"{p}_nome"))
-        cols[f"_{p}_doc"] = D.document(F.col(f"{p}_cnpj"))
-    out = records.withColumns(cols)
+    texts = {f"_{c}": c for c in ("nf_numero", "nf_data", "cte_numero", "cte_data", "recebedor")}
+    texts |= {f"_{p}_nome": f"{p}_nome" for p in PARTIES}
+    out = X.clean_columns(records, texts).withColumns(
+        {f"_{p}_doc": D.document(F.col(f"{p}_cnpj")) for p in PARTIES})
     checks = {}
     for p in PARTIES:
         checks[f"_{p}_cnpj_ok"] = D.is_valid_cnpj(f"_{p}_doc")

@@ -238,6 +238,47 @@ report_pages as (
   select concat('DOC', cast(doc_id % 16 as string)) as filing_id, doc_id as page_no, text from {{documents}})"""
 
 
+# cells: one report table per page of report_base, one row per cell; two product rows, one of
+# them in the header row.  Cell texts follow the report's own wording.
+CELLS = REPORTS[:REPORTS.index(",\nreport_pages as")] + """,
+cells as (
+  select filing_id, page_no, 1 as table_no, cast(floor(sub / 10) as int) as row_no, sub % 10 as col_no,
+    case sub
+      when 0 then concat('EMITENTE: ', enome, chr(10), 'CNPJ/CPF: ', emask, chr(10), 'END: RUA 1')
+      when 1 then concat('DESTINATÁRIO', chr(10), dnome, ' | SP', chr(10),
+                         case when abroad then concat('CNPJ/CPF:', chr(10), 'CEP: 99999-999 CIDADE: EXTERIOR - EX')
+                              when h % 7 = 1 then ddoc else concat('CNPJ/CPF: ', dmask, ' FONE 11') end)
+      when 10 then case when h % 4 = 1 then null when h % 4 = 2 then concat('CONTRATANTE', chr(10), cnome)
+                        else concat('CONTRANTE', chr(10), cnome, ' 0001-22 X', chr(10), 'CNPJ: ', cdoc) end
+      when 11 then concat('Nº CT-E: ', cte, ' DATA: ', dmy, chr(10), 'RECEBEDOR: ',
+                          case h % 3 when 0 then '-' when 1 then 'ASSINATURA' else 'JOSE  LIMA' end,
+                          ' DATA ENTREGA: ', dmy, ' 18:10')
+      when 20 then concat('QUANTIDADE', chr(10), '2.0')
+      when 21 then concat('UNIDADE', chr(10), 'PC')
+      when 22 then case when h % 8 = 5 then 'DATA NF' else concat('DATA NF', chr(10), dmy) end
+      when 23 then concat('NF', chr(10), nf)
+      when 30 then '3.0'
+      when 31 then case when h % 2 = 0 then concat('NF: ', cast(cast(nf as bigint) + 1 as string)) else 'KG' end
+      when 32 then dmy
+      when 33 then case when h % 2 = 0 then 'x' when h % 9 = 1 then 'sem' else concat(' ', cast(cast(nf as bigint) + 1 as string), ' ') end
+    end as cell
+  from report_base /*subs 0,1,10,11,20,21,22,23,30,31,32,33*/)"""
+
+# damaged: tax ids as bad scans show them, and untouched prose that must give nothing.
+DAMAGED = f"""{COMPANY},
+damaged as (
+  select concat('CNPJ ', case k % 5
+      when 0 then concat(replace(substr(doc,1,2),'1','I'), '.', replace(substr(doc,3,3),'0','O'), '.', replace(substr(doc,6,3),'5','S'),
+                         '/', substr(doc,9,4), '-', replace(substr(doc,13,2),'8','B'))
+      when 1 then concat(substr(doc,1,2), '.', substr(doc,3,3), substr(doc,4,1), '.', substr(doc,6,3), '/', substr(doc,9,4), '-', substr(doc,13,2))
+      when 2 then concat(substr(doc,1,2), '.', substr(doc,3,3), '.', substr(doc,6,3), '/', substr(doc,9,4), '-7', substr(doc,13,2))
+      when 3 then concat(substr(doc,1,2), ' .', substr(doc,3,3), '.', substr(doc,6,3), '/', substr(doc,9,4), '-', substr(doc,13,2), ';')
+      else concat(substr(doc,1,1), '.', substr(doc,3,3), '/', substr(doc,9,4)) end, ' fone 1144445555') as text
+  from company
+  union all
+  select text from {{documents}})"""
+
+
 def _fill(sql: str, **tables: str) -> str:
     return sql.format(**{t: tables.get(t, t) for t in TABLES})
 
@@ -283,3 +324,9 @@ lines as (
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, REPORTS, "select * from report_pages")
+
+
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows with their cells as arrays (put together by the library, S1)."""
+    from cargofile.sources.tables import rows_from_cells
+    return rows_from_cells(run_sql(spark, sf_dir, CELLS, "select * from cells"))

@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargofile.plans import fixtures
+from cargofile.plans import dimensions, fixtures
 
 _stored: dict[tuple[str, str, str], str] = {}
 
@@ -49,3 +49,27 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "report_pages", fixtures.report_pages)
+
+
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "report_rows", fixtures.report_rows)
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "registry", dimensions.registry)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "pairs", dimensions.pairs)
+
+
+def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "resolutions", dimensions.resolutions)
+
+
+def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "branches", dimensions.branches)
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "damaged", lambda s, d: fixtures.run_sql(s, d, fixtures.DAMAGED, "select text from damaged"))
