@@ -279,8 +279,10 @@ damaged as (
   select text from {{documents}})"""
 
 
-def _fill(sql: str, **tables: str) -> str:
-    return sql.format(**{t: tables.get(t, t) for t in TABLES})
+def _fill(sql: str) -> str:
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", t)
+    return sql
 
 
 def _for_engine(sql: str, engine: str) -> str:

@@ -1 +1,350 @@
-ORACLE = {}
+"""The registered queries as plain SQL (DuckDB dialect), written apart from the operators."""
+
+from __future__ import annotations
+
+from cargofile.functions.documents import CNPJ_WEIGHTS, CPF_WEIGHTS
+from cargofile.functions.messages import KINDS, OTHER
+from cargofile.plans.dimensions import BRANCHES, LOG, PAIRS, REGISTRY, REQUESTS, RESOLUTIONS
+from cargofile.plans.fixtures import (
+    CELLS, COMPANY, DAMAGED, FILINGS, FREIGHT, LINES, REPORTS, _check, duck_sql,
+)
+from cargofile.schema import COUNTRY_TOKENS, LAYOUT, WIDTH
+
+ORACLE: dict[str, str] = {}
+PARTIES = ("emitente", "contratante", "destinatario")
+ACCENTED, PLAIN = "ÁÉÍÓÚÂÊÔÃÕÇáéíóúâêôãõç", "AEIOUAEOAOCaeiouaeoaoc"
+
+
+# --- expression builders -----------------------------------------------------------------
+
+def digits(c):
+    return f"regexp_replace({c}, '[^0-9]', '', 'g')"
+
+
+def clean(c):
+    return f"(case when upper(trim({c})) in ('','NONE','NULL','N/A','NA','NAN') then null else trim({c}) end)"
+
+
+def cnpj_ok(d):
+    return (f"(case when length({d}) = 14 and replace({d}, substr({d},1,1), '') <> '' then "
+            f"cast(substr({d},13,1) as int) = {_check(d, CNPJ_WEIGHTS[0])} and "
+            f"cast(substr({d},14,1) as int) = {_check(d, CNPJ_WEIGHTS[1])} else false end)")
+
+
+def cpf_ok(d):
+    return (f"(case when length({d}) = 11 and replace({d}, substr({d},1,1), '') <> '' then "
+            f"cast(substr({d},10,1) as int) = {_check(d, CPF_WEIGHTS[0])} and "
+            f"cast(substr({d},11,1) as int) = {_check(d, CPF_WEIGHTS[1])} else false end)")
+
+
+def key(c):
+    return f"coalesce(trim(regexp_replace(translate(upper({c}), '{ACCENTED}', '{PLAIN}'), '[^A-Z0-9]+', ' ', 'g')), '')"
+
+
+def flat(c):
+    t = f"replace(translate({c}, '{ACCENTED}', '{PLAIN}'), '–', '-')"
+    return f"trim(regexp_replace(upper({t}), '\\s+', ' ', 'g'))"
+
+
+def q(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def real_date(v):
+    part = lambda i: f"split_part({v}, '/', {i})"
+    return (f"try_cast(concat({part(3)}, '-', lpad({part(2)}, 2, '0'), '-', lpad({part(1)}, 2, '0')) as date) is not null")
+
+
+# --- records -----------------------------------------------------------------------------
+
+PREP = f"""{FREIGHT},
+prep0 as (
+  select *, coalesce(nf_numero, 'N/A') as nf, {clean('nf_numero')} as c_nf, {clean('nf_data')} as c_nfd,
+         {clean('cte_numero')} as c_cte, {clean('cte_data')} as c_cted, {clean('recebedor')} as c_rec,
+         {', '.join(f"{clean(p + '_nome')} as n_{p}, nullif({digits(p + '_cnpj')}, '') as d_{p}" for p in PARTIES)}
+  from freight),
+prep as (
+  select *, {', '.join(f"{cnpj_ok('d_' + p)} as j_{p}, {cpf_ok('d_' + p)} as f_{p}" for p in PARTIES)} from prep0)"""
+
+
+def _rules():
+    """(ordem, campo, [(condition, severity, message, value)])"""
+    def date(f, v, name, sev):
+        return (f, [
+            (f"{v} is null", sev, f"'{name} data está VAZIA'", "''"),
+            (f"not regexp_matches({v}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$')", sev,
+             f"concat('{name} data formato inválido: ''', {v}, ''' (esperado: dd/mm/aaaa)')", v),
+            (f"not ({real_date(v)})", "ERRO",
+             f"concat('{name} data inválida: ''', {v}, ''' (data não existe no calendário)')", v)])
+    rules = [
+        ("nf_numero", [
+            ("c_nf is null", "CRITICO", "'NF número está VAZIO'", "''"),
+            ("not regexp_matches(c_nf, '^[0-9]{4,6}$')", "CRITICO",
+             "concat('NF número inválido: ''', c_nf, ''' (esperado: 4-6 dígitos numéricos)')", "c_nf")]),
+        date("nf_data", "c_nfd", "NF", "CRITICO"),
+        ("cte_numero", [
+            ("c_cte is null", "ERRO", "'CTe número está VAZIO'", "''"),
+            ("not regexp_matches(c_cte, '^[0-9]{1,9}$')", "ERRO",
+             "concat('CTe número inválido: ''', c_cte, ''' (esperado: 1-9 dígitos numéricos)')", "c_cte")]),
+        date("cte_data", "c_cted", "CTe", "ERRO"),
+    ]
+    labels = {"emitente": "CNPJ Emitente", "contratante": "CNPJ Contratante", "destinatario": "CNPJ Destinatário"}
+    for p in PARTIES:
+        d, lab = f"d_{p}", labels[p]
+        gone = f"{d} is null" + (" and not destinatario_exterior" if p == "destinatario" else "")
+        cases = [(gone, "CRITICO", q(f"{lab} está VAZIO"), "''")]
+        if p == "emitente":
+            cases += [(f"length({d})=11 and f_{p}", "CRITICO",
+                       f"concat('{lab} está como CPF (', {d}, '). Substitua por um CNPJ válido.')", d),
+                      (f"length({d})<>14", "CRITICO",
+                       f"concat('{lab} tamanho inválido: ', cast(length({d}) as string), ' dígitos (esperado: 14).')", d)]
+        else:
+            cases += [(f"length({d})=11 and not f_{p}", "CRITICO",
+                       f"concat('{lab} CPF inválido: ', {d}, ' (não passa na validação Módulo 11)')", d)]
+        cases += [(f"length({d})=14 and not j_{p}", "CRITICO",
+                   f"concat('{lab} CNPJ inválido: ', {d}, ' (não passa na validação Módulo 11)')", d)]
+        if p != "emitente":
+            cases += [(f"length({d}) not in (11,14)", "CRITICO",
+                       f"concat('{lab} tamanho inválido: ', cast(length({d}) as string), "
+                       "' dígitos (esperado: 11 para CPF ou 14 para CNPJ)')", d)]
+        rules.append((lab, cases))
+    for p, lab in (("emitente", "Nome Emitente"), ("contratante", "Nome Contratante"), ("destinatario", "Nome Destinatário")):
+        n = f"n_{p}"
+        rules.append((lab, [
+            (f"{n} is null", "ERRO", q(f"{lab} está VAZIO"), "''"),
+            (f"length({n})<3", "ERRO", f"concat('{lab} muito curto: ''', {n}, ''' (mínimo: 3 caracteres)')", n)]))
+    rules.append(("recebedor", [
+        ("c_rec is null", "CRITICO", "'Recebedor está VAZIO (campo obrigatório)'", "''"),
+        ("length(c_rec)<3", "ERRO", "concat('Recebedor muito curto: ''', c_rec, ''' (mínimo: 3 caracteres)')", "c_rec")]))
+    return rules
+
+
+def _case(cases, i):
+    return "case " + " ".join(f"when {c[0]} then {c[i] if i != 1 else q(c[1])}" for c in cases) + " end"
+
+
+ERRORS = PREP + ", errors as (" + " union all ".join(
+    f"select filing_id, seq, nf as nf_numero, {o} as ordem, {q(f)} as campo, {_case(cs, 2)} as mensagem, "
+    f"{_case(cs, 3)} as valor, {_case(cs, 1)} as severidade from prep where {' or '.join('(' + c[0] + ')' for c in cs)}"
+    for o, (f, cs) in enumerate(_rules())) + ")"
+
+_PLAINNAME = {"emitente": "Emitente", "contratante": "Contratante", "destinatario": "Destinatario"}
+_TITLE = {"emitente": "Emitente", "contratante": "Contratante", "destinatario": "Destinatário"}
+
+
+def _events():
+    out = []
+    for p in PARTIES:
+        if p == "destinatario":
+            out.append(("INFO", f"d_{p} is null and destinatario_exterior",
+                        "'Destinatario exterior sem CPF/CNPJ sera exportado como TI/PI.'", False))
+        extra = " and not destinatario_exterior" if p == "destinatario" else ""
+        out.append(("ACAO_NECESSARIA", f"d_{p} is null{extra}", f"'Documento {_PLAINNAME[p]} ausente no PDF.'", True))
+    out.append(("ATENCAO", "c_cte is null or c_cted is null",
+                "concat('CT-e sem ', case when c_cte is null and c_cted is null then 'numero e data' when c_cte is null then 'numero' "
+                "else 'data' end, '; a linha CC pode nao ser gerada.')", True))
+    for p in ("contratante", "destinatario"):
+        out.append(("INFO", f"length(d_{p})=11 and f_{p}",
+                    f"concat('{_TITLE[p]} com CPF válido (', d_{p}, ') será exportado no campo de 14 posições sem zero-fill.')", False))
+    for p in ("destinatario", "contratante", "emitente"):
+        out.append(("ATENCAO", f"d_{p} is not null and length(coalesce(n_{p},''))<2",
+                    f"concat('CNPJ ', d_{p}, ' ({_TITLE[p]}) está sem nome.')", True))
+    d = "d_emitente"
+    out.append(("ACAO_NECESSARIA", f"length({d})=11 and f_emitente", f"concat('Emitente está como CPF (', {d}, ') no lugar de CNPJ.')", True))
+    out.append(("ACAO_NECESSARIA", f"length({d})<>14 and not (length({d})=11 and f_emitente)",
+                f"concat('CNPJ Emitente com tamanho inválido (', cast(length({d}) as string), ' dígitos).')", True))
+    out.append(("ACAO_NECESSARIA", f"length({d})=14 and not j_emitente", f"concat('CNPJ Emitente inválido (', {d}, ').')", True))
+    return out
+
+
+AUDIT = ", audit as (" + " union all ".join(
+    f"select filing_id, seq, nf, {o} as ordem, '{t}' as tipo, {m} as mensagem, {'true' if n else 'false'} as conta_ajuste from prep where {c}"
+    for o, (t, c, m, n) in enumerate(_events())) + ")"
+
+PARTY_ROWS = PREP + ", party_rows as (" + " union all ".join(
+    f"select filing_id, seq, nf, destinatario_exterior, {i} as f, '{p}' as campo, d_{p} as doc, n_{p} as nome, {p}_nome as bruto, "
+    f"{key('n_' + p)} as nome_key from prep" for i, p in enumerate(PARTIES)) + ")"
+
+ORACLE["document_quality"] = duck_sql(PARTY_ROWS + f""",
+classed as (
+  select filing_id, concat(campo, '_cnpj') as campo,
+    case when doc is null then 'vazio' when {cnpj_ok('doc')} then 'cnpj_valido' when {cpf_ok('doc')} then 'cpf_valido'
+         when length(doc)=14 and ({cpf_ok('right(doc,11)')} or (substr(doc,1,3)='000' and right(doc,11)<>'00000000000')) then 'cpf_com_zeros'
+         when length(doc) in (11,14) then 'checksum_invalido' else 'tamanho_invalido' end as classe,
+    case when regexp_matches(concat(' ', upper(trim(coalesce(bruto,''))), ' '),
+              '\\s(LTDA|EIRELI|SA|S\\.A\\.|S/A|SOCIEDADE|EMPRESA|COMERCIO|COMÉRCIO|ME|EPP)\\s') then 'empresa' else 'pessoa' end as nome_parece
+  from party_rows)""",
+    "select filing_id, campo, classe, nome_parece, count(*) as n from classed "
+    "group by rollup (campo, classe, nome_parece, filing_id)")
+ORACLE["record_errors"] = duck_sql(ERRORS, "select * from errors")
+ORACLE["record_errors_fail_fast"] = duck_sql(
+    ERRORS, "select * exclude (ordem, rn) from (select *, row_number() over (partition by filing_id, seq order by ordem) as rn from errors) where rn = 1")
+
+RECEIVER = """,
+rec0 as (
+  select *, c_rec is null or upper(c_rec) in ('ASSINATURA','ASSINADO','ASSINADO E CARIMBADO','RUBRICA','CARIMBO','ASS','NAO INFORMADO')
+         or not regexp_matches(upper(c_rec), '[A-Z0-9]') or length(c_rec) < 3 as rec_bad,
+         coalesce(case when length(n_destinatario) >= 3 then n_destinatario end, case when length(n_contratante) >= 3 then n_contratante end,
+                  case when length(n_emitente) >= 3 then n_emitente end) as pick
+  from prep),
+rec as (
+  select filing_id, seq, case when not rec_bad then recebedor else coalesce(pick, case when c_rec is null then 'NAO INFORMADO' else recebedor end) end as recebedor,
+         rec_bad and (c_rec is null or coalesce(pick <> c_rec, false)) as recebedor_corrigido
+  from rec0)"""
+ORACLE["repair_receiver"] = duck_sql(PREP + RECEIVER, "select * from rec")
+
+# Statistics are taken after the receiver repair, so the receiver rule sees repaired values.
+STATS_CTES = (PREP + RECEIVER + ERRORS.replace(PREP, "", 1) + AUDIT + """,
+errs2 as (
+  select e.filing_id, e.seq, e.severidade from errors e where e.campo <> 'recebedor'
+  union all
+  select filing_id, seq, case when recebedor is null or trim(recebedor) = '' then 'CRITICO' else 'ERRO' end
+  from rec where recebedor is null or length(trim(recebedor)) < 3),
+per as (
+  select p.filing_id, p.seq, coalesce(e.n, 0) as n_erros, coalesce(e.c, 0) as n_crit, coalesce(a.n, 0) as n_aj, r.recebedor_corrigido as fixed
+  from prep p join rec r on p.filing_id = r.filing_id and p.seq = r.seq
+  left join (select filing_id, seq, count(*) as n, sum(case when severidade = 'CRITICO' then 1 else 0 end) as c from errs2 group by all) e
+    on p.filing_id = e.filing_id and p.seq = e.seq
+  left join (select filing_id, seq, count(*) as n from audit where conta_ajuste group by all) a on p.filing_id = a.filing_id and p.seq = a.seq),
+stats as (
+  select filing_id, count(*) as total_aprovados, cast(sum(case when fixed then 1 else 0 end) as bigint) as total_corrigidos,
+    cast(sum(case when n_erros > 0 then 1 else 0 end) as bigint) as total_com_erros,
+    cast(sum(case when n_crit > 0 then 1 else 0 end) as bigint) as total_com_erros_criticos,
+    cast(sum(n_erros) as bigint) as total_erros_encontrados, cast(sum(n_aj) as bigint) as total_ajustes_manuais
+  from per group by filing_id)""")
+ORACLE["run_statistics"] = duck_sql(STATS_CTES, """select *, cast(0 as bigint) as total_rejeitados,
+  greatest(total_aprovados - total_com_erros_criticos, 0) as sucessos, greatest(total_com_erros_criticos, 0) as falhas,
+  false as tem_rejeicoes, total_corrigidos > 0 as tem_correcoes, total_com_erros > 0 as tem_erros,
+  total_com_erros_criticos > 0 as tem_erros_criticos from stats""")
+ORACLE["errors_by_severity"] = duck_sql(ERRORS, """select filing_id, seq, nf_numero as nf, severidade, count(*) as n,
+  string_agg(mensagem, chr(10) order by ordem) as mensagens from errors group by all""")
+ORACLE["errors_by_invoice"] = duck_sql(ERRORS + """,
+last as (select filing_id, nf_numero, max(seq) as seq from errors group by all)""",
+    """select e.filing_id, e.nf_numero as nf, count(*) as n_erros,
+  string_agg(concat('[', severidade, '] ', campo, ': ', mensagem), chr(10) order by ordem) as erros
+  from errors e join last l on e.filing_id = l.filing_id and e.nf_numero = l.nf_numero and e.seq = l.seq group by all""")
+ORACLE["audit_events"] = duck_sql(PREP + AUDIT, "select * exclude (ordem) from audit")
+
+_MERGED = ("nf_numero", "nf_data", "emitente_cnpj", "emitente_nome", "contratante_cnpj", "contratante_nome", "destinatario_cnpj",
+           "destinatario_nome", "cte_numero", "cte_data", "data_entrega")
+ORACLE["dedup_merge"] = duck_sql(PREP + """,
+keyed_rows as (select *, coalesce(c_nf, concat('CTE_', c_cte)) as chave from prep where c_nf is not null or c_cte is not null),
+merged as (
+  select filing_id, chave, min(seq) as seq, count(*) as n_registros, bool_or(destinatario_exterior) as destinatario_exterior,
+  """ + ", ".join(f"arg_min({c}, seq) filter (where {clean(c)} is not null) as {c}" for c in _MERGED + ("recebedor",)) + """
+  from keyed_rows group by filing_id, chave)""",
+    f"""select * replace (coalesce(recebedor, {clean('destinatario_nome')}, {clean('contratante_nome')}, {clean('emitente_nome')}, 'NAO INFORMADO') as recebedor)
+  from merged""")
+
+# --- enrichment --------------------------------------------------------------------------
+
+INDEX = PARTY_ROWS + """,
+idx as (
+  select filing_id, campo, nome_key, doc, count(*) as n from party_rows
+  where length(doc) = 14 and doc <> '00000000000000' and length(nome_key) >= 8 group by all)"""
+ORACLE["batch_name_index"] = duck_sql(INDEX, "select * from idx")
+
+_DIMS = "," + REGISTRY + "," + PAIRS
+RANKED = """,
+ativos as (select campo, nome_key, documento, nome_original, ocorrencias from pairs where status = 'ativo'),
+glob as (select nome_key, documento, sum(ocorrencias) as ocorrencias, min(nome_original) as nome_original from ativos group by all),
+lead_field as (
+  select campo, nome_key, arg_max(documento, ocorrencias) as doc, max(ocorrencias) as top, sum(ocorrencias) as total, count(*) as n,
+         coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from ativos group by all),
+mem_field as (
+  select campo, nome_key, doc from lead_field
+  where (n = 1 or top >= sec + 2) and top >= 2 and top / total >= case campo when 'destinatario' then 0.70 else 0.65 end),
+mem_global as (
+  select nome_key, doc from (select nome_key, arg_max(documento, ocorrencias) as doc, max(ocorrencias) as top, count(*) as n,
+         coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from glob group by all) where n = 1 or top >= sec + 2),
+mem_nome as (
+  select documento as doc, nome from (select documento, arg_max(nome_original, ocorrencias) as nome, max(ocorrencias) as top, count(*) as n,
+         coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from glob group by all) where n = 1 or top >= sec + 2)"""
+FIXES = INDEX + _DIMS + RANKED + f""",
+open_rows as (select * from party_rows where not (campo = 'destinatario' and destinatario_exterior)),
+missing as (select * from open_rows where (doc is null or doc = '00000000000000') and length(nome) >= 8),
+quest as (select distinct filing_id, campo, nome_key from missing where length(nome_key) >= 8),
+ex as (select filing_id, campo, nome_key, case when count(distinct doc) = 1 then min(doc) end as doc from idx group by all),
+near as (
+  select q.filing_id, q.campo, q.nome_key, case when count(distinct i.doc) = 1 then min(i.doc) end as doc
+  from quest q join idx i on q.filing_id = i.filing_id and q.campo = i.campo
+    and (contains(q.nome_key, i.nome_key) or contains(i.nome_key, q.nome_key))
+  where length(q.nome_key) >= 12 group by all),
+reg as (select doc, {key('nome')} as rk from registry),
+regkeys as (select distinct nome_key from quest),
+reg_ex as (select nome_key, count(*) as n, min(doc) as doc from regkeys join reg on rk = nome_key group by all),
+reg_near as (
+  select nome_key, count(*) as n, min(doc) as doc from regkeys join reg on
+    (contains(nome_key, rk) or contains(rk, nome_key)) and least(length(nome_key), length(rk)) >= 12 group by all),
+answers as (
+  select q.*, ex.doc as d1, near.doc as d2, coalesce(rx.n, 0) as rn,
+         case when coalesce(rx.n, 0) = 1 then rx.doc when coalesce(rx.n, 0) = 0 and rr.n = 1 then rr.doc end as d3, mf.doc as d4
+  from quest q left join ex on ex.filing_id = q.filing_id and ex.campo = q.campo and ex.nome_key = q.nome_key
+  left join near on near.filing_id = q.filing_id and near.campo = q.campo and near.nome_key = q.nome_key
+  left join reg_ex rx on rx.nome_key = q.nome_key left join reg_near rr on rr.nome_key = q.nome_key
+  left join mem_field mf on mf.campo = q.campo and mf.nome_key = q.nome_key),
+answered as (
+  select filing_id, campo, nome_key, coalesce(d1, d2, case when rn > 1 then null else coalesce(d3, d4) end) as doc_novo,
+         case when d1 is not null then 'lote_exato' when d2 is not null then 'lote_contido' when d3 is not null then 'registro' else 'memoria' end as origem
+  from answers),
+nameless as (select * from open_rows where length(doc) = 14 and length(coalesce(nome, '')) < 2),
+named as (
+  select n.*, coalesce(r.nome, m.nome) as nome_novo from nameless n left join registry r on r.doc = n.doc left join mem_nome m on m.doc = n.doc
+  where coalesce(r.nome, m.nome) is not null),
+fixes as (
+  select filing_id, seq, campo, cast(null as string) as doc_novo, nome_novo, 'nome' as origem from named
+  union all
+  select m.filing_id, m.seq, m.campo, a.doc_novo, cast(null as string), a.origem
+  from missing m join answered a on m.filing_id = a.filing_id and m.campo = a.campo and m.nome_key = a.nome_key where a.doc_novo is not null)"""
+
+
+def _filled(source, cols):
+    new = {f"{p}_cnpj": f"coalesce(x.doc_{p}, f.{p}_cnpj)" for p in PARTIES} | {f"{p}_nome": f"coalesce(x.nome_{p}, f.{p}_nome)" for p in PARTIES}
+    picks = ", ".join(f"max(case when campo='{p}' then doc_novo end) as doc_{p}, max(case when campo='{p}' then nome_novo end) as nome_{p}" for p in PARTIES)
+    return (f"select f.filing_id, f.seq, {', '.join(new[c] + ' as ' + c for c in cols)}, coalesce(x.n, 0) as n_campos from freight f left join "
+            f"(select filing_id, seq, count(*) as n, {picks} from {source} group by all) x on f.filing_id = x.filing_id and f.seq = x.seq")
+
+
+ORACLE["fill_documents"] = duck_sql(FIXES, _filled("fixes", [f"{p}_{k}" for p in PARTIES for k in ("cnpj", "nome")]))
+ORACLE["document_sources"] = duck_sql(FIXES, "select filing_id, campo, origem, count(*) as n from fixes group by all")
+ORACLE["names_from_registry"] = duck_sql(FIXES + ", only_names as (select * from fixes where origem = 'nome')",
+                                         _filled("only_names", [f"{p}_nome" for p in PARTIES]))
+ORACLE["document_known"] = duck_sql(PARTY_ROWS + _DIMS, """select distinct doc,
+  doc in (select doc from registry) or doc in (select documento from pairs) as conhecido from party_rows where doc is not null""")
+ORACLE["memory_lookup"] = duck_sql(COMPANY + "," + PAIRS + RANKED, """select nome_key as key, campo, doc from mem_field
+  union all select nome_key, '', doc from mem_global""")
+
+# --- pendings and resolutions ------------------------------------------------------------
+
+PENDING = PARTY_ROWS + """,
+pend as (
+  select filing_id, seq, f, coalesce(nullif(trim(nf), ''), 'N/A') as nf, concat(campo, '_cnpj') as campo,
+    case campo when 'emitente' then 'Origem/Emitente' when 'contratante' then 'Contratante' else 'Destino/Destinatario' end as campo_label,
+    coalesce(bruto, '') as nome, campo <> 'emitente' as aceita_cpf, false as exterior, false as pode_autorizar_vazio
+  from party_rows where doc is null and not (campo = 'destinatario' and destinatario_exterior))"""
+ORACLE["pending_documents"] = duck_sql(PENDING, "select * exclude (f) from pend")
+ORACLE["pending_messages"] = duck_sql(PENDING + """,
+ranked as (select *, row_number() over (partition by filing_id order by seq, f) as rn, count(*) over (partition by filing_id) as tot from pend)""",
+    """select filing_id, any_value(tot) as n_pendencias, concat(string_agg(concat('NF ', nf, ' (', campo_label, ')'), ', ' order by rn),
+  case when any_value(tot) > 5 then concat(', ... +', cast(any_value(tot) - 5 as string)) else '' end) as mensagem
+  from ranked where rn <= 5 group by filing_id""")
+ANSWERS = PENDING + "," + RESOLUTIONS + f""",
+ans0 as (select filing_id, nf_numero as nf, campo, {digits("coalesce(documento, '')")} as documento from resolutions),
+ans as (select *, {cnpj_ok('documento')} as okj, {cpf_ok('documento')} as okf from ans0),
+pk as (select distinct filing_id, nf, campo, campo_label, aceita_cpf from pend)"""
+ORACLE["resolution_problems"] = duck_sql(ANSWERS, """
+select filing_id, nf, campo, 'pendencia_inexistente' as problema,
+  concat('Documento informado para pendencia inexistente: NF ', nf, ' (', campo, ').') as mensagem
+  from ans a where not exists (select 1 from pk where pk.filing_id = a.filing_id and pk.nf = a.nf and pk.campo = a.campo)
+union all
+select pk.filing_id, pk.nf, pk.campo, case when a.documento is null then 'documento_faltante' else 'documento_invalido' end,
+  case when a.documento is null then concat('NF ', pk.nf, ' (', campo_label, ')')
+       else concat('NF ', pk.nf, ': ', campo_label, ' exige ', case when aceita_cpf then 'CPF ou CNPJ valido' else 'CNPJ valido' end, '.') end
+  from pk left join ans a on pk.filing_id = a.filing_id and pk.nf = a.nf and pk.campo = a.campo
+  where a.documento is null or not (okj or (aceita_cpf and okf))""")
+ORACLE["apply_resolutions"] = duck_sql(ANSWERS + """,
+hits as (
+  select p.filing_id, p.seq, """ + ", ".join(f"max(case when p.campo = '{p}_cnpj' then documento end) as a_{p}" for p in PARTIES) + """
+  from pend p join ans a on p.filing_id = a.filing_id and p.nf = a.nf and p.campo = a.campo where okj or (p.aceita_cpf and okf) group by all)""",
+    "select f.filing_id, f.seq, " + ", ".join(f"coalesce(a_{p}, {p}_cnpj) as {p}_cnpj" for p in PARTIES) +
+    " from freight f left join hits h on f.filing_id = h.filing_id and f.seq = h.seq")
