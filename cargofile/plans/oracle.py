@@ -247,7 +247,7 @@ ORACLE["batch_name_index"] = duck_sql(INDEX, "select * from idx")
 _DIMS = "," + REGISTRY + "," + PAIRS
 RANKED = """,
 ativos as (select campo, nome_key, documento, nome_original, ocorrencias from pairs where status = 'ativo'),
-glob as (select nome_key, documento, sum(ocorrencias) as ocorrencias, min(nome_original) as nome_original from ativos group by all),
+all_fields as (select nome_key, documento, sum(ocorrencias) as ocorrencias, min(nome_original) as nome_original from ativos group by all),
 lead_field as (
   select campo, nome_key, arg_max(documento, ocorrencias) as doc, max(ocorrencias) as top, sum(ocorrencias) as total, count(*) as n,
          coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from ativos group by all),
@@ -256,10 +256,10 @@ mem_field as (
   where (n = 1 or top >= sec + 2) and top >= 2 and top / total >= case campo when 'destinatario' then 0.70 else 0.65 end),
 mem_global as (
   select nome_key, doc from (select nome_key, arg_max(documento, ocorrencias) as doc, max(ocorrencias) as top, count(*) as n,
-         coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from glob group by all) where n = 1 or top >= sec + 2),
+         coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from all_fields group by all) where n = 1 or top >= sec + 2),
 mem_nome as (
   select documento as doc, nome from (select documento, arg_max(nome_original, ocorrencias) as nome, max(ocorrencias) as top, count(*) as n,
-         coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from glob group by all) where n = 1 or top >= sec + 2)"""
+         coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from all_fields group by all) where n = 1 or top >= sec + 2)"""
 FIXES = INDEX + _DIMS + RANKED + f""",
 open_rows as (select * from party_rows where not (campo = 'destinatario' and destinatario_exterior)),
 missing as (select * from open_rows where (doc is null or doc = '00000000000000') and length(nome) >= 8),
@@ -348,3 +348,398 @@ hits as (
   from pend p join ans a on p.filing_id = a.filing_id and p.nf = a.nf and p.campo = a.campo where okj or (p.aceita_cpf and okf) group by all)""",
     "select f.filing_id, f.seq, " + ", ".join(f"coalesce(a_{p}, {p}_cnpj) as {p}_cnpj" for p in PARTIES) +
     " from freight f left join hits h on f.filing_id = h.filing_id and f.seq = h.seq")
+
+# --- rendering ---------------------------------------------------------------------------
+
+_OPT = ("pais_destino_id", "pais_id", "pais_destino", "pais", "endereco_destinatario", "endereco_internacional", "empresa_cnpj",
+        "empresa_nome", "pessoa_internacional_nome", "armazenagem_cnpj", "armazenagem_nome")
+
+
+def _doc_error(p, field, cpf, accents):
+    d, bad, dig = f"d_{p}", "inválido" if accents else "invalido", "dígitos" if accents else "digitos"
+    as_cpf = "" if cpf else (f"when length({d})=11 then concat('NF ', shown, ': Documento {field} está como CPF (', {d}, '), mas este campo exige CNPJ.') ")
+    return (f"case when {d} is null then concat('NF ', shown, ': Documento {field} vazio no PDF.') {as_cpf}"
+            f"when length({d})=11 and not f_{p} then concat('NF ', shown, ': CPF {field} {bad}: ', {d}, '.') "
+            f"when length({d})=14 and not j_{p} then concat('NF ', shown, ': CNPJ {field} {bad}: ', {d}, '.') "
+            f"when length({d}) not in (11,14) then concat('NF ', shown, ': Documento {field} {bad} (deve ter 11 ou 14 {dig}): ', {d}, '.') end")
+
+
+def _fit(c, n):
+    return f"rpad(coalesce({c}, ''), {n}, ' ')"
+
+
+_flag = lambda c: f"case when upper(substr(trim({c}),1,1)) in ('P','A') then upper(substr(trim({c}),1,1)) else 'P' end"
+_tokens = "coalesce(" + ", ".join(f"case when contains(pais_texto, '{t}') then '{c}' end" for t, c in COUNTRY_TOKENS) + ")"
+_code = f"case when length({digits('destinatario_pais_id')}) between 1 and 3 and lpad({digits('destinatario_pais_id')},3,'0') <> '000' then lpad({digits('destinatario_pais_id')},3,'0') end"
+_swap = lambda n: f"case when length(n_{n}) >= 5 and not regexp_matches(upper(n_{n}), 'ASSINATURA|RUBRICA') then n_{n} end"
+RENDER = PREP + f""",
+r0 as (
+  select *, coalesce(nullif(trim(nf_numero), ''), 'N/A') as shown, coalesce(n_emitente, n_contratante) as emp_nome,
+    coalesce({clean('emitente_cnpj')}, {clean('contratante_cnpj')}) as emp_doc, {_flag('local_retirada')} as fr, {_flag('local_entrega')} as fe,
+    {_flag('local_armazenamento')} as fa, coalesce(c_rec, n_destinatario, n_contratante, n_emitente) as rbase,
+    {flat("concat_ws(' ', coalesce(destinatario_pais,''), '', '', coalesce(destinatario_nome,''), coalesce(destinatario_texto,''))")} as pais_texto,
+    nullif({digits('local_armazenamento_cnpj')}, '') as d_arm, nullif({digits('retirada_cnpj')}, '') as d_ret, nullif({digits('entrega_cnpj')}, '') as d_ent,
+    coalesce({clean('destinatario_endereco')}, nullif(trim(regexp_replace(regexp_extract(destinatario_texto, '(?s)END:\\s*(.+?)(\\n\\s*CEP:|$)', 1), '\\s+', ' ', 'g')), '')) as ender
+  from prep),
+r1 as (
+  select *, nullif({digits('emp_doc')}, '') as d_emp,
+    coalesce(case when length(rbase) >= 3 then rbase end, case when rbase is not null then
+      case when n_destinatario is null then null when length(n_destinatario) >= 3 then n_destinatario
+           when n_contratante is not null then case when length(n_contratante) >= 3 then n_contratante end
+           when length(n_emitente) >= 3 then n_emitente end end, 'NAO INFORMADO') as rec0,
+    upper(substr(coalesce({clean('operacao_internacional')}, 'E'),1,1)) as op, upper(substr(coalesce({clean('contratante_internacional')}, 'O'),1,1)) as pt,
+    coalesce({_code}, {_tokens}) as pais_id
+  from r0),
+r2 as (
+  select *, {cnpj_ok('d_emp')} as j_emp, {cpf_ok('d_emp')} as f_emp, {cnpj_ok('d_arm')} as j_arm, {cpf_ok('d_arm')} as f_arm,
+    {cnpj_ok('d_ret')} or {cpf_ok('d_ret')} as ok_ret, {cnpj_ok('d_ent')} or {cpf_ok('d_ent')} as ok_ent,
+    regexp_matches(upper(rec0), 'ASSINATURA|ASSINADO|RUBRICA|\\bASS\\b') as m_sig, length(rec0) < 5 as m_short,
+    regexp_matches(rec0, '\\b[0-9]{{11}}\\b') as m_cpf, rec0 = 'NAO INFORMADO' as m_none
+  from r1),
+r3 as (
+  select *, concat_ws(', ', case when m_sig then 'texto de assinatura/rubrica' end, case when m_short then 'muito curto' end,
+      case when m_cpf then 'contém CPF' end, case when m_none then 'não informado' end) as motivos,
+    case when m_sig or m_cpf or m_none then coalesce({_swap('destinatario')}, {_swap('contratante')}, {_swap('emitente')}) end as troca,
+    case when destinatario_exterior then coalesce(
+      case when op not in ('E','I') then concat('NF ', shown, ': Operacao internacional invalida: ', op, '.') end,
+      case when pt not in ('O','D') then concat('NF ', shown, ': Contratante internacional invalido: ', pt, '.') end,
+      {_doc_error('emp', 'Empresa', True, False)},
+      case when emp_nome is null then concat('NF ', shown, ': Nome da Empresa vazio para TI.') end,
+      case when fa = 'A' then {_doc_error('arm', 'Armazenagem', True, False)} end,
+      case when fa = 'A' and {clean('local_armazenamento_nome')} is null then concat('NF ', shown, ': Nome da Armazenagem vazio para LA.') end,
+      case when n_destinatario is null then concat('NF ', shown, ': Nome da Pessoa Internacional vazio.') end,
+      case when pais_id is null then concat('NF ', shown, ': destino exterior sem Id do pais. Informe destinatario_pais_id com 3 digitos.') end,
+      case when ender is null then concat('NF ', shown, ': destino exterior sem endereco internacional. O registro PI exige Endereco completo.') end)
+    else coalesce({_doc_error('contratante', 'Contratante', True, True)}, {_doc_error('emitente', 'Origem (Emitente)', False, True)},
+      {_doc_error('destinatario', 'Destino (Destinatário)', True, True)}) end as erro,
+    {digits('c_cte')} as ctd, case when regexp_matches(coalesce(c_nf,''), '^0+$') then '0' else regexp_replace(coalesce(c_nf,''), '^0+', '') end as nf_l
+  from r2),
+r4 as (
+  select *, case when length(ctd) < 9 then lpad(ctd, 9, '0') else ctd end as ct9, {_fit("regexp_replace(upper(nf_l), '[^A-Z0-9]', '', 'g')", 10)} as nf10,
+    erro is null and not destinatario_exterior as nac, erro is null and destinatario_exterior as ext from r3),
+r5 as (
+  select *, case when nac and c_cte is not null then
+      case when ct9 = '000000000' then 'CTe número inválido (apenas zeros).' when c_cted is null then 'CTe data inválida ou não encontrada.'
+           when length(ct9) <> 9 then concat('Linha CC deve ter exatamente 103 caracteres, mas tem ', cast(length(ct9) + 94 as string), '.') end end as erro_cc
+  from r4),
+rendered as (
+  select filing_id, seq, 1 as sub, 'TN' as tipo, concat('TN', lpad(d_contratante,14,' '), {_fit(flat('n_contratante'),70)}, nf10, {_fit(flat('c_nfd'),10)},
+    lpad(d_emitente,14,' '), {_fit(flat('n_emitente'),70)}, lpad(d_destinatario,14,' '), {_fit(flat('n_destinatario'),70)}, fr, fe) as value from r5 where nac
+  union all
+  select filing_id, seq, 2, 'CC', concat('CC', ct9, {_fit(flat('c_cted'),10)}, {_fit('coalesce(' + flat(clean('data_entrega')) + ', substr(' + flat('c_cted') + ',1,10))',10)},
+    {_fit(flat('coalesce(troca, rec0)'),70)}, 'RO') from r5 where nac and c_cte is not null and erro_cc is null
+  union all
+  select filing_id, seq, 3, 'LR', concat('LR', lpad(d_ret,14,' '), {_fit(flat(clean('retirada_nome')),70)}) from r5 where nac and fr = 'A' and ok_ret and {clean('retirada_nome')} is not null
+  union all
+  select filing_id, seq, 4, 'LE', concat('LE', lpad(d_ent,14,' '), {_fit(flat(clean('entrega_nome')),70)}) from r5 where nac and fe = 'A' and ok_ent and {clean('entrega_nome')} is not null
+  union all
+  select filing_id, seq, 5, 'TI', concat('TI', op, pt, nf10, {_fit(flat('c_nfd'),10)}, lpad(d_emp,14,' '), {_fit(flat('emp_nome'),70)}, fa) from r5 where ext
+  union all
+  select filing_id, seq, 6, 'LA', concat('LA', lpad(d_arm,14,' '), {_fit(flat(clean('local_armazenamento_nome')),70)}) from r5 where ext and fa = 'A'
+  union all
+  select filing_id, seq, 7, 'PI', concat('PI', {_fit(flat('n_destinatario'),70)}, pais_id, {_fit(flat('ender'),70)}) from r5 where ext)"""
+_MONTHCASE = "(case mes when 1 then 'JAN' when 2 then 'FEV' when 3 then 'MAR' when 4 then 'ABR' when 5 then 'MAI' when 6 then 'JUN' when 7 then 'JUL' when 8 then 'AGO' when 9 then 'SET' when 10 then 'OUT' when 11 then 'NOV' when 12 then 'DEZ' end)"
+ORACLE["render_lines"] = duck_sql(RENDER + "," + FILINGS, f"""
+select filing_id, row_number() over (partition by filing_id order by o) as line_no, tipo, value from (
+  select filing_id, seq * 8 + sub as o, tipo, value from rendered
+  union all
+  select filing_id, 0, 'EM', concat('EM', cnpj, {_MONTHCASE}, cast(ano as string), '00000010') from filings)""")
+ORACLE["render_errors"] = duck_sql(RENDER, """select filing_id, seq, nf, case when destinatario_exterior then 'TI/PI' else 'TN' end as linha, erro as mensagem
+  from r5 where erro is not null""")
+
+
+def _alert_rows():
+    def name(p, label):
+        return ("ACAO_NECESSARIA", f"not destinatario_exterior and n_{p} is null",
+                f"concat('NF ', shown, ': {label} vazio no TXT (CNPJ ', coalesce(d_{p}, 'N/A'), '). Preencha manualmente no arquivo gerado.')")
+    kind = "case when length(d_contratante)=11 then 'CPF' else 'CNPJ' end"
+    head = "concat('NF ', shown, ': Recebedor suspeito (', motivos, '): ''', rec0, '''. ')"
+    return [
+        ("ATENCAO", "not destinatario_exterior and d_contratante = d_destinatario and length(d_contratante) in (11,14) and d_contratante not in ('00000000000000','00000000000')",
+         f"concat('NF ', shown, ': ', {kind}, ' Contratante (', d_contratante, ') igual ao ', {kind}, ' Destino. Isso pode causar erro no envio.')"),
+        name("contratante", "Nome Contratante"), name("emitente", "Nome Emitente"), name("destinatario", "Nome Destinatário"),
+        ("ATENCAO", "motivos <> '' and nac and c_cte is not null and (erro_cc is null or length(c_cte) > 9)",
+         f"concat({head}, case when troca is not null then concat('Substituído por ''', troca, '''.') else 'Verifique e ajuste manualmente se necessário.' end)"),
+        ("ALERTA", "erro_cc is not null", "concat('AVISO: Linha CC não gerada para NF ', shown, ': ', erro_cc, ' A linha TN foi gerada com sucesso, mas a linha CC correspondente foi pulada.')"),
+        ("ATENCAO", "ext", "concat('NF ', shown, ': Destinatario exterior sem CPF/CNPJ gerado como Transporte Internacional (TI/PI).')"),
+    ]
+
+
+ALERTS = RENDER + ", alerts as (" + " union all ".join(
+    f"select filing_id, seq, shown as nf, {i} as ordem, '{t}' as tipo, {m} as mensagem from r5 where {c}" for i, (t, c, m) in enumerate(_alert_rows())) + ")"
+ORACLE["render_alerts"] = duck_sql(ALERTS, "select * exclude (ordem) from alerts")
+ORACLE["distinct_companies"] = duck_sql(RENDER, "select filing_id, count(distinct d) as cnpjs_distintos from (" + " union all ".join(
+    f"select filing_id, d_{p} as d from r5 where erro is null and j_{p}" for p in PARTIES) + ") group by filing_id")
+ORACLE["infer_country"] = duck_sql(RENDER, "select filing_id, seq, pais_id from r5 where destinatario_exterior")
+ORACLE["filing_names"] = duck_sql(FREIGHT + "," + FILINGS, f"""select filing_id, concat('M', cast(ano as string), {_MONTHCASE}, cnpj, '_',
+  substr(trim(regexp_replace(upper(translate(regexp_replace(regexp_replace(relatorio, '^.*/', ''), '\\.[^.]*$', ''), '{ACCENTED}', '{PLAIN}')), '[^A-Z0-9]+', '_', 'g'), '_'), 1, 30), '.txt') as arquivo
+  from filings""")
+
+# --- lines -------------------------------------------------------------------------------
+
+TYPED = LINES + ", typed as (select *, case when length(value) >= 2 then upper(substr(value,1,2)) else '' end as tipo, length(value) as n from lines)"
+
+
+def _parse(tipo):
+    v = f"(case when n < {WIDTH[tipo]} then rpad(value, {WIDTH[tipo]}, ' ') else value end)"
+    cols = []
+    for f in LAYOUT[tipo]:
+        raw = f"substr({v}, {f.start}, {f.length})" if f.length else f"substr({v}, {f.start})"
+        cols.append((digits(raw) if f.kind == "doc" else f"trim({raw}, ' ')") + f" as {f.name}")
+    return f"select filing_id, line_no, {', '.join(cols)} from typed where tipo = '{tipo}'"
+
+
+for _t in ("TN", "CC", "TI", "PI"):
+    ORACLE[f"parse_{_t.lower()}"] = duck_sql(TYPED, _parse(_t))
+ORACLE["first_invoice"] = duck_sql(TYPED, """select filing_id, nullif(arg_min(trim(substr(value, 87, 10)), line_no) filter (where tipo = 'TN'), '') as primeira_nf
+  from typed group by filing_id""")
+
+
+def _field(pos, label, cpf):
+    raw = f"substr(value, {pos}, 14)"
+    d = digits(raw)
+    exp = "CPF valido (11 digitos) ou CNPJ valido (14 digitos)" if cpf else "CNPJ valido (14 digitos)"
+    person = f"when length(d{pos})=11 and pf{pos} then null when length(d{pos})=11 then concat('{label} invalido: ', d{pos}, '.') " if cpf else ""
+    return (f"case when regexp_matches({raw}, '[^ 0-9]') then '{label} contem caracteres invalidos; use apenas digitos e espacos de padding.' "
+            f"when trim({raw}) = '' then '{label} vazio.' when length(d{pos})=14 and pj{pos} then null "
+            f"when length(d{pos})=14 and pt{pos} then concat('{label} contem CPF preenchido com zeros a esquerda (', d{pos}, '); o sistema interpreta esse valor como CNPJ invalido.') "
+            f"when length(d{pos})=14 then concat('{label} invalido: ', d{pos}, '.') {person}else '{label} deve conter {exp} apos remover espacos.' end")
+
+
+_POS = (3, 25, 107, 191)
+LINE_ERRORS = TYPED + ", t1 as (select *, " + ", ".join(f"{digits(f'substr(value,{p},14)')} as d{p}" for p in _POS) + " from typed), t2 as (select *, " + ", ".join(
+    f"{cnpj_ok(f'd{p}')} as pj{p}, {cpf_ok(f'd{p}')} as pf{p}, {cpf_ok(f'right(d{p},11)')} as pt{p}" for p in _POS) + ", trim(substr(value, 102)) as modal from t1), line_err as ("
+
+
+def _width(t):
+    return f"concat('tamanho invalido: ', cast(n as string), ' caracteres (esperado {WIDTH[t]}).')"
+
+
+_AT = lambda p, k=1: f"substr(value, {p}, {k})"
+_ROWS = [
+    ("value = ''", "'linha em branco; cada registro deve ocupar exatamente uma linha.'"),
+    ("regexp_matches(value, '[\\x00-\\x1f\\x7f]')", "'linha contem caracteres de controle nao imprimiveis.'"),
+    ("regexp_matches(value, '[a-z]')", "'linha contem letras minusculas; o manual exige dados alfanumericos em MAIUSCULO.'"),
+    ("strlen(value) <> length(value)", "'linha contem caracteres nao ASCII/acentuados proibidos pelo manual.'"),
+] + [(f"tipo = '{t}' and n <> {WIDTH[t]}", _width(t)) for t in ("EM", "LR", "LE", "LA", "TI", "PI")] + [
+    ("tipo = 'TN' and n < 86", "concat('linha curta com ', cast(n as string), ' caracteres. O campo ''Nome Contratante'' ocupa as posicoes 17-86; o erro oficial costuma aparecer como ''begin 16, end 86, length ', cast(n as string), '''.')"),
+    ("tipo = 'TN' and n >= 86 and n <> 276", _width("TN")),
+    ("tipo = 'CC' and n < 103", "concat('tamanho invalido: ', cast(n as string), ' caracteres (minimo esperado 103).')"),
+    ("tipo = 'TN' and n >= 276", _field(3, "CPF/CNPJ Contratante", True)),
+    ("tipo = 'TN' and n >= 276", _field(107, "CPF/CNPJ Origem Carga", False)),
+    ("tipo = 'TN' and n >= 276", _field(191, "CPF/CNPJ Destino Carga", True)),
+    (f"tipo = 'TN' and n >= 276 and {_AT(275)} not in ('P','A')", f"concat('Local de Retirada invalido: ''', {_AT(275)}, '''. Use apenas P ou A.')"),
+    (f"tipo = 'TN' and n >= 276 and {_AT(276)} not in ('P','A')", f"concat('Local de Entrega invalido: ''', {_AT(276)}, '''. Use apenas P ou A.')"),
+    ("tipo = 'CC' and n >= 103", "case when modal = '' then 'modal de transporte vazio; minimo esperado: RO.' "
+     "when length(modal) % 2 <> 0 then concat('modal de transporte com tamanho invalido (', cast(length(modal) as string), '). Use codigos concatenados de 2 caracteres.') "
+     "when not regexp_matches(modal, '^(AE|AQ|FE|RO)+$') then concat('modal de transporte invalido: ', "
+     "list_aggregate(list_filter(regexp_extract_all(modal, '..'), lambda b: b not in ('AE','AQ','FE','RO')), 'string_agg', ', '), '. Valores aceitos: AE, AQ, FE, RO.') end"),
+    (f"tipo = 'TI' and n = 109 and {_AT(3)} not in ('E','I')", f"concat('Operacao invalida: ''', {_AT(3)}, '''. Use E ou I.')"),
+    (f"tipo = 'TI' and n = 109 and {_AT(4)} not in ('O','D')", f"concat('Contratante invalido: ''', {_AT(4)}, '''. Use O ou D.')"),
+    (f"tipo = 'TI' and n = 109 and trim({_AT(5, 10)}) = ''", "'Numero NF vazio.'"),
+    (f"tipo = 'TI' and n = 109 and trim({_AT(39, 70)}) = ''", "'Nome da Empresa vazio.'"),
+    ("tipo = 'TI' and n = 109", _field(25, "CPF/CNPJ Empresa", True)),
+    (f"tipo = 'TI' and n = 109 and {_AT(109)} not in ('P','A')", f"concat('Local de Armazenamento invalido: ''', {_AT(109)}, '''. Use apenas P ou A.')"),
+    (f"tipo = 'PI' and n = 145 and trim({_AT(3, 70)}) = ''", "'Nome Empresa vazio.'"),
+    (f"tipo = 'PI' and n = 145 and (not regexp_matches({_AT(73, 3)}, '^[0-9]{{3}}$') or {_AT(73, 3)} = '000')".replace("{{", "{").replace("}}", "}"), "'Id do pais invalido; use 3 digitos da tabela oficial.'"),
+    (f"tipo = 'PI' and n = 145 and trim({_AT(76, 70)}) = ''", "'Endereco completo vazio.'"),
+    ("tipo = 'LA' and n = 86", _field(3, "CPF/CNPJ Empresa", True)),
+    (f"tipo = 'LA' and n = 86 and trim({_AT(17, 70)}) = ''", "'Nome Empresa vazio.'"),
+    ("value <> '' and tipo not in ('EM','TN','CC','TI','LA','LR','LE','PI')", "concat('tipo de linha desconhecido: ''', case when tipo <> '' then tipo else substr(value,1,10) end, '''.')"),
+]
+LINE_ERRORS += " union all ".join(
+    f"select * from (select filing_id, line_no, tipo, {i} as ordem, {m} as mensagem from t2 where {c}) where mensagem is not null" for i, (c, m) in enumerate(_ROWS)) + ")"
+ORACLE["line_errors"] = duck_sql(LINE_ERRORS, "select * exclude (ordem) from line_err")
+
+SEG = """,
+seg as (select *, last_value(case when tipo in ('EM','TN','TI') then line_no end ignore nulls) over (partition by filing_id order by line_no rows unbounded preceding) as owner_no from typed),
+seg2 as (select s.*, o.tipo as owner_tipo, o.value as ov, o.n as on_ from seg s left join typed o on s.filing_id = o.filing_id and s.owner_no = o.line_no)"""
+ORACLE["segment_lines"] = duck_sql(TYPED + SEG, "select filing_id, line_no, tipo, owner_no, owner_tipo from seg2")
+DEP = SEG + """,
+parts as (select filing_id, owner_no, any_value(owner_tipo) as tipo, any_value(ov) as v, any_value(on_) as w,
+  bool_or(tipo='LR') as lr, bool_or(tipo='LE') as le, bool_or(tipo='PI') as pi, bool_or(tipo='LA') as la from seg2 where owner_tipo in ('TN','TI') group by filing_id, owner_no),
+dep as (
+  select filing_id, cast(1 as bigint) as line_no, 'EM' as tipo, concat('arquivo deve conter exatamente 1 linha EM, encontrado: ', cast(count(*) filter (where tipo='EM') as string), '.') as mensagem
+  from typed group by filing_id having count(*) filter (where tipo='EM') <> 1
+  union all select filing_id, line_no, tipo, 'primeira linha deve ser EM.' from typed where line_no = 1 and tipo <> 'EM'
+  union all select filing_id, owner_no, tipo, 'Local de Retirada = ''A'' exige uma subsecao LR antes do proximo TN.' from parts where tipo='TN' and w >= 276 and substr(v,275,1)='A' and not lr
+  union all select filing_id, owner_no, tipo, 'Local de Entrega = ''A'' exige uma subsecao LE antes do proximo TN.' from parts where tipo='TN' and w >= 276 and substr(v,276,1)='A' and not le
+  union all select filing_id, owner_no, tipo, 'Transporte Internacional exige uma subsecao PI antes do proximo registro principal.' from parts where tipo='TI' and w >= 109 and not pi
+  union all select filing_id, owner_no, tipo, 'Local de Armazenamento = ''A'' exige uma subsecao LA antes do proximo registro principal.' from parts where tipo='TI' and w >= 109 and substr(v,109,1)='A' and not la
+  union all select filing_id, line_no, tipo, concat('subsecao ', tipo, ' deve estar vinculada a uma linha TI anterior.') from seg2 where tipo in ('PI','LA') and coalesce(owner_tipo,'') <> 'TI')"""
+ORACLE["dependency_errors"] = duck_sql(TYPED + DEP, "select * from dep")
+ALL_ERR = LINE_ERRORS + DEP + """,
+every_error as (select filing_id, 0 as fase, line_no, tipo, ordem, mensagem from line_err union all select filing_id, 1, line_no, tipo, 0, mensagem from dep)"""
+ORACLE["filing_verdict"] = duck_sql(ALL_ERR, """select t.filing_id, t.n as total_linhas, coalesce(e.n, 0) as n_erros, coalesce(e.n, 0) = 0 as valido
+  from (select filing_id, count(*) as n from lines group by all) t left join (select filing_id, count(*) as n from every_error group by all) e on t.filing_id = e.filing_id""")
+ORACLE["top_messages"] = duck_sql(ALL_ERR, """select filing_id, cast(rn as int) as posicao, concat('Linha ', cast(line_no as string), case when tipo <> '' then concat(' (', tipo, ')') else '' end, ': ', mensagem) as mensagem,
+  greatest(tot - 3, 0) as adicionais from (select *, row_number() over (partition by filing_id order by fase, line_no, ordem, mensagem) as rn, count(*) over (partition by filing_id) as tot from every_error) where rn <= 3""")
+ORACLE["fix_lines"] = duck_sql(LINES + """,
+f0 as (select *, substr(value,1,2) as t, case substr(value,1,2) when 'EM' then 31 when 'TN' then 276 when 'CC' then 103 when 'TI' then 109 when 'PI' then 145 when 'LA' then 86 end as w,
+  substr(value,1,2) = 'CC' and length(value) = 104 and substr(value,102,1) = ' ' and substr(value,103,2) in ('RO','AQ','FE','AE') as sh from lines),
+f1 as (select *, case when sh then concat(substr(value,1,101), substr(value,103,2))
+  when t = 'TN' and length(value) >= 276 then concat(substr(value,1,274), case when substr(value,275,1) in ('P','A') then substr(value,275,1) else 'P' end,
+     case when substr(value,276,1) in ('P','A') then substr(value,276,1) else 'P' end, substr(value,277)) else value end as v from f0),
+f2 as (select *, case when length(v) > w and trim(substr(v, w + 1)) <> '' then concat('(', t, ') excede tamanho esperado (', cast(length(v) as string), ' > ', cast(w as string), ') com dados deslocados.') end as erro from f1),
+f3 as (select *, case when w is null or erro is not null then v else rpad(v, w, ' ') end as v2 from f2)""",
+    """select filing_id, line_no, erro, case when sh then 'ajuste automatico aplicado em CC (modal deslocado).' end as aviso,
+  case when t = 'CC' and erro is null and substr(v2,102,2) not in ('RO','AQ','FE','AE') then concat(substr(v2,1,101), 'RO') else v2 end as value from f3""")
+
+# --- learning ----------------------------------------------------------------------------
+
+
+def _fingerprint(source):
+    piece = lambda i: f"cast(sum(cast(concat('0x', substr(d, {1 + 7 * i}, 7)) as bigint)) as string)"
+    return (f"select filing_id, sha256(concat_ws('|', cast(count(*) as string), {', '.join(piece(i) for i in range(9))})) as arquivo_sha256 "
+            f"from (select filing_id, sha256(concat(cast(line_no as string), ':', value)) as d from {source}) group by filing_id")
+
+
+ORACLE["content_fingerprint"] = duck_sql(LINES, _fingerprint("lines"))
+ORACLE["replay_filter"] = duck_sql(LINES + f""",
+more as (select filing_id, line_no, value from lines union all select concat(filing_id, '-COPIA'), line_no, value from lines where filing_id like '%-03'),
+files as ({_fingerprint('more')}), past_lines as (select * from lines where filing_id like '%-05'),
+past as (select max(cast(substr(filing_id,2,2) as bigint)) as id, arquivo_sha256 from ({_fingerprint('past_lines')}) group by arquivo_sha256)""",
+    """select f.filing_id, p.id is not null or f.filing_id <> min(f.filing_id) over (partition by f.arquivo_sha256) as replay, p.id as sessao_referencia
+  from files f left join past p on f.arquivo_sha256 = p.arquivo_sha256""")
+
+LEARN = TYPED + ", tn as (" + _parse("TN") + "), seen as (" + " union all ".join(
+    f"select filing_id, line_no, case when nf_numero = '' then 'N/A' else nf_numero end as nf, '{p}' as campo, {p}_nome as nome, {p}_cnpj as documento, {key(p + '_nome')} as k0 from tn" for p in PARTIES) + f"""),
+seen1 as (select *, case when k0 in ('NAO INFORMADO','SEM NOME','N/A','NA','NONE','NULL') then '' else k0 end as nome_key, {cnpj_ok('documento')} or {cpf_ok('documento')} as okd from seen),
+seen2 as (select *, length(nome_key) >= 5 and okd as aceito, cast(right(filing_id, 2) as int) % 2 as odd from seen1)"""
+
+
+def _cands(name, where):
+    return (f", {name} as (select nome_key, documento, campo, case when length(documento)=11 then 'CPF' else 'CNPJ' end as tipo_documento, count(*) as ocorrencias, "
+            f"arg_min(nome, concat(filing_id, lpad(cast(line_no as string), 12, '0'))) as nome_original, "
+            f"substr(string_agg(distinct nf, ',' order by nf), 1, 120) as nf_amostra from seen2 where aceito and {where} group by nome_key, documento, campo)")
+
+
+def _classify(src, out):
+    return (f", {out}_g as (select nome_key, campo, arg_max(documento, ocorrencias) as lider, max(ocorrencias) as top, sum(ocorrencias) as total, count(*) as n, "
+            f"coalesce(list_sort(list(ocorrencias), 'DESC')[2], 0) as sec from {src} group by all), "
+            f"{out} as (select s.* exclude (status, status_motivo), case when ok and documento = lider then 'ativo' else 'quarentena' end as status, "
+            f"case when ok and documento = lider then 'confianca_suficiente' when ok then 'conflito_ou_baixa_confianca' else 'baixa_confianca' end as status_motivo "
+            f"from {src} s join (select *, (n = 1 or top >= sec + 2) and top >= 2 and top / total >= case campo when 'destinatario' then 0.70 else 0.65 end as ok from {out}_g) g "
+            f"on s.nome_key = g.nome_key and s.campo = g.campo)")
+
+
+ORACLE["learn_candidates"] = duck_sql(LEARN + _cands("c", "true"), "select * from c")
+ORACLE["learn_file_counts"] = duck_sql(LEARN, """select l.filing_id, coalesce(t.n, 0) as total_tn, coalesce(s.c, 0) as candidatos, coalesce(s.i, 0) as ignorados, cast(0 as bigint) as linhas_invalidas
+  from (select distinct filing_id from lines) l left join (select filing_id, count(*) as n from tn group by all) t on l.filing_id = t.filing_id
+  left join (select filing_id, count(distinct case when aceito then concat(nome_key, '|', documento, '|', campo) end) as c, count(*) filter (where not aceito) as i from seen2 group by all) s on l.filing_id = s.filing_id""")
+_M1 = _cands("c1", "odd = 1") + ", m0 as (select *, '' as status, '' as status_motivo from c1)" + _classify("m0", "m1") + _cands("c2", "odd = 0")
+_M2 = LEARN + _M1 + """,
+u as (select coalesce(a.nome_key, b.nome_key) as nome_key, coalesce(a.documento, b.documento) as documento, coalesce(a.campo, b.campo) as campo,
+  coalesce(b.nome_original, a.nome_original) as nome_original, coalesce(b.tipo_documento, a.tipo_documento) as tipo_documento,
+  coalesce(a.ocorrencias, 0) + coalesce(b.ocorrencias, 0) as ocorrencias, case when b.documento is not null then 'lote2' else 'lote1' end as origem_arquivo, '' as status, '' as status_motivo
+  from m1 a full join c2 b on a.nome_key = b.nome_key and a.documento = b.documento and a.campo = b.campo)""" + _classify("u", "m2") + """,
+items as (select c.*, s.ocorrencias as ocorrencias_total, s.status as fim, o.status as ini,
+  concat(case when o.status is null then 'NOVO' else 'ATUALIZADO' end, '_', case when coalesce(o.status,'') <> 'ativo' and s.status = 'ativo' then 'PROMOVIDO'
+     when o.status = 'ativo' and s.status <> 'ativo' then 'REBAIXADO' when s.status = 'ativo' then 'ATIVO' else 'QUARENTENA' end) as acao
+  from c2 c join m2 s on c.nome_key = s.nome_key and c.documento = s.documento and c.campo = s.campo
+  left join m1 o on c.nome_key = o.nome_key and c.documento = o.documento and c.campo = o.campo)"""
+ORACLE["learn_session"] = duck_sql(_M2, "select campo, nome_original, nome_key, documento, tipo_documento, acao, ocorrencias as ocorrencias_arquivo, ocorrencias_total, nf_amostra from items")
+ORACLE["learn_snapshot"] = duck_sql(_M2, "select nome_key, nome_original, documento, tipo_documento, campo, ocorrencias, status, status_motivo, origem_arquivo from m2")
+ORACLE["learn_report"] = duck_sql(_M2, """select count(*) as candidatos, count(*) filter (where acao like 'NOVO%') as aprendidos_novos, count(*) filter (where acao like 'ATUALIZADO%') as atualizados,
+  count(*) filter (where acao like '%PROMOVIDO') as promovidos, count(*) filter (where acao like '%REBAIXADO') as rebaixados,
+  count(*) filter (where fim = 'ativo') as ativos_sessao, count(*) filter (where fim <> 'ativo') as quarentena_sessao from items""")
+ORACLE["learn_details"] = duck_sql(_M2, """select concat('[', acao, '] ', campo, ': ''', nome_original, ''' -> ', documento, ' (+', cast(ocorrencias as string), ', total=', cast(ocorrencias_total as string),
+  ', status=', fim, ', NF=', nf_amostra, ')') as detalhe from items order by campo, nome_original, documento limit 40""")
+ORACLE["classify_pairs"] = duck_sql(COMPANY + "," + PAIRS + _classify("pairs", "cl"), "select nome_key, documento, campo, ocorrencias, status, status_motivo from cl")
+ORACLE["memory_summary"] = duck_sql(COMPANY + _DIMS, """select count(*) as total_pares, count(distinct nome_key) as total_nomes, count(distinct documento) as total_documentos,
+  count(*) filter (where status = 'ativo') as pares_ativos, count(*) filter (where status = 'quarentena') as pares_quarentena,
+  (select count(*) from registry) + count(distinct documento) as total_registros from pairs""")
+
+# --- extraction: the reports were written from known values, so those are the answer ----------
+
+ORACLE["extract_from_text"] = duck_sql(REPORTS, """select filing_id, nf as nf_numero, dmy as nf_data, cte as cte_numero, dmy as cte_data,
+  edoc as emitente_cnpj, enome as emitente_nome,
+  case when edoc = cdoc then case when abroad or ddoc = edoc then edoc else ddoc end else cdoc end as contratante_cnpj,
+  case when h % 6 = 1 then enome else cnome end as contratante_nome,
+  case when edoc = cdoc or abroad or ddoc in (edoc, cdoc) then null else ddoc end as destinatario_cnpj, dnome as destinatario_nome,
+  abroad as destinatario_exterior, dnome as recebedor from report_base where h % 9 <> 4""")
+_BYDOC = "case when {0} is not null then {0} end"
+ORACLE["extract_from_cells"] = duck_sql(CELLS, f"""
+select * from (
+  select filing_id, (page_no * 256 + 1) * 1048576 + r as seq,
+    case when r = 2 then nf when h % 2 = 0 or h % 9 <> 1 then cast(cast(nf as bigint) + 1 as string) end as nf_numero,
+    case when r = 2 and h % 8 = 5 then null else dmy end as nf_data,
+    cte as cte_numero, dmy as cte_data, dmy as data_entrega, edoc as emitente_cnpj, enome as emitente_nome,
+    case when h % 4 in (1, 2) then edoc else cdoc end as contratante_cnpj, case when h % 4 in (1, 2) then enome else cnome end as contratante_nome,
+    case when abroad then null when h % 7 = 1 and length(ddoc) = 11 then null
+         when h % 7 = 1 and substr(ddoc, 12, 2) in ('14','15','16','17','18','19') then ddoc else ddoc end as destinatario_cnpj,
+    dnome as destinatario_nome, abroad as destinatario_exterior, case when h % 3 = 2 then 'JOSE LIMA' else dnome end as recebedor
+  from report_base, unnest([2, 3]) as s(r) where r = 3 or h % 8 <> 5) where nf_numero is not null""")
+ORACLE["layout_check"] = duck_sql(REPORTS + """,
+first_pages as (select filing_id, arg_min(text, page_no) as t from report_pages group by filing_id),
+marks as (select filing_id, concat_ws(',', case when not regexp_matches(t, '(?i)EMITENTE') then 'EMITENTE' end, case when not regexp_matches(t, '(?i)DESTINAT[ÁAá]RIO') then 'DESTINATARIO' end,
+  case when not regexp_matches(t, '(?i)CONTRATANTE|CONTRANTE|CONTRANE|CONTRATE') then 'CONTRATANTE' end, case when not regexp_matches(t, '(?i)CT-?E|N[º°]\\s*CT') then 'CTE' end,
+  case when not regexp_matches(t, '(?i)CNPJ[/\\s]?CPF|CPF[/\\s]?CNPJ|DOCUMENTO') then 'CNPJ_CPF' end) as faltando from first_pages)""",
+    "select filing_id, faltando, faltando = '' as valido from marks")
+
+# Damaged ids: undo the letters, then try every way to drop the surplus digit of a group.
+ORACLE["repair_ocr_documents"] = duck_sql(DAMAGED + f""",
+bad as (select distinct text, regexp_replace(regexp_replace(translate(upper(text), 'OQDIL|!ZSBGT', '000111125867'), '[^0-9./-]', ' ', 'g'), '(\\d+) +(\\.\\d)', '\\1\\2', 'g') as t from damaged where text like 'CNPJ %'),
+tok as (select text, regexp_extract(t, '(\\d{{2,8}})\\.(\\d{{3,8}})\\.(\\d{{3,8}})/(\\d{{4,8}})-(\\d{{2,8}})', ['a','b','c','d','e']) as g from bad
+  where regexp_matches(t, '\\d{{2,8}}\\.\\d{{3,8}}\\.\\d{{3,8}}/\\d{{4,8}}-\\d{{2,8}}')),
+cand as (select text, concat(g.a, case when length(g.b) = 3 then g.b else concat(substr(g.b,1,i-1), substr(g.b,i+1)) end, g.c, g.d,
+  case when length(g.e) = 2 then g.e else concat(substr(g.e,1,j-1), substr(g.e,j+1)) end) as doc from tok, unnest([1,2,3,4]) as s(i), unnest([1,2,3]) as u(j)),
+good as (select distinct text, doc from cand where {cnpj_ok('doc')})""",
+    "select text, min(doc) as doc from good group by text having count(*) = 1")
+
+# --- reports -----------------------------------------------------------------------------
+
+
+def _kind(field):
+    def cond(k):
+        return " and ".join("(" + " or ".join(f"contains(txt, '{w}')" for w in words.split("|")) + ")" for words in k.words)
+    value = {"tipo": lambda k: q(k.tipo), "acao": lambda k: q(k.acao), "manual": lambda k: "true" if k.manual else "false"}[field]
+    return "case " + " ".join(f"when {cond(k)} then {value(k)}" for k in KINDS) + f" else {value(OTHER)} end"
+
+
+ADJ = ALERTS + AUDIT + f""",
+adj as (
+  select filing_id, nf, tipo, mensagem, seq * 16 + ordem as chegada from audit where conta_ajuste
+  union all select filing_id, nf, tipo, mensagem, 4611686018427387904 + seq * 16 + ordem from alerts),
+adj1 as (select *, case when nf in ('', 'N/A', 'NA') then null else nf end as nf1 from adj),
+adj2 as (select *, regexp_replace(case when starts_with(mensagem, concat('NF ', coalesce(nf1, ''), ':')) then trim(substr(mensagem, length(coalesce(nf1, '')) + 5)) else mensagem end, '^AVISO:\\s*', '') as aviso from adj1),
+adj3 as (select *, trim(regexp_replace(aviso, '\\s+', ' ', 'g')) as detalhe from adj2),
+adj4 as (select *, translate(lower(detalhe), '{ACCENTED}', '{PLAIN}') as txt from adj3),
+cls0 as (select filing_id, nf1 as nf, chegada, aviso, detalhe, tipo as tipo0, {_kind('tipo')} as k, {_kind('acao')} as acao, {_kind('manual')} as manual from adj4),
+cls as (select * exclude (tipo0, k), case when k = 'REVISAO' and nf is not null then trim(replace(tipo0, '_', ' ')) else k end as tipo from cls0),
+issues as (select filing_id, nf, tipo, detalhe, acao, min(chegada) as c from cls where manual and nf is not null group by all)"""
+ORACLE["analyst_issues"] = duck_sql(ADJ, "select filing_id, nf, tipo, detalhe, acao, row_number() over (partition by filing_id, nf order by c) as posicao from issues")
+ORACLE["analyst_summary"] = duck_sql(ADJ + ", acts as (select filing_id, nf, acao, min(c) as c from issues group by all), acts2 as (select filing_id, nf, string_agg(acao, ' | ' order by c) as acoes from acts group by all)",
+    """select i.filing_id, i.nf, count(*) as n_pendencias, arg_min(concat('[', tipo, '] ', detalhe), c) as primeira, any_value(acoes) as acoes
+  from issues i join acts2 a on i.filing_id = a.filing_id and i.nf = a.nf group by i.filing_id, i.nf""")
+ORACLE["operational_alerts"] = duck_sql(ADJ + """,
+ops as (select * from cls where not manual), samp as (select filing_id, tipo, detalhe, min(chegada) as c from ops where detalhe <> '' group by all),
+samp2 as (select *, row_number() over (partition by filing_id, tipo order by c) as rn from samp),
+samp3 as (select filing_id, tipo, string_agg(detalhe, chr(10) order by rn) as amostras from samp2 where rn <= 3 group by all)""",
+    """select o.filing_id, o.tipo, count(distinct nf) as n_nfs, any_value(amostras) as amostras from ops o left join samp3 s on o.filing_id = s.filing_id and o.tipo = s.tipo group by o.filing_id, o.tipo""")
+ORACLE["general_notices"] = duck_sql(ADJ, "select distinct filing_id, aviso from cls where manual and nf is null and aviso <> ''")
+ORACLE["final_status"] = duck_sql(STATS_CTES + ADJ.replace(PREP, "", 1).replace(AUDIT, "", 1) + """,
+opn as (select filing_id, count(distinct nf) as n from issues group by all),
+fin as (select s.*, greatest(total_ajustes_manuais, coalesce(o.n, 0)) as aj from stats s left join opn o on s.filing_id = o.filing_id)""",
+    """select filing_id, case when total_com_erros_criticos > 0 then 'FALHA (Erros criticos)' when aj > 0 or total_com_erros > 0 then 'SUCESSO (Com ressalvas)' else 'SUCESSO' end as status,
+  total_aprovados, total_corrigidos, aj as total_ajustes, total_com_erros_criticos from fin""")
+LOGS = LOG + """,
+l0 as (select ordem, upper(trim(coalesce(tipo, 'INFO'))) as tipo, trim(mensagem) as mensagem, upper(nullif(regexp_extract(mensagem, '(?i)\\bNF\\s+([A-Z0-9.-]+)\\b', 1), '')) as nf from log_events where trim(mensagem) <> ''),
+l1 as (select ordem, coalesce(nf, '-') as id_linha, case when nf is null then 'Sistema' else concat('NF ', nf) end as cliente, case when nf is null then 'sistema' else concat(lower(tipo), ':', nf) end as identificador,
+  0 as numero_pagina, 0 as numero_linha, case when tipo in ('ERRO','CRITICO','ALERTA','ACAO_NECESSARIA') then 'Erro' when tipo in ('SUCESSO','CHECK') then 'Sucesso'
+    when nf is not null and tipo in ('ATENCAO','AVISO') then 'Erro' else 'Processando' end as status, mensagem,
+  nf is not null and tipo in ('ERRO','CRITICO','ALERTA','ACAO_NECESSARIA') as pode_reprocessar from l0),
+cons as (select * exclude (rn) from (select *, row_number() over (partition by id_linha, identificador order by ordem desc) as rn from l1) where rn = 1 or cliente = 'Sistema')"""
+ORACLE["log_consolidation"] = duck_sql(LOGS, "select * from cons")
+ORACLE["log_totals"] = duck_sql(LOGS, "select count(*) as total_logs, count(*) filter (where pode_reprocessar) as total_reprocessaveis from cons")
+
+# --- branches and periods ----------------------------------------------------------------
+
+ORACLE["attach_branch"] = duck_sql(FREIGHT + "," + FILINGS + "," + BRANCHES, """select f.filing_id, b.nome as filial_nome, b.nome is not null as filial_existe,
+  case when b.nome is not null then concat(b.nome, ' - ', f.cnpj) end as filial_rotulo from filings f left join branches b on f.cnpj = b.cnpj""")
+ORACLE["resolve_branch"] = duck_sql(COMPANY + "," + BRANCHES + "," + REQUESTS + f""",
+req as (select id, trim(valor) as v, case when contains(valor, ' - ') then {digits("split_part(valor, ' - ', -1)")} when length({digits('valor')}) = 14 then {digits('valor')} end as direct from requests),
+found as (select id, min(b.cnpj) as cnpj from req join branches b on contains(lower(b.nome), lower(v)) where direct is null group by id having count(*) = 1)""",
+    "select r.id, case when length(coalesce(direct, cnpj)) = 14 then coalesce(direct, cnpj) end as cnpj from req r left join found f on r.id = f.id")
+ORACLE["default_periods"] = """select o_orderkey, cast(case when month(o_orderdate) <= 6 then 12 else month(o_orderdate) end as int) as mes,
+  cast(year(o_orderdate) - case when month(o_orderdate) <= 6 then 1 else 0 end as int) as ano from orders"""
