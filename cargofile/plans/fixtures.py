@@ -227,7 +227,7 @@ report_base as (
 report_pages as (
   select filing_id, page_no,
          concat('NCM: 3824', chr(10), 'EMITENTE', chr(10), enome, chr(10), 'CNPJ/CPF: ', emask, chr(10),
-                'FONE: 1144445555', chr(10), 'CONTRATANTE', chr(10), case when h % 6 = 1 then '' else concat(cnome, chr(10)) end,
+                'FONE: (11) 4444-5555', chr(10), 'CONTRATANTE', chr(10), case when h % 6 = 1 then '' else concat(cnome, chr(10)) end,
                 'CNPJ/CPF: ', case when h % 5 = 0 then cdoc else cmask end, chr(10),
                 'DESTINATÁRIO', chr(10), dnome, chr(10), 'CNPJ/CPF: ', case when abroad then '' else dmask end, chr(10),
                 case when abroad then concat('END: RUE 1', chr(10), 'CEP: 99999-999 CIDADE: EXTERIOR - EX', chr(10)) else '' end,

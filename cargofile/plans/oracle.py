@@ -652,13 +652,15 @@ ORACLE["memory_summary"] = duck_sql(COMPANY + _DIMS, """select count(*) as total
 
 # --- extraction: the reports were written from known values, so those are the answer ----------
 
-ORACLE["extract_from_text"] = duck_sql(REPORTS, """select filing_id, nf as nf_numero, dmy as nf_data, cte as cte_numero, dmy as cte_data,
-  edoc as emitente_cnpj, enome as emitente_nome,
-  case when edoc = cdoc then case when abroad or ddoc = edoc then edoc else ddoc end else cdoc end as contratante_cnpj,
-  case when h % 6 = 1 then enome else cnome end as contratante_nome,
-  case when edoc = cdoc or abroad or ddoc in (edoc, cdoc) then null else ddoc end as destinatario_cnpj, dnome as destinatario_nome,
-  abroad as destinatario_exterior, dnome as recebedor from report_base where h % 9 <> 4""")
-_BYDOC = "case when {0} is not null then {0} end"
+# Masked ids come before bare ones, so a bare contracting id takes the third place.
+ORACLE["extract_from_text"] = duck_sql(REPORTS + """,
+placed as (select *, case when h % 5 <> 0 then cdoc when not abroad then ddoc end as b, case when h % 5 = 0 then cdoc when not abroad then ddoc end as c
+  from report_base where h % 9 <> 4),
+placed2 as (select *, case when b <> edoc then b when c <> edoc then c end as second,
+  case when b <> edoc and c <> edoc and c <> b then c end as third from placed)""",
+    """select filing_id, nf as nf_numero, dmy as nf_data, cte as cte_numero, dmy as cte_data, edoc as emitente_cnpj, enome as emitente_nome,
+  coalesce(second, edoc) as contratante_cnpj, case when h % 6 = 1 then enome else cnome end as contratante_nome,
+  third as destinatario_cnpj, dnome as destinatario_nome, abroad as destinatario_exterior, dnome as recebedor from placed2""")
 ORACLE["extract_from_cells"] = duck_sql(CELLS, f"""
 select * from (
   select filing_id, (page_no * 256 + 1) * 1048576 + r as seq,
