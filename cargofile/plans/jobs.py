@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cargofile.operators import dedup, enrich, extract, learn as L, lines as N, render, report, resolve, validate
+from cargofile.plans.inputs import shared_dir
 from cargofile.sources import filings as files
 from cargofile.sources.tables import MemoryStore
 
@@ -21,29 +22,36 @@ class Converted(NamedTuple):
     lines: DataFrame         # numbered lines of all filings
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a stage in the shared checkpoint folder, so later stages do not repeat it."""
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def prepare_records(extracted: DataFrame, registry: DataFrame | None = None, pairs: DataFrame | None = None,
                     key_cols: tuple[str, ...] = ("filing_id",)) -> DataFrame:
     """Deduplicate, repair receivers, fill ids and names; ``corrigido`` marks changed records."""
-    records = validate.repair_receiver(dedup.dedup_merge(extracted, key_cols).drop("chave", "n_registros"))
+    records = cut(validate.repair_receiver(dedup.dedup_merge(extracted, key_cols).drop("chave", "n_registros")))
     records = enrich.fill_documents_and_names(records, registry, pairs)
-    return records.withColumn("corrigido", F.col("recebedor_corrigido") | F.col("dados_corrigidos"))
+    return cut(records.withColumn("corrigido", F.col("recebedor_corrigido") | F.col("dados_corrigidos")))
 
 
 def convert(records: DataFrame, filings: DataFrame, resolutions: DataFrame | None = None) -> Converted:
-    """Validate, audit, apply human answers and render prepared records.
-
-    Store ``records`` (prepare_records) as a table first: every output below reads it.
-    """
+    """Validate, audit, apply human answers and render records from prepare_records()."""
     audit = validate.audit_records(records)
     stats = report.run_statistics(records)
     errors = validate.validation_errors(records)
-    empty = records.select("filing_id", F.col("nf_numero"), F.lit("").alias("campo"), F.lit("").alias("documento")).limit(0)
-    answers = resolutions if resolutions is not None else empty
-    problems = resolve.resolution_problems(records, answers)
-    solved = resolve.apply_resolutions(records, answers)
+    if resolutions is None:
+        problems, solved = validate.pending_documents(records), records
+    else:
+        problems = resolve.resolution_problems(records, resolutions)
+        solved = cut(resolve.apply_resolutions(records, resolutions))
     return Converted(
         solved, stats, errors, report.adjustments(audit, render.render_alerts(solved)), problems,
-        render.render_errors(solved), render.numbered_filings(solved, filings))
+        render.render_errors(solved), cut(render.numbered_filings(solved, filings)))
 
 
 def write_checked(spark: SparkSession, lines: DataFrame, path: str, strict: bool = True) -> DataFrame:
