@@ -67,6 +67,20 @@ def components(edges: DataFrame) -> DataFrame:
         pairs.select("b", "b").distinct())
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], often: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, whose keys are unique and whose column `often` tells how many rows have the key.
+
+    Keys with over a thousandth of all rows, of which there are under 1000, are joined by broadcast where the rows lie;
+    the others by shuffle. No key gathers a large share of the rows in a task. Rows are read twice. how: inner or left.
+    """
+    most = (table.agg(F.sum(often)).first()[0] or 0) // 1000
+    heavy = F.broadcast(table.where(F.col(often) > most).drop(often)) if most >= 100 else None
+    light = table.where(F.col(often) <= most).drop(often) if heavy is not None else table.drop(often)
+    rest = rows if heavy is None else rows.join(heavy.select(*keys), keys, "left_anti")
+    joined = rest.join(light, keys, how)
+    return joined if heavy is None else joined.unionByName(rows.join(heavy, keys))
+
+
 def dealt(rows: DataFrame, group: list[str], member: Column, weight: Column, most: int) -> DataFrame:
     """rows with `task`, `side` and `other`, so that every two rows of a group meet in exactly one task of bounded weight.
 
@@ -75,11 +89,11 @@ def dealt(rows: DataFrame, group: list[str], member: Column, weight: Column, mos
     to be compared. Only sums per group are gathered.
     """
     heavy = F.col("_w") > most
-    sums = cut(rows.groupBy(*group).agg(F.sum(weight).alias("_w")))
+    sums = cut(rows.groupBy(*group).agg(F.sum(weight).alias("_w"), F.count("*").alias("_c")))
     light = sums.where(~heavy).agg(F.sum("_w")).first()[0] or 0
     bins = max(1, math.ceil(light / most * 2))
     parts = F.ceil(F.col("_w") * 2 / most).cast("long")
-    keyed = rows.join(sums, group).withColumn("_p", F.when(heavy, parts).otherwise(F.lit(1))).withColumn(
+    keyed = hot_join(rows, sums, group, "_c").withColumn("_p", F.when(heavy, parts).otherwise(F.lit(1))).withColumn(
         "_s", F.pmod(F.xxhash64(F.lit(7), member), F.col("_p")))
     keyed = keyed.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)))
     name = F.when(heavy, F.concat_ws(":", *[F.col(c).cast("string") for c in group], F.least("_s", "_t").cast("string"),

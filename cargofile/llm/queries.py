@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargofile.llm.contamination import occurrences
+from cargofile.llm.linededup import dedup_lines
+from cargofile.llm.neardup import near_duplicates
+from cargofile.llm.oracle import ORACLE  # noqa: F401
 from cargofile.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +32,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES |= {f.__name__: f for f in (op5_decontamination, op10_packing)}
+QUERIES |= {f.__name__: f for f in (op5_decontamination, op7_line_dedup, op8_minhash, op10_packing)}
