@@ -42,9 +42,9 @@ def sketch(items: np.ndarray, bins: int) -> np.ndarray:
         np.minimum.at(out, at.ravel().astype(np.int64), value.ravel())
         first += step
     for k in np.nonzero(out == full)[0]:
-        number = np.uint64(bins + k)
+        number = np.array([bins + k], np.uint64)
         hashed = mixed(items ^ mixed(number + np.uint64(1)))
-        out[k] = (number << np.uint64(48)) | (hashed & low).min()
+        out[k] = ((number << np.uint64(48)) | (hashed & low).min())[0]
     return out
 
 

@@ -1,6 +1,47 @@
 """DuckDB SQL of the operators' queries, where SQL can state them."""
 
 ORACLE = {
+    "op1_secrets": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+rules(kind, nr, re) as (values
+  ('assign', 0, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{16,}'),
+  ('pem', 3, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'),
+  ('jwt', 4, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),
+  ('repo_token', 5, 'gh[pousr]_[A-Za-z0-9]{36,}')),
+one as (
+  select doc_id, 'assign' as kind, 0 as nr, regexp_extract_all(t, (select re from rules where nr = 0)) as m,
+    string_split_regex(t, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') as g
+  from d
+  union all select doc_id, 'access', 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') from d
+  union all select doc_id, 'hex', 2, regexp_extract_all(t, '[0-9a-f]{16,}'), string_split_regex(t, '[0-9a-f]{16,}') from d
+  union all select doc_id, 'pem', 3, regexp_extract_all(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'),
+    string_split_regex(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----') from d
+  union all select doc_id, 'jwt', 4,
+    regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),
+    string_split_regex(t, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}') from d
+  union all select doc_id, 'repo_token', 5, regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}'),
+    string_split_regex(t, 'gh[pousr]_[A-Za-z0-9]{36,}') from d),
+hit as (select doc_id, kind, nr, m, g, unnest(range(1, len(m) + 1)) as i from one where len(m) > 0),
+span as (
+  select doc_id, kind, nr, m[i] as s, length(m[i]) as n,
+    list_sum(list_transform(g[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as start
+  from hit),
+good as materialized (
+  select doc_id, nr, kind, start, start + n as stop from span
+  where case kind when 'assign' then length(regexp_extract(s, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12
+    when 'access' then n >= 18 else true end),
+agg as (
+  select doc_id, count(*) filter (where nr = 0) as n_assign, count(*) filter (where nr = 1) as n_access,
+    count(*) filter (where nr = 2) as n_hex,
+    string_agg(concat(kind, ':', start, ':', stop), ',' order by start, nr) filter (where nr < 3) as base,
+    string_agg(concat(kind, ':', start, ':', stop), ',' order by start, nr) as spans
+  from good group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join agg using (doc_id)
+""",
     "op5_decontamination": r"""
 with dw as materialized (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

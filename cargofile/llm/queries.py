@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargofile.llm.contamination import occurrences
@@ -12,6 +12,8 @@ from cargofile.llm.linededup import dedup_lines
 from cargofile.llm.neardup import near_duplicates
 from cargofile.llm.oracle import ORACLE  # noqa: F401
 from cargofile.llm.packing import pack
+from cargofile.llm.secrets import BASE, BlobLedger, of_kind, spans_text
+from cargofile.llm.toxicity import learn, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +29,27 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = BlobLedger(spark)
+    ledger.update(docs)
+    found, base = F.col("found"), [r.kind for r in BASE]
+    counts = [F.size(of_kind(found, [k])).cast("long").alias(f"n_{k}") for k in base]
+    return ledger.by_path(docs).select("doc_id", *counts, F.sha2(spans_text(of_kind(found, base)), 256).alias("base_sha256"),
+                                       spans_text(found).alias("spans"))
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    return scored(docs, learn(docs, labels)).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return occurrences(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -45,4 +68,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES |= {f.__name__: f for f in (op5_decontamination, op7_line_dedup, op8_minhash, op10_packing)}
+QUERIES |= {f.__name__: f for f in (op1_secrets, op2_toxicity, op5_decontamination, op7_line_dedup, op8_minhash, op10_packing)}

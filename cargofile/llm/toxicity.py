@@ -13,6 +13,7 @@ TABLE = alphanumeric_table()
 POSITIVES = 6_000
 UNLABELLED = 14_000
 LEAST_DOCS = 4
+LEAST_SIGMAS = 4.0
 EPOCHS = 250
 PRIOR = 0.1
 
@@ -46,6 +47,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words much likelier or unlikelier in positives than in unlabelled text (over LEAST_SIGMAS standard errors), and
+    how many times."""
+    words, counts = np.unique(np.concatenate(positive + unlabelled), return_counts=True)
+    in_p = np.bincount(np.searchsorted(words, np.concatenate(positive)), minlength=len(words))
+    rate_p = in_p / len(positive)
+    rate = np.maximum((counts - in_p) / len(unlabelled), 0.5 / len(unlabelled))
+    sigmas = (rate_p - rate) / np.sqrt(np.minimum(rate, 0.5) * (1 - np.minimum(rate, 0.5)) / len(positive))
+    keep = (counts >= least_docs) & (np.abs(sigmas) >= LEAST_SIGMAS) & ((in_p >= 3) | (sigmas < 0))
+    lift = np.maximum(rate_p, 0.5 / len(positive))[keep] / rate[keep]
+    return words[keep], np.maximum(lift, 1 / lift)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_docs: int = LEAST_DOCS,
         epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, weights with the bias first) of a linear classifier that minimises the non-negative PU risk.
@@ -53,11 +67,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     Risk: prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), l sigmoid. While the second part is below zero a
     step ascends it alone instead, so a flexible model cannot push the unlabelled risk under what negatives can have.
     """
-    counts = np.unique(np.concatenate(positive + unlabelled), return_counts=True)
-    vocabulary = counts[0][counts[1] >= least_docs]
+    vocabulary, lift = telling(positive, unlabelled, least_docs)
     p, u, features = Bags(positive, vocabulary), Bags(unlabelled, vocabulary), len(vocabulary) + 1
-    share = np.log(len(positive) + len(unlabelled)) - np.log(np.concatenate([[1], counts[1][counts[1] >= least_docs]]))
-    scale = np.concatenate([[1.0], np.maximum(share[1:], 0.05) / 4])
+    scale = np.concatenate([[1.0], np.sqrt(lift)])
     weights = np.zeros(features)
     weights[0] = np.log(prior / (1 - prior))
     square, penalty, rate = np.zeros(features), 1e-3, 0.05
@@ -73,3 +85,64 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         weights[1:] = np.sign(weights[1:]) * np.maximum(np.abs(weights[1:]) - rate * penalty, 0)
     keep = np.concatenate([[True], weights[1:] != 0])
     return vocabulary[keep[1:]], (weights * scale)[keep]
+
+
+def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict[int, float] | None:
+    """Weights by word hash (None: the bias) from labels (doc_id, toxic); None without a confirmed toxic example.
+
+    Bounded sample of labelled rows, chosen by the hash of doc_id: at most `positives` confirmed toxic documents, and at
+    most `unlabelled` labelled documents of any label, used as text without label. The class prior is the share of
+    toxic among all labelled rows. Null ids, labels and texts are left out; of a repeated doc_id the largest label counts.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    if not prior:
+        return None
+    sure = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    some = known.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(unlabelled)
+    chosen = sure.select("doc_id", F.lit(1).alias("role")).union(some.select("doc_id", F.lit(0)))
+
+    def features(batches):
+        import pandas as pd
+
+        for batch in batches:
+            words = [np.array(sorted({word_hash(w) for w in distinct_words(t)}), np.int32) for t in batch["text"]]
+            yield pd.DataFrame({"role": batch["role"].to_numpy(), "words": words})
+
+    text = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    # At most positives + unlabelled ids.
+    rows = text.join(F.broadcast(chosen), "doc_id").select("role", "text").mapInPandas(
+        features, "role int, words array<int>").toPandas()
+    sets = {role: [np.asarray(w, np.int64) for w in rows.loc[rows["role"] == role, "words"]] for role in (0, 1)}
+    if not sets[0] or not sets[1]:
+        return None
+    words, weights = fit(sets[1], sets[0], min(prior, 0.95))
+    return {None: float(weights[0])} | dict(zip(words.tolist(), weights[1:].tolist()))
+
+
+def scored(docs: DataFrame, model: dict[int, float] | None) -> DataFrame:
+    """docs with `score`, the probability of toxic, from the distinct words of every whole text.
+
+    A null or empty text has no words and gets the score of the bias alone; without a model every score is PRIOR.
+    Rows are scored each on its own; a column named score is replaced.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    class Weights(dict):
+        def __missing__(self, word):
+            if len(self) > 300_000:
+                self.clear()
+            value = self[word] = sent.value.get(word_hash(word), 0.0)
+            return value
+
+    @F.pandas_udf("double")
+    def score(texts):
+        import pandas as pd
+
+        if sent.value is None:
+            return pd.Series(np.full(len(texts), PRIOR))
+        weight, bias = Weights(), sent.value[None]
+        return pd.Series(sigmoid(np.array([
+            bias + (sum(map(weight.__getitem__, sorted(distinct_words(t)))) if t else 0.0) for t in texts])), dtype="float64")
+
+    return docs.withColumn("score", score(F.col("text").cast("string")))
