@@ -106,7 +106,7 @@ class BlobLedger:
         next_, new = self.batches + 1, self.unseen(versions)
         found = matches(new, self.rules, F.col("todo"))
         keys = F.create_map(*[x for r in self.rules for x in (F.lit(r.kind), F.lit(r.key))])
-        found.select("blob", keys["kind"].alias("rule"), "kind", "start", "stop").write.mode("overwrite").parquet(
+        found.select("blob", keys[F.col("kind")].alias("rule"), "kind", "start", "stop").write.mode("overwrite").parquet(
             f"{self.root}/findings/{next_:06d}")
         scans = versions.select(blob_id(F.col("text")).alias("blob")).distinct()
         scans.withColumn("rules", F.array(*[F.lit(r.key) for r in self.rules])).write.mode("overwrite").parquet(
@@ -127,7 +127,7 @@ class BlobLedger:
         order = F.create_map(*[x for k, r in enumerate(self.rules) for x in (F.lit(r.kind), F.lit(k))])
         paths = versions.withColumn("_blob", blob_id(F.col("text"))).drop("text")
         per = self.findings().groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.collect_list(
-            F.struct("start", order["kind"].alias("nr"), "stop", "kind"))).alias("found"))
+            F.struct("start", order[F.col("kind")].alias("nr"), "stop", "kind"))).alias("found"))
         often = paths.groupBy("_blob").agg(F.count("*").alias("_often"))
         return hot_join(paths, per.join(often, "_blob"), ["_blob"], "_often", "left").drop("_blob")
 
