@@ -14,6 +14,8 @@ from cargofile.llm.oracle import ORACLE  # noqa: F401
 from cargofile.llm.packing import pack
 from cargofile.llm.secrets import BASE, BlobLedger, of_kind, spans_text
 from cargofile.llm.toxicity import learn, scored
+from cargofile.llm.urls import judged_urls
+from cargofile.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,6 +57,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,8 +71,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES |= {f.__name__: f for f in (op1_secrets, op2_toxicity, op5_decontamination, op7_line_dedup, op8_minhash, op10_packing)}
+QUERIES |= {f.__name__: f for f in (op1_secrets, op2_toxicity, op5_decontamination, op6_urls, op7_line_dedup, op8_minhash,
+                                   op9_embeddings, op10_packing)}
