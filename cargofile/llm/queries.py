@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargofile.llm.contamination import occurrences
+from cargofile.llm.cotraining import quality_scores
+from cargofile.llm.licenses import license_spans
 from cargofile.llm.linededup import dedup_lines
 from cargofile.llm.neardup import near_duplicates
 from cargofile.llm.oracle import ORACLE  # noqa: F401
@@ -52,6 +54,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return occurrences(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -79,5 +89,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES |= {f.__name__: f for f in (op1_secrets, op2_toxicity, op5_decontamination, op6_urls, op7_line_dedup, op8_minhash,
-                                   op9_embeddings, op10_packing)}
+QUERIES |= {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_licenses, op4_quality, op5_decontamination, op6_urls,
+                                   op7_line_dedup, op8_minhash, op9_embeddings, op10_packing)}

@@ -120,11 +120,11 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return {None: float(weights[0])} | dict(zip(words.tolist(), weights[1:].tolist()))
 
 
-def scored(docs: DataFrame, model: dict[int, float] | None) -> DataFrame:
-    """docs with `score`, the probability of toxic, from the distinct words of every whole text.
+def scored(docs: DataFrame, model: dict[int, float] | None, into: str = "score") -> DataFrame:
+    """docs with column `into`, the probability of toxic, from the distinct words of every whole text.
 
     A null or empty text has no words and gets the score of the bias alone; without a model every score is PRIOR.
-    Rows are scored each on its own; a column named score is replaced.
+    Rows are scored each on its own; a column of that name is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -145,4 +145,4 @@ def scored(docs: DataFrame, model: dict[int, float] | None) -> DataFrame:
         return pd.Series(sigmoid(np.array([
             bias + (sum(map(weight.__getitem__, sorted(distinct_words(t)))) if t else 0.0) for t in texts])), dtype="float64")
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn(into, score(F.col("text").cast("string")))
