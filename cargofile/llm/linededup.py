@@ -98,9 +98,11 @@ class Cuckoo:
 def line_keys(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, version, pos, h1, h2) of the lines long enough to count; version tells texts of one doc_id apart."""
     line = F.translate(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), UPPER, LOWER)
-    return docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias(
-        "pos", "line")).withColumn("line", line).where(F.length("line") >= least).select(
-            "doc_id", "version", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    # The version is taken before the text is cut, so no line carries its text.
+    docs = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    lines = docs.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.withColumn("line", line).where(F.length("line") >= least).select(
+        "doc_id", "version", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def plain(docs: DataFrame) -> DataFrame:
