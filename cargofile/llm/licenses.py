@@ -63,6 +63,10 @@ class Index:
                 self.places[int(grams[at])].append((nr, at))
         self.prints = np.array(sorted(self.places), np.uint64)
 
+    def gap(self, nr: int) -> int:
+        """Words by which starts of one place may differ: less than a template's length, so copies in a row stay apart."""
+        return min(BAND, len(self.templates[nr][1]) // 2)
+
     def candidates(self, hashes: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """(template, first word of a region): the word positions at which it would start, close to each other."""
         if not len(hashes) or not len(self.prints):
@@ -78,9 +82,9 @@ class Index:
         regions = {}
         for nr, found in starts.items():
             found.sort()
-            first = 0
+            first, gap = 0, self.gap(nr)
             for k in range(1, len(found) + 1):
-                if k == len(found) or found[k] - found[k - 1] > BAND:
+                if k == len(found) or found[k] - found[k - 1] > gap or found[k] - found[first] > 2 * gap:
                     regions[nr, found[first]] = found[first:k]
                     first = k
         return regions
@@ -89,7 +93,8 @@ class Index:
 def aligned(text: list[bytes], template: list[bytes], start: int, band: int) -> tuple[int, int, int]:
     """(matched template words, first and last word of text) of the best local alignment within band of a diagonal.
 
-    Scores 1 for a match, -1 for a substitution or a gap. Of equal scores the one that ends first wins.
+    Scores 1 for a match, -1 for a substitution or a gap. Of equal scores the one with more matches wins, then the first to
+    end.
     """
     best, ends, before = (0, 0, 0, -1), {}, {}
     for i, word in enumerate(template):
@@ -109,7 +114,7 @@ def aligned(text: list[bytes], template: list[bytes], start: int, band: int) ->
             top = max(options, key=lambda x: (x[0], x[1], -x[2]))
             if top[0] > 0:
                 ends[j] = top
-                if top[0] > best[0]:
+                if top[:2] > best[:2]:
                     best = (top[0], top[1], top[2], j)
         before = ends
     return best[1:]
@@ -123,7 +128,7 @@ def found_in(text: str, indexes: list[Index], hashes: WordHashes, least: float)
         for (nr, _), starts in index.candidates(hashed).items():
             name, template = index.templates[nr]
             middle = (starts[0] + starts[-1]) // 2
-            matched, first, last = aligned(own, template, middle, BAND + (starts[-1] - starts[0] + 1) // 2)
+            matched, first, last = aligned(own, template, middle, index.gap(nr) + (starts[-1] - starts[0] + 1) // 2)
             if matched and matched / len(template) >= least:
                 if spans is None:
                     data = text.encode("utf-8", "surrogatepass")
@@ -138,7 +143,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     Words are runs of letters and digits, A-Z lower-cased. Grams of three words, the smallest of each two in a row, are
     looked up in the templates' inverted index: a stretch of four equal words always has a common fingerprint. Hits whose
-    start estimates lie within BAND words form a region, which is aligned once within the band. Templates come in shards
+    start estimates lie within BAND words, or half a template, form a region, which is aligned once within the band. Templates come in shards
     of bounded words. Null or empty texts have no place; templates of under three words match as a whole; repeated rows
     report each; an empty table gives no rows; other columns are ignored.
     """

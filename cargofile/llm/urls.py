@@ -90,7 +90,7 @@ def log_ratios(counts: DataFrame, order: int) -> DataFrame:
 def threshold(scores: DataFrame) -> float:
     """The score from which accepting separates scores (score, verdict, n) best, by the mean of both classes' recall.
 
-    Ties take the smallest; 0 where a class has no row. Scores are counted by STEP within REACH, so few rows return.
+    It lies midway between the scores that it parts. Ties take the smallest; 0 where a class has no row. Scores are counted by STEP within REACH, so few rows return.
     """
     step = F.round(F.least(F.greatest("score", F.lit(-REACH)), F.lit(REACH)) / STEP).cast("long")
     yes, no = (F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)) for v in ("allow", "block"))
@@ -101,8 +101,10 @@ def threshold(scores: DataFrame) -> float:
         "all_no", F.sum("no").over(everything)).where("all_yes > 0 and all_no > 0")
     gain = (F.col("all_yes") - F.coalesce(F.sum("yes").over(before), F.lit(0))) / F.col("all_yes") + F.coalesce(
         F.sum("no").over(before), F.lit(0)) / F.col("all_no")
-    best = judged.withColumn("gain", gain).orderBy(F.desc("gain"), "s").limit(1).collect()
-    return (best[0]["s"] - 0.5) * STEP if best else 0.0
+    below = F.coalesce(F.lag("s").over(everything.orderBy("s")), F.col("s"))
+    best = judged.withColumn("gain", gain).withColumn("middle", (F.col("s") + below) / 2).orderBy(
+        F.desc("gain"), "s").limit(1).collect()
+    return best[0]["middle"] * STEP if best else 0.0
 
 
 def judged_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int = ORDER) -> DataFrame:

@@ -28,6 +28,12 @@ def test_changed_and_repeated_notices(frame):
     assert {r.doc_id for r in rows} == {1, 2}
 
 
+def test_short_notices_in_a_row_stay_apart(frame):
+    line = "Released under the MIT License. "
+    rows = license_spans(frame([(1, line * 40)])).collect()
+    assert sorted(r.start for r in rows if r.license == "MIT") == [len(line) * k for k in range(40)]
+
+
 def edit_free(text, template):
     """Best local alignment over the whole text, without a band."""
     best, before = (0, 0), {}
