@@ -30,6 +30,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A narrow df in as many partitions as the cluster has cores at most, so that it is written as few files."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
@@ -38,9 +43,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; Spark drops its files with the last reference."""
+    """A reliable checkpoint of a narrow df in the shared folder; Spark drops its files with the last reference."""
     folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return few(df).checkpoint(eager=True)
 
 
 def components(edges: DataFrame) -> DataFrame:

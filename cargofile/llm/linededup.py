@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import fresh, hot_join, mixed
+from cargofile.llm.common import few, fresh, hot_join, mixed
 
 LEAST_CHARS = 10
 SHARD_KEYS = 50_000
@@ -162,12 +162,11 @@ class LineIndex:
     def _step(self, change: DataFrame) -> None:
         old = self.counts()
         next_ = self.version + 1
-        change.write.mode("overwrite").parquet(self._path("log", next_))
+        few(change).write.mode("overwrite").parquet(self._path("log", next_))
         stored_filters, self.version = self.filters(), next_
         log = self.log()
         live = log.drop("sign") if next_ == 1 else self._live(log)
-        live.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("owner")).where(
-            "refs > 1").write.mode("overwrite").parquet(self._path("counts", next_))
+        few(live.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("owner")).where("refs > 1")).write.mode("overwrite").parquet(self._path("counts", next_))
         new = self.counts()
         if next_ == 1:
             self.shards = max(1, math.ceil(new.count() / self.shard_keys))
@@ -178,12 +177,12 @@ class LineIndex:
         tried = stored_filters.groupBy("shard").cogroup(turned.groupBy("shard")).applyInPandas(
             _updated, "shard long, data binary")
         path = self._path("tried", next_)
-        tried.write.mode("overwrite").parquet(path)
+        few(tried).write.mode("overwrite").parquet(path)
         tried = self.spark.read.parquet(path)
         full = tried.where("data is null").select("shard")
         rebuilt = new.select(shard, "h1").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(
             _built, "shard long, data binary")
-        tried.where("data is not null").union(rebuilt).write.mode("overwrite").parquet(self._path("filters", next_))
+        few(tried.where("data is not null").union(rebuilt)).write.mode("overwrite").parquet(self._path("filters", next_))
 
     def shared_lines(self, docs: DataFrame) -> DataFrame:
         """line_keys of docs with refs and owner, for lines whose key two documents or more hold."""

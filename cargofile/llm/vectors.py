@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import components, dealt, hot_join, stars, stored
+from cargofile.llm.common import components, dealt, few, hot_join, stars, stored
 
 COSINE = 0.93
 SAMPLE = 10_000
@@ -54,10 +54,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
         F.coalesce(sound, F.lit(False)).alias("sound"), F.xxhash64("label", "embedding").alias("k1"),
         F.xxhash64(F.lit(1), "label", "embedding").alias("k2"))
     key = ["k1", "k2"]
-    classes = stored(rows.where("sound").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = stored(few(rows.where("sound").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))), "classes")
     one = rows.where("sound").join(classes.withColumnRenamed("rep", "vec_id"), [*key, "vec_id"]).dropDuplicates(key).select(
         F.col("vec_id").alias("rep"), "label", F.size("emb").alias("size"), "emb", "copies", *key)
-    one = stored(one, "vectors")
+    one = stored(few(one), "vectors")
     most = one.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     common = one.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
     bits, tables = tables_for(most, cosine, miss)
@@ -116,7 +116,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
             out += [(int(key1[k]), int(key2[k]), int(counts[k]), int(ids[k]), int(low.get(int(ids[k]), ids[k]))) for k in at]
         return pd.DataFrame(out, columns=["k1", "k2", "n", "a", "b"], dtype="int64")
 
-    links = stored(tasks.groupBy("task").applyInPandas(compared, "k1 long, k2 long, n long, a long, b long"), "links")
+    links = stored(few(tasks.groupBy("task").applyInPandas(compared, "k1 long, k2 long, n long, a long, b long")), "links")
     ties = rows.where("sound").join(classes, key).where("vec_id != rep").join(
         classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").select(
             F.col("vec_id").alias("a"), F.col("rep").alias("b"))
