@@ -128,10 +128,17 @@ def stars(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def slices(batches, rows: int = 128):
+    """Arrow batches in pieces of few rows, so that only few texts exist as Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept between texts up to a bound."""
 
-    MOST = 300_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

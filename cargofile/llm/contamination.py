@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargofile.llm.common import alphanumeric_table, stored
+from cargofile.llm.common import alphanumeric_table, slices, stored
 
 WORDS = 10
 SHARD_ROWS = 100_000
@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, shard_
         import pyarrow as pa
 
         tables = [None] * len(kept)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [words(t) if t is not None else [] for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             hits, items = [bytearray(len(t)) for t in texts], [set() for _ in texts]
             for k, shard in enumerate(kept):

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import BROADCAST_ROWS, WordHashes, components, dealt, hot_join, mixed, runs, stars, stored
+from cargofile.llm.common import BROADCAST_ROWS, WordHashes, components, dealt, hot_join, mixed, runs, slices, stars, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -61,39 +61,38 @@ def sketches(docs: DataFrame, size: int, bands: int, band_rows: int) -> DataFram
     """(doc_id, n_shingles, k1, k2, bands): set size, 128-bit key of the set and band keys; none for an empty set."""
 
     def rows(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         hashes = WordHashes()
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+        for batch in slices(batches):
+            counts, keys, found = [], [], []
+            for text in batch.column("text").to_pylist():
                 own = shingles(text, size, hashes)
-                if not len(own):
-                    out.append((doc, 0, 0, 0, []))
-                    continue
-                key = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
-                keys = band_hashes(sketch(own, bands * band_rows), bands).view(np.int64)
-                out.append((doc, len(own), int(key[0]), int(key[1]), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "k1", "k2", "bands"]).astype({"doc_id": "Int64"})
+                counts.append(len(own))
+                keys.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64) if len(own) else np.zeros(2, np.int64))
+                found.append(band_hashes(sketch(own, bands * band_rows), bands).view(np.int64) if len(own) else [])
+            k1, k2 = np.array(keys, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(k1), pa.array(k2),
+                 pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.mapInPandas(rows, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
     """docs (doc_id, text, grp) as (doc_id, grp, n, items): the full shingle sets, for candidates only."""
 
     def rows(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         hashes = WordHashes()
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.iloc[k:k + 256]
-                own = [shingles(t, size, hashes).view(np.int64) for t in some["text"]]
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "grp": some["grp"].to_numpy(),
-                                    "n": [len(x) for x in own], "items": own})
-
-    return docs.mapInPandas(rows, "doc_id long, grp long, n long, items array<long>")
+        for batch in slices(batches):
+            own = [shingles(t, size, hashes).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("grp"), pa.array([len(x) for x in own], pa.int64()),
+                 pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "grp", "n", "items"])
+
+    return docs.select("doc_id", "text", "grp").mapInArrow(rows, "doc_id long, grp long, n long, items array<long>")
 
 
 def overlaps(items: list[np.ndarray]) -> np.ndarray:

@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import stored
+from cargofile.llm.common import slices, stored
 
 LENGTH = 2048
 END = 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 CACHED_CHARS = 48
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -78,25 +78,23 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     def cut_up(batches):
         import os
 
-        import pandas as pd
+        import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for k in range(0, len(batch), 64):
-                part = batch.iloc[k:k + 64]
-                for doc, data in zip(part["doc_id"], encoded(list(part["text"]), path)):
-                    data += end
-                    total = len(data) // 4
-                    for at in range(0, total, length):
-                        some = data[4 * at:4 * (at + length)]
-                        rows.append((doc, at, len(some) // 4, zlib.crc32(some), total))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype(
-                {"doc_id": "Int64"})
+            for doc, data in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text").to_pylist(), path)):
+                data += end
+                total = len(data) // 4
+                for at in range(0, total, length):
+                    some = data[4 * at:4 * (at + length)]
+                    rows.append((doc, at, len(some) // 4, zlib.crc32(some), total))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)],
+                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return text.mapInPandas(cut_up, PIECES)
+    return text.mapInArrow(cut_up, PIECES)
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[list[int], int]]:
