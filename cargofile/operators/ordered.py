@@ -10,29 +10,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cargofile.sources.shared import cut
+
 SLICE_ROWS = 1 << 16
 
 
 def with_slice(df: DataFrame, by: list[str], order: str, rows: int = SLICE_ROWS, dense: bool = False) -> DataFrame:
-    """Add ``_slice``: consecutive runs of about ``rows`` rows along ``order`` in each group.
+    """Add ``_slice``: consecutive runs of at most about ``rows`` rows along ``order`` in each group.
 
     ``dense`` means the order column counts 1, 2, 3 … inside the group (line numbers), so
-    the slice is plain arithmetic.  Otherwise the slice width follows from the group's
-    count and value range, two numbers that aggregate map-side.
+    the slice is plain arithmetic.  Otherwise a range that holds over ``rows`` rows is cut into equal
+    value ranges by its own smallest and largest value, and those over twice ``rows`` again, until
+    none is left: an outlier or a dense cluster costs one more pass, not a task.  The list of ranges to
+    cut has a row per ``rows`` rows of large groups at most, and usually none.
     """
     if dense:
-        return df.withColumn("_slice", F.floor((F.col(order) - 1) / rows).cast("long"))
-    span = df.groupBy(*by).agg(
-        F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n")
-    ).select(
-        *by, "_lo",
-        F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows)).alias("_width"),
-    )
-    return (
-        df.join(span, by)
-        .withColumn("_slice", F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).cast("long"))
-        .drop("_lo", "_width")
-    )
+        return df.withColumn("_slice", F.struct(F.floor((F.col(order) - 1) / rows).cast("long").alias("_0")))
+    names = ["_0"]
+    df = df.withColumn("_0", F.shiftright(F.col(order).cast("long"), 62))
+    while True:
+        key = by + names
+        span = cut(df.groupBy(*key).agg(
+            F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n")
+        ).filter((F.col("_n") > (rows if len(names) == 1 else 2 * rows)) & (F.col("_lo") < F.col("_hi"))).select(
+            *key, "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows)).alias("_width")))
+        if span.isEmpty():
+            return df.withColumn("_slice", F.struct(*names)).drop(*names)
+        place = F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).cast("long")
+        name = f"_{len(names)}"
+        df = df.join(span, key, "left").withColumn(name, F.coalesce(place, F.lit(0))).drop("_lo", "_width")
+        names.append(name)
 
 
 def running_total(df: DataFrame, by: list[str], order: str, amount: Column, out: str,

@@ -214,16 +214,18 @@ raw_lines as (
   from filings where (mes * 5 + ano) % 13 = 0)"""
 
 # report_pages / report_rows: text blocks and table rows of synthetic reports; `documents` is noise.
+# In a third of the reports the contracting party is the issuer.
 REPORTS = f"""{FREIGHT},
+paired as (select j.*, case when h % 3 = 0 then edoc else cdoc end as payer from joined j),
 report_base as (
   select concat('F', lpad(cast(nation as string), 2, '0'), '-', yy, '-', mm) as filing_id,
          (l_orderkey * 8 + l_linenumber) * 4 + least(seq % 1024, 3) as page_no, h, dmy,
          cast(1000 + l_orderkey % 899000 as string) as nf, cast(1 + h % 1000000 as string) as cte,
-         enome, cnome, dnome, edoc, cdoc, ddoc, h % 29 = 0 as abroad,
-         {_masked('edoc')} as emask, {_masked('cdoc')} as cmask,
+         enome, cnome, dnome, edoc, payer as cdoc, ddoc, h % 29 = 0 as abroad,
+         {_masked('edoc')} as emask, {_masked('payer')} as cmask,
          case when length(ddoc) = 11 then concat(substr(ddoc,1,3),'.',substr(ddoc,4,3),'.',substr(ddoc,7,3),'-',substr(ddoc,10,2))
               else {_masked('ddoc')} end as dmask
-  from joined),
+  from paired),
 report_pages as (
   select filing_id, page_no,
          concat('NCM: 3824', chr(10), 'EMITENTE', chr(10), enome, chr(10), 'CNPJ/CPF: ', emask, chr(10),

@@ -7,24 +7,16 @@ is unset (tests, local runs) a temporary folder is made and set.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cargofile.plans import dimensions, fixtures
+from cargofile.sources.shared import shared_dir
 
 _stored: dict[tuple[str, str, str], str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="cargofile-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Table ``name`` derived from ``sf_dir``, written on first use."""
     key = (spark.sparkContext.applicationId, sf_dir, name)

@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cargofile.operators import dedup, enrich, extract, learn as L, lines as N, render, report, resolve, validate
-from cargofile.plans.inputs import shared_dir
 from cargofile.sources import filings as files
+from cargofile.sources.shared import cut
 from cargofile.sources.tables import MemoryStore
 
 
@@ -19,16 +19,8 @@ class Converted(NamedTuple):
     adjustments: DataFrame   # audit and rendering events
     problems: DataFrame      # open or unusable resolutions
     unrendered: DataFrame    # records without lines
-    lines: DataFrame         # numbered lines of all filings
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a stage in the shared checkpoint folder, so later stages do not repeat it."""
-    context = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    blocked: DataFrame       # filings that may not be written, and why
+    lines: DataFrame         # numbered lines of all other filings
 
 
 def prepare_records(extracted: DataFrame, registry: DataFrame | None = None, pairs: DataFrame | None = None,
@@ -39,8 +31,12 @@ def prepare_records(extracted: DataFrame, registry: DataFrame | None = None, pai
     return cut(records.withColumn("corrigido", F.col("recebedor_corrigido") | F.col("dados_corrigidos")))
 
 
-def convert(records: DataFrame, filings: DataFrame, resolutions: DataFrame | None = None) -> Converted:
-    """Validate, audit, apply human answers and render records from prepare_records()."""
+def convert(records: DataFrame, filings: DataFrame, resolutions: DataFrame | None = None, stop: bool = False) -> Converted:
+    """Validate, audit, apply human answers and render records from prepare_records().
+
+    A filing with an open or unusable answer, a record that cannot be rendered or an unusable header is
+    blocked: it gets no line. With ``stop``, any blocked filing stops the job instead.
+    """
     audit = validate.audit_records(records)
     stats = report.run_statistics(records)
     errors = validate.validation_errors(records)
@@ -49,16 +45,43 @@ def convert(records: DataFrame, filings: DataFrame, resolutions: DataFrame | Non
     else:
         problems = resolve.resolution_problems(records, resolutions)
         solved = cut(resolve.apply_resolutions(records, resolutions))
+    open_ids = problems.groupBy("filing_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "filing_id", F.lit("pendencias").alias("motivo"), "n")
+    blocked = cut(render.blocked_filings(solved, filings).unionByName(open_ids))
+    if stop:
+        require_unblocked(blocked)
+    keep = lambda df: df.join(blocked.select("filing_id").distinct(), "filing_id", "left_anti")
     return Converted(
         solved, stats, errors, report.adjustments(audit, render.render_alerts(solved)), problems,
-        render.render_errors(solved), cut(render.numbered_filings(solved, filings)))
-
-
-def write_checked(spark: SparkSession, lines: DataFrame, path: str, strict: bool = True) -> DataFrame:
-    """Write filings and validate what is on disk; returns the verdict per filing."""
+        render.render_errors(solved), blocked, cut(render.numbered_filings(keep(solved), keep(filings))))
+
+
+def require_unblocked(blocked: DataFrame) -> None:
+    """Stop when a filing may not be written, naming the first few."""
+    left = blocked.orderBy("filing_id", "motivo").limit(6).collect()
+    if left:
+        shown = "; ".join(f"{r.filing_id}: {r.motivo} ({r.n})" for r in left[:5]) + ("; ..." if len(left) > 5 else "")
+        raise ValueError("filings cannot be written: " + shown)
+
+
+def write_checked(spark: SparkSession, lines: DataFrame, path: str, strict: bool = True,
+                  filings: DataFrame | None = None) -> DataFrame:
+    """Write filings and validate what is on disk; returns the verdict per filing.
+
+    With ``filings`` (filing_id, ano, mes, cnpj, relatorio) the folders bear their file names (K2) and so do the
+    verdicts; two filings of one name stop the job. The verdicts are of the filings written now.
+    """
+    if filings is not None:
+        names = filings.select("filing_id", render.filing_name(
+            F.col("ano"), F.col("mes"), F.col("cnpj"), F.col("relatorio")).alias("arquivo"))
+        twice = names.groupBy("arquivo").count().filter("count > 1").orderBy("arquivo").limit(5).collect()
+        if twice:
+            raise ValueError("one name for several filings: " + ", ".join(r.arquivo for r in twice))
+        lines = lines.join(names, "filing_id").drop("filing_id").withColumnRenamed("arquivo", "filing_id")
+    lines = cut(lines)
     files.write_filings(lines, path)
     back = files.read_back(spark, path)
-    status = N.filing_status(back)
+    status = N.filing_status(back).join(lines.select("filing_id").distinct(), "filing_id", "left_semi")
     if strict:
         N.require_valid(status, N.top_messages(back))
     return status

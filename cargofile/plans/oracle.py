@@ -330,12 +330,12 @@ ranked as (select *, row_number() over (partition by filing_id order by seq, f)
   from ranked where rn <= 5 group by filing_id""")
 ANSWERS = PENDING + "," + RESOLUTIONS + f""",
 ans0 as (select filing_id, nf_numero as nf, campo, {digits("coalesce(documento, '')")} as documento from resolutions),
-ans as (select *, {cnpj_ok('documento')} as okj, {cpf_ok('documento')} as okf from ans0),
-pk as (select distinct filing_id, nf, campo, campo_label, aceita_cpf from pend)"""
+ans as materialized (select *, {cnpj_ok('documento')} as okj, {cpf_ok('documento')} as okf from ans0),
+pk as materialized (select distinct filing_id, nf, campo, campo_label, aceita_cpf from pend)"""
 ORACLE["resolution_problems"] = duck_sql(ANSWERS, """
 select filing_id, nf, campo, 'pendencia_inexistente' as problema,
   concat('Documento informado para pendencia inexistente: NF ', nf, ' (', campo, ').') as mensagem
-  from ans a where not exists (select 1 from pk where pk.filing_id = a.filing_id and pk.nf = a.nf and pk.campo = a.campo)
+  from ans a anti join pk on pk.filing_id = a.filing_id and pk.nf = a.nf and pk.campo = a.campo
 union all
 select pk.filing_id, pk.nf, pk.campo, case when a.documento is null then 'documento_faltante' else 'documento_invalido' end,
   case when a.documento is null then concat('NF ', pk.nf, ' (', campo_label, ')')
@@ -444,6 +444,15 @@ select filing_id, row_number() over (partition by filing_id order by o) as line_
   select filing_id, seq * 8 + sub as o, tipo, value from rendered
   union all
   select filing_id, 0, 'EM', concat('EM', cnpj, {_MONTHCASE}, cast(ano as string), '00000010') from filings)""")
+ORACLE["complete_filings"] = duck_sql(RENDER + "," + FILINGS + ", bad as (select distinct filing_id from r5 where erro is not null)", f"""
+select filing_id, row_number() over (partition by filing_id order by o) as line_no, tipo, value from (
+  select filing_id, seq * 8 + sub as o, tipo, value from rendered
+  union all
+  select filing_id, 0, 'EM', concat('EM', cnpj, {_MONTHCASE}, cast(ano as string), '00000010') from filings) every
+where filing_id not in (select filing_id from bad)""")
+ORACLE["blocked_filings"] = duck_sql(RENDER + "," + FILINGS, """
+select filing_id, 'registros' as motivo, count(*) as n from r5 where erro is not null group by filing_id
+union all select filing_id, 'cabecalho', 1 from filings where mes % 4 = 0""")
 ORACLE["render_errors"] = duck_sql(RENDER, """select filing_id, seq, nf, case when destinatario_exterior then 'TI/PI' else 'TN' end as linha, erro as mensagem
   from r5 where erro is not null""")
 
@@ -652,18 +661,19 @@ ORACLE["memory_summary"] = duck_sql(COMPANY + _DIMS, """select count(*) as total
 
 # --- extraction: the reports were written from known values, so those are the answer ----------
 
-# Masked ids come before bare ones, so a bare contracting id takes the third place.
+# The ids in the order they are read: issuer, contracting party, recipient where all three are masked.
+# A bare contracting id comes after the masked recipient, and only if nobody else has it.
 ORACLE["extract_from_text"] = duck_sql(REPORTS + """,
-placed as (select *, case when h % 5 <> 0 then cdoc when not abroad then ddoc end as b, case when h % 5 = 0 then cdoc when not abroad then ddoc end as c
+roles as (select *, h % 5 <> 0 as masked_c, not abroad as masked_d, cdoc <> edoc and (abroad or cdoc <> ddoc) as new_c
   from report_base where h % 9 <> 4),
-placed2 as (select *, case when b <> edoc then b when c <> edoc then c end as second,
-  case when b <> edoc and c <> edoc and c <> b then c end as third from placed)""",
+placed2 as (select *, case when masked_c then cdoc when masked_d then ddoc when new_c then cdoc end as second,
+  case when masked_c and masked_d then ddoc when not masked_c and masked_d and new_c then cdoc end as third from roles)""",
     """select filing_id, nf as nf_numero, dmy as nf_data, cte as cte_numero, dmy as cte_data, edoc as emitente_cnpj, enome as emitente_nome,
   coalesce(second, edoc) as contratante_cnpj, case when h % 6 = 1 then enome else cnome end as contratante_nome,
   third as destinatario_cnpj, dnome as destinatario_nome, abroad as destinatario_exterior, dnome as recebedor from placed2""")
 ORACLE["extract_from_cells"] = duck_sql(CELLS, f"""
 select * from (
-  select filing_id, (page_no * 256 + 1) * 1048576 + r as seq,
+  select filing_id, (page_no * 3 + 1) * 4 + r as seq,
     case when r = 2 then nf when h % 2 = 0 or h % 9 <> 1 then cast(cast(nf as bigint) + 1 as string) end as nf_numero,
     case when r = 2 and h % 8 = 5 then null else dmy end as nf_data,
     cte as cte_numero, dmy as cte_data, dmy as data_entrega, edoc as emitente_cnpj, enome as emitente_nome,
@@ -672,6 +682,16 @@ select * from (
          when h % 7 = 1 and substr(ddoc, 12, 2) in ('14','15','16','17','18','19') then ddoc else ddoc end as destinatario_cnpj,
     dnome as destinatario_nome, abroad as destinatario_exterior, case when h % 3 = 2 then 'JOSE LIMA' else dnome end as recebedor
   from report_base, unnest([2, 3]) as s(r) where r = 3 or h % 8 <> 5) where nf_numero is not null""")
+# Pages with a table record, then the text (the last table of its page) of pages without one.
+ORACLE["extract_records"] = duck_sql(CELLS, """
+select t.filing_id, t.seq, t.nf_numero, t.cte_numero, t.emitente_cnpj, t.destinatario_exterior from (
+  select filing_id, page_no, (page_no * 1028 + case when page_no % 3 = 1 then 255 else 1026 end) * 4 + r as seq,
+    case when r = 2 then nf when h % 2 = 0 or h % 9 <> 1 then cast(cast(nf as bigint) + 1 as string) end as nf_numero,
+    cte as cte_numero, edoc as emitente_cnpj, abroad as destinatario_exterior
+  from report_base, unnest([2, 3]) as s(r) where (r = 3 or h % 8 <> 5) and page_no % 3 <> 0) t where nf_numero is not null
+union all
+select b.filing_id, (b.page_no * 1028 + 1027) * 4 + 1, b.nf, b.cte, b.edoc, b.abroad from report_base b
+where h % 9 <> 4 and (page_no % 3 = 0 or not ((h % 8 <> 5) or h % 2 = 0 or h % 9 <> 1))""")
 ORACLE["layout_check"] = duck_sql(REPORTS + """,
 first_pages as (select filing_id, arg_min(text, page_no) as t from report_pages group by filing_id),
 marks as (select filing_id, concat_ws(',', case when not regexp_matches(t, '(?i)EMITENTE') then 'EMITENTE' end, case when not regexp_matches(t, '(?i)DESTINAT[ÁAá]RIO') then 'DESTINATARIO' end,

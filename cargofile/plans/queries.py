@@ -114,6 +114,17 @@ def render_lines(spark, sf):
     return R.numbered_filings(inputs.records(spark, sf), inputs.filings(spark, sf))
 
 
+def complete_filings(spark, sf):
+    return R.complete_filings(inputs.records(spark, sf), inputs.filings(spark, sf))
+
+
+def blocked_filings(spark, sf):
+    """Headers as given, and with the year of every fourth filing out of range."""
+    heads = inputs.filings(spark, sf)
+    heads = heads.withColumn("ano", F.when(F.col("mes") % 4 == 0, 1999).otherwise(F.col("ano")))
+    return R.blocked_filings(inputs.records(spark, sf), heads)
+
+
 def render_errors(spark, sf):
     return R.render_errors(inputs.records(spark, sf))
 
@@ -237,6 +248,15 @@ def extract_from_text(spark, sf):
         "destinatario_exterior", "recebedor")
 
 
+def extract_records(spark, sf):
+    """Tables first, page text for pages without a table record; table numbers of up to 1026."""
+    rows = inputs.report_rows(spark, sf)
+    rows = rows.filter(F.col("page_no") % 3 != 0).withColumn("table_no", F.when(
+        F.col("page_no") % 3 == 1, F.lit(255)).otherwise(F.lit(1026)))
+    return X.extract_records(inputs.report_pages(spark, sf), rows).select(
+        "filing_id", "seq", "nf_numero", "cte_numero", "emitente_cnpj", "destinatario_exterior")
+
+
 def layout_check(spark, sf):
     first = inputs.report_pages(spark, sf).groupBy("filing_id").agg(F.min("page_no").alias("page_no"))
     pages = inputs.report_pages(spark, sf).join(first, ["filing_id", "page_no"]).withColumn("page_no", F.lit(1))
@@ -328,6 +348,8 @@ QUERIES = {
     "apply_resolutions": apply_resolutions,
     "resolution_problems": resolution_problems,
     "render_lines": render_lines,
+    "complete_filings": complete_filings,
+    "blocked_filings": blocked_filings,
     "render_errors": render_errors,
     "render_alerts": render_alerts,
     "distinct_companies": distinct_companies,
@@ -357,6 +379,7 @@ QUERIES = {
     "memory_lookup": memory_lookup,
     "extract_from_text": extract_from_text,
     "extract_from_cells": extract_from_cells,
+    "extract_records": extract_records,
     "layout_check": layout_check,
     "repair_ocr_documents": repair_ocr_documents,
     "analyst_summary": analyst_summary,

@@ -199,3 +199,73 @@ def test_hot_filing_is_sliced(spark):
     plan = render.number_lines(df)._jdf.queryExecution().executedPlan().toString()
     window = [p for p in plan.splitlines() if "Window [" in p]
     assert window and all("_slice" in p for p in window)
+
+
+def test_slices_stay_bounded_with_an_outlier_and_a_dense_cluster(spark):
+    from cargofile.operators import ordered
+
+    rows = [(i,) for i in range(3000)] + [(9 * 10**12,), (2**62 + 5,)] + [(2**62 + 100 + i,) for i in range(500)]
+    df = spark.createDataFrame(rows, "o long").withColumn("g", F.lit("F")).repartition(4)
+    sliced = ordered.with_slice(df, ["g"], "o", rows=100)
+    sizes = sliced.groupBy("g", "_slice").count().collect()
+    assert max(r["count"] for r in sizes) <= 200 and len(sizes) >= 35
+    ordinals = {r.o: r.n for r in ordered.number_rows(df, ["g"], "o", "n", rows=100).collect()}
+    assert ordinals == {o: k for k, (o,) in enumerate(sorted(rows), 1)}
+
+
+def test_ids_of_a_text_block(spark):
+    """Masked ids keep their order and repeats; later tiers only add new ids."""
+    from cargofile.functions import extraction as E
+
+    m = lambda d: f"{d[:2]}.{d[2:5]}.{d[5:8]}/{d[8:12]}-{d[12:]}"
+    for text, want in (
+            (f"{m(A)} {m(A)} {m(B)}", [A, A, B]), (f"{m(A)} {m(B)} {m(C)} {m(A)}", [A, B, C]), (f"{m(A)} x\nCNPJ: {A}\nCNPJ: {C}", [A, C]),
+            (f"{m(A)} {m(B)}\nFONE: (11) 4444-5555", [A, B]), (f"CNPJ/CPF: {A}\nCPF: {P}", [A, P]), ("FONE 11944445555", [])):
+        assert one(spark, E.block_documents, text) == want
+    page = f"EMITENTE\nALFA\nCNPJ/CPF: {m(A)}\nCONTRATANTE\nALFA\nCNPJ/CPF: {m(A)}\nDESTINATÁRIO\nBETA\nCNPJ/CPF: {m(B)}\nNF: 5555\nNº CT-E: 12\n"
+    row = extract.extract_records_from_text(spark.createDataFrame([("R", 1, page)], "filing_id string, page_no bigint, text string")).first()
+    assert (row.emitente_cnpj, row.contratante_cnpj, row.destinatario_cnpj) == (A, A, B)
+
+
+def test_many_tables_on_a_page(spark):
+    """Table numbers from 255 on neither hide the text of other pages nor collide with text."""
+    m = lambda d: f"{d[:2]}.{d[2:5]}.{d[5:8]}/{d[8:12]}-{d[12:]}"
+    cells = [["EMITENTE\nALFA LTDA\nCNPJ/CPF: " + m(A)], ["Nº CT-E: 77 DATA: 01/02/2026"], ["QUANTIDADE\n2.0", "DATA NF\n29/12/2025", "NF\n11288"]]
+    rows = spark.createDataFrame([("R", 1, t, i, c) for t in (255, 256, 70000) for i, c in enumerate(cells)],
+                                 "filing_id string, page_no bigint, table_no int, row_no int, cells array<string>")
+    block = f"EMITENTE\nALFA\nCNPJ/CPF: {m(A)}\nNF: 5555 01/01/2026\nNº CT-E: 12\n"
+    pages = spark.createDataFrame([("R", 1, block), ("R", 2, block * 3)], "filing_id string, page_no bigint, text string")
+    got = extract.extract_records(pages, rows).orderBy("seq").collect()
+    assert [r.nf_numero for r in got] == ["11288"] * 3 + ["5555"] * 3 and len({r.seq for r in got}) == 6
+
+
+def test_repair_reads_every_combination(spark):
+    """A token with far more readings than any fixed number of tries."""
+    def valid(d):
+        return len(set(d)) > 1 and d == cnpj(d[:12])
+    for token in ("11111111.22222222.00000000/55555555-" + cnpj("112220005555")[12:], "12345678.11111111.00000000/22222222-99"):
+        a, b, rest = token.split(".")
+        c, rest = rest.split("/")
+        e, f = rest.split("-")
+        parts = [sorted({"".join(x) for x in itertools.combinations(g, k)}) for g, k in zip((a, b, c, e, f), (2, 3, 3, 4, 2))]
+        found = {d for d in map("".join, itertools.product(*parts)) if valid(d)}
+        df = spark.createDataFrame([(token,)], "text string")
+        got = [r.doc for r in extract.repair_documents(df).collect()]
+        assert got == (list(found) if len(found) == 1 else [])
+
+
+def test_incomplete_filings_are_blocked(spark, tmp_path):
+    rows = [good(), good(filing_id="F2"), good(filing_id="F2", nf_numero="2", emitente_cnpj=P), good(filing_id="F3")]
+    heads = spark.createDataFrame([("F1", A, 2, 2026, "a"), ("F2", A, 2, 2026, "b"), ("F3", A, 13, 2026, "c")],
+                                  "filing_id string, cnpj string, mes int, ano int, relatorio string")
+    out = jobs.convert(jobs.prepare_records(records(spark, rows)), heads)
+    assert {r.filing_id for r in out.lines.select("filing_id").distinct().collect()} == {"F1"}
+    assert {(r.filing_id, r.motivo) for r in out.blocked.collect()} >= {("F2", "registros"), ("F3", "cabecalho")}
+    with pytest.raises(ValueError, match="F2"):
+        jobs.require_unblocked(out.blocked)
+    # The next batch leaves earlier filings in the folder alone; folders bear the file names.
+    first = jobs.write_checked(spark, out.lines, str(tmp_path / "o"), filings=heads.filter("filing_id = 'F1'"))
+    again = out.lines.withColumn("filing_id", F.lit("F9"))
+    jobs.write_checked(spark, again, str(tmp_path / "o"))
+    assert [(r.filing_id, r.valido) for r in first.collect()] == [(f"M2026FEV{A}_A.txt", True)]
+    assert S.read_back(spark, str(tmp_path / "o")).select("filing_id").distinct().count() == 2
