@@ -31,10 +31,18 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """A narrow df in as many partitions as the cluster has cores at most, so that it is written as few files."""
+    """A narrow df in as many partitions as the cluster has cores at most, so that it is written as few files.
+
+    The stage that makes df runs in as few tasks; where it does much work, spread() leaves it its own.
+    """
     return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """few() by a shuffle of the narrow rows, so that the stage before keeps its tasks."""
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import alphanumeric_table, few, stored
+from cargofile.llm.common import alphanumeric_table, spread, stored
 
 TABLE = alphanumeric_table()
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -59,7 +59,7 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("quality").cast("double").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), meta_slots().alias("meta"),
                        measures(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("m"))
-    rows = stored(few(rows.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id")), "measures")
+    rows = stored(spread(rows.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id")), "measures")
     steps = [k / BINS for k in range(1, BINS)]
     cuts = rows.agg(*[F.percentile_approx(F.col("m")[k], steps, 1000).alias(f"c{k}") for k in range(len(TEXT_FEATURES))]).first()
     slots = []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cargofile.llm.common import few, fresh, hot_join
+from cargofile.llm.common import few, fresh, hot_join, spread
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ class BlobLedger:
         next_, new = self.batches + 1, self.unseen(versions)
         found = matches(new, self.rules, F.col("todo"))
         keys = F.create_map(*[x for r in self.rules for x in (F.lit(r.kind), F.lit(r.key))])
-        few(found.select("blob", keys[F.col("kind")].alias("rule"), "kind", "start", "stop")).write.mode("overwrite").parquet(
+        spread(found.select("blob", keys[F.col("kind")].alias("rule"), "kind", "start", "stop")).write.mode("overwrite").parquet(
             f"{self.root}/findings/{next_:06d}")
         scans = versions.select(blob_id(F.col("text")).alias("blob")).distinct()
         few(scans.withColumn("rules", F.array(*[F.lit(r.key) for r in self.rules]))).write.mode("overwrite").parquet(
