@@ -112,8 +112,11 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     text = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     # At most positives + unlabelled ids.
     rows = text.join(F.broadcast(chosen), "doc_id").select("role", "text").mapInPandas(
-        features, "role int, words array<int>").toPandas()
-    sets = {role: [np.asarray(w, np.int64) for w in rows.loc[rows["role"] == role, "words"]] for role in (0, 1)}
+        features, "role int, words array<int>").toArrow()
+    # Views of one flat array; no document has objects of its own.
+    role, words = rows.column("role").to_numpy(), rows.column("words").combine_chunks()
+    flat, ends = words.values.to_numpy(), words.offsets.to_numpy()
+    sets = {r: [flat[ends[k]:ends[k + 1]] for k in np.nonzero(role == r)[0]] for r in (0, 1)}
     if not sets[0] or not sets[1]:
         return None
     words, weights = fit(sets[1], sets[0], min(prior, 0.95))
