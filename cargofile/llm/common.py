@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Rows up to which a narrow table of ids may be broadcast (16 bytes a row in the task, about 50 MB as Spark holds it).
 BROADCAST_ROWS = 500_000
+ARROW_ROWS = 1_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,6 +31,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def lean(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most ARROW_ROWS from now on: whole texts are long, and so are their batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def few(df: DataFrame) -> DataFrame:
     """A narrow df in as many partitions as the cluster has cores at most, so that it is written as few files.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import BROADCAST_ROWS, fresh
+from cargofile.llm.common import BROADCAST_ROWS, fresh, lean
 from cargofile.llm.contamination import occurrences
 from cargofile.llm.linededup import dedup_lines
 from cargofile.llm.neardup import near_duplicates
@@ -16,6 +16,7 @@ from cargofile.llm.toxicity import learn, scored
 
 def wrapped(docs: DataFrame) -> DataFrame:
     """doc_id, text and the whole row as one column, so that no column of docs clashes with a result."""
+    lean(docs.sparkSession)
     return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
