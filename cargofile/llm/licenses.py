@@ -1,23 +1,26 @@
-"""License scans: winnowed fingerprints of templates pick candidates, banded alignment reports coverage and spans."""
+"""License scans: the rarest words of templates pick stretches, which local alignment reads for coverage and spans."""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import WordHashes, alphanumeric_table, runs
+from cargofile.llm.common import alphanumeric_table
 
 TABLE = alphanumeric_table()
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-GRAM = 3
-WINDOW = 2
-BAND = 8
 LEAST_COVERAGE = 0.8
 SHARD_WORDS = 200_000
+# A cell of an alignment in one integer: score, matches, and how far its first word lies before the last possible one.
+FIRST_BITS, MATCH_BITS = 22, 18
+MATCH, SCORE = 1 << FIRST_BITS, 1 << (FIRST_BITS + MATCH_BITS)
+# Words of text that are aligned at a time at least.
+PIECE = 65_536
 
 # License notices.
 TEMPLATES = {
@@ -40,96 +43,160 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
-def winnowed(hashes: np.ndarray) -> np.ndarray:
-    """Positions of the grams that are smallest (the last of equals) in some window of WINDOW grams in a row."""
-    grams = runs(hashes, GRAM)
-    if len(grams) < WINDOW:
-        return np.arange(len(grams))
-    every = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    last = WINDOW - 1 - np.argmin(every[:, ::-1], axis=1)
-    return np.unique(np.arange(len(every)) + last)
+def shifted(row: np.ndarray, at: int, lo: int, hi: int) -> np.ndarray:
+    """Cells lo to hi of a row that begins at `at`; zero outside."""
+    out = np.zeros(hi - lo, np.int64)
+    first, last = max(lo, at), min(hi, at + len(row))
+    if first < last:
+        out[first - lo:last - lo] = row[first - at:last - at]
+    return out
 
 
-class Index:
-    """Inverted index of a shard of templates: fingerprint to (template, word position)."""
-
-    def __init__(self, templates: list[tuple[str, str]]):
-        hashes = WordHashes()
-        self.templates = [(name, words(text)) for name, text in templates]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for nr, (_, own) in enumerate(self.templates):
-            grams = runs(hashes.of(own), GRAM)
-            for at in winnowed(hashes.of(own)).tolist():
-                self.places[int(grams[at])].append((nr, at))
-        self.prints = np.array(sorted(self.places), np.uint64)
-
-    def gap(self, nr: int) -> int:
-        """Words by which starts of one place may differ: less than a template's length, so copies in a row stay apart."""
-        return min(BAND, len(self.templates[nr][1]) // 2)
-
-    def candidates(self, hashes: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """(template, first word of a region): the word positions at which it would start, close to each other."""
-        if not len(hashes) or not len(self.prints):
-            return {}
-        grams = runs(hashes, GRAM)
-        at = winnowed(hashes)
-        mine = grams[at]
-        slot = np.minimum(np.searchsorted(self.prints, mine), len(self.prints) - 1)
-        starts = defaultdict(list)
-        for k in np.nonzero(self.prints[slot] == mine)[0].tolist():
-            for nr, place in self.places[int(mine[k])]:
-                starts[nr].append(int(at[k]) - place)
-        regions = {}
-        for nr, found in starts.items():
-            found.sort()
-            first, gap = 0, self.gap(nr)
-            for k in range(1, len(found) + 1):
-                if k == len(found) or found[k] - found[k - 1] > gap or found[k] - found[first] > 2 * gap:
-                    regions[nr, found[first]] = found[first:k]
-                    first = k
-        return regions
+def cells(text: np.ndarray, template: np.ndarray, start: int, band: int):
+    """(first word, cells) of the local alignment of each template word, for the words of text within band of a diagonal.
+
+    Scores 1 for a match, -1 for a substitution or a gap; 0 where nothing of positive score ends. Of equal scores the
+    alignment with more matches wins, then the one that starts first.
+    """
+    before, at = np.zeros(0, np.int64), 0
+    for i, word in enumerate(template.tolist()):
+        lo = min(max(0, start + i - band), len(text))
+        hi = max(lo, min(len(text), start + i + band + 1))
+        place = np.arange(lo, hi, dtype=np.int64)
+        corner = shifted(before, at, lo - 1, hi - 1)
+        hit = np.where(corner > 0, corner + (SCORE + MATCH), SCORE + MATCH + MATCH - 1 - place)
+        now = np.where(text[lo:hi] == word, hit, corner - SCORE)
+        now = np.maximum(now, shifted(before, at, lo, hi) - SCORE)
+        # Gaps in the template: the best of all cells before, less one for every word between.
+        steps = (place - lo) * SCORE
+        now = np.maximum.accumulate(now + steps) - steps
+        now[now < SCORE] = 0
+        yield lo, now
+        before, at = now, lo
 
 
 def aligned(text: list[bytes], template: list[bytes], start: int, band: int) -> tuple[int, int, int]:
     """(matched template words, first and last word of text) of the best local alignment within band of a diagonal.
 
-    Scores 1 for a match, -1 for a substitution or a gap. Of equal scores the one with more matches wins, then the first to
-    end.
+    Of equal scores the one with more matches wins, then the first to end.
+    """
+    ids = {w: k for k, w in enumerate(dict.fromkeys(template), 1)}
+    best, out = 0, (0, 0, -1)
+    for lo, row in cells(np.array([ids.get(w, 0) for w in text]), np.array([ids[w] for w in template]), start, band):
+        top = int(np.argmax(row // MATCH)) if len(row) else 0
+        if len(row) and row[top] // MATCH > best:
+            best = int(row[top]) // MATCH
+            out = best % (1 << MATCH_BITS), MATCH - 1 - int(row[top]) % MATCH, lo + top
+    return out
+
+
+class Index:
+    """Inverted index of a shard of templates: each template's rarest words.
+
+    A place has at least `least` of a template's n words, m of them, so it has one of any n - m + 1 words of the template:
+    those that the fewest templates have, longer words first. Its score is positive, so it spans under 2 m words of text.
     """
-    best, ends, before = (0, 0, 0, -1), {}, {}
-    for i, word in enumerate(template):
-        ends = {}
-        for d in range(-band, band + 1):
-            j = start + i + d
-            if not 0 <= j < len(text):
+
+    def __init__(self, templates: list[tuple[str, str]], least: float):
+        self.ids: dict[bytes, int] = {}
+        self.templates: list[tuple[str, np.ndarray, int]] = []
+        self.anchors: dict[int, list[int]] = defaultdict(list)
+        cut = [(name, words(text)) for name, text in templates]
+        often = Counter(w for _, own in cut for w in set(own))
+        for name, own in cut:
+            n = len(own)
+            if n >= 1 << MATCH_BITS:
+                raise ValueError(f"template {name} has {n} words; less than {1 << MATCH_BITS} can be aligned")
+            needed = next((k for k in range(1, n + 1) if k / n >= least), 0)
+            if not needed:
                 continue
-            # score, matches, first word
-            same = text[j] == word
-            up = before.get(j - 1, (0, 0, j))
-            options = [(up[0] + 1, up[1] + 1, up[2])] if same else [(up[0] - 1, up[1], up[2])]
-            if j in before:
-                options.append((before[j][0] - 1, *before[j][1:]))
-            if j - 1 in ends:
-                options.append((ends[j - 1][0] - 1, *ends[j - 1][1:]))
-            top = max(options, key=lambda x: (x[0], x[1], -x[2]))
-            if top[0] > 0:
-                ends[j] = top
-                if top[:2] > best[:2]:
-                    best = (top[0], top[1], top[2], j)
-        before = ends
-    return best[1:]
-
-
-def found_in(text: str, indexes: list[Index], hashes: WordHashes, least: float) -> list[tuple[str, float, int, int, int]]:
+            rare = sorted(own, key=lambda w: (often[w], -len(w), w))[:n - needed + 1]
+            for word in own:
+                self.ids.setdefault(word, len(self.ids) + 1)
+            for word in sorted(set(rare)):
+                self.anchors[self.ids[word]].append(len(self.templates))
+            self.templates.append((name, np.array([self.ids[w] for w in own], np.int64), needed))
+        self.anchored = np.zeros(len(self.ids) + 1, bool)
+        self.anchored[list(self.anchors)] = True
+        self.counts = [np.unique(own, return_counts=True) for _, own, _ in self.templates]
+
+    def numbers(self, text: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.get, text, repeat(0)), np.int64, len(text))
+
+    def reach(self, nr: int) -> int:
+        return 2 * len(self.templates[nr][1]) - 1
+
+    def stretches(self, text: np.ndarray, nr: int, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Parts of text[lo:hi] outside of which nothing can have enough words: those two reaches long that share as many
+        words with the template, repeats counted, are merged. Every place lies whole in one of them."""
+        reach, (own, counts), out = self.reach(nr), self.counts[nr], []
+        for first in range(lo, max(lo + 1, hi - reach), reach):
+            part = text[first:min(hi, first + 2 * reach)]
+            slot = np.minimum(np.searchsorted(own, part), len(own) - 1)
+            found = np.bincount(slot[own[slot] == part], minlength=len(own))
+            if np.minimum(found, counts).sum() >= self.templates[nr][2]:
+                if out and out[-1][1] >= first:
+                    out[-1][1] = first + len(part)
+                else:
+                    out.append([first, first + len(part)])
+        return [tuple(x) for x in out]
+
+    def candidates(self, text: np.ndarray):
+        """(template, first and end of a stretch of text) in which every place of the template lies."""
+        found = defaultdict(list)
+        for at in np.nonzero(self.anchored[text])[0].tolist():
+            for nr in self.anchors[int(text[at])]:
+                found[nr].append(at)
+        for nr, at in found.items():
+            reach, first = self.reach(nr), 0
+            for k in range(1, len(at) + 1):
+                if k == len(at) or at[k] - at[k - 1] >= 2 * reach:
+                    yield nr, max(0, at[first] - reach + 1), min(len(text), at[k - 1] + reach)
+                    first = k
+
+    def places(self, text: np.ndarray, nr: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """(matched, first and last word) in text[lo:hi] that do not overlap: best score first, then more matches, then the
+        first to end; then what the parts between them hold."""
+        _, template, needed = self.templates[nr]
+        out, todo = [], [(lo, hi)]
+        while todo:
+            for first, end in self.stretches(text, nr, *todo.pop()):
+                spans = sorted(self._spans(text[first:end], template, needed, self.reach(nr)), key=lambda x: x[1])
+                out += [(matched, first + a, first + b) for matched, a, b in spans]
+                edges = [-1, *[x for _, a, b in spans for x in (a, b)], end - first]
+                todo += [(first + a + 1, first + b) for a, b in zip(edges[::2], edges[1::2]) if spans and b - a > needed]
+        return out
+
+    @staticmethod
+    def _spans(text: np.ndarray, template: np.ndarray, needed: int, reach: int) -> list[tuple[int, int, int]]:
+        # Per last word the best alignment that has enough matches. A piece knows those that start a reach after it.
+        top, start, length = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), max(PIECE, 4 * reach)
+        for at in range(0, max(1, len(text) - reach), length - reach):
+            part = text[at:at + length]
+            best = np.zeros(len(part), np.int64)
+            for i, (_, row) in enumerate(cells(part, template, 0, len(part) + len(template))):
+                if i + 1 >= needed:
+                    enough = (row // MATCH) % (1 << MATCH_BITS) >= needed
+                    np.maximum(best, row, out=best, where=enough)
+            own = slice(reach if at else 0, None)
+            top[at:at + length][own], start[at:at + length][own] = (best // MATCH)[own], (at + MATCH - 1 - best % MATCH)[own]
+        out, taken = [], np.zeros(len(text), bool)
+        ends = np.nonzero(top)[0]
+        for last in ends[np.lexsort((ends, -top[ends]))].tolist():
+            if not taken[start[last]:last + 1].any():
+                taken[start[last]:last + 1] = True
+                out.append((int(top[last]) % (1 << MATCH_BITS), int(start[last]), last))
+        return out
+
+
+def found_in(text: str, indexes: list[Index]) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, start, stop, matched words) in a text; offsets in code points, stop exclusive."""
     own, out, spans = words(text), [], None
-    hashed = hashes.of(own)
     for index in indexes:
-        for (nr, _), starts in index.candidates(hashed).items():
-            name, template = index.templates[nr]
-            middle = (starts[0] + starts[-1]) // 2
-            matched, first, last = aligned(own, template, middle, index.gap(nr) + (starts[-1] - starts[0] + 1) // 2)
-            if matched and matched / len(template) >= least:
+        numbers = index.numbers(own)
+        for nr, lo, hi in index.candidates(numbers):
+            name, template, _ = index.templates[nr]
+            for matched, first, last in index.places(numbers, nr, lo, hi):
                 if spans is None:
                     data = text.encode("utf-8", "surrogatepass")
                     spans = [m.span() for m in WORD.finditer(data)]
@@ -141,11 +208,11 @@ def found_in(text: str, indexes: list[Index], hashes: WordHashes, least: float)
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, start, stop, matched): each place where at least `least` of a template's words align.
 
-    Words are runs of letters and digits, A-Z lower-cased. Grams of three words, the smallest of each two in a row, are
-    looked up in the templates' inverted index: a stretch of four equal words always has a common fingerprint. Hits whose
-    start estimates lie within BAND words, or half a template, form a region, which is aligned once within the band. Templates come in shards
-    of bounded words. Null or empty texts have no place; templates of under three words match as a whole; repeated rows
-    report each; an empty table gives no rows; other columns are ignored.
+    Words are runs of letters and digits, A-Z lower-cased. Every local alignment that has as many matches is found: its
+    words cannot all miss the template's rarest ones, which are looked up in an inverted index, and stretches around them
+    that share enough words with the template are aligned whole, without a band. Places of one template do not overlap.
+    Templates come in shards of bounded words; those without a word are ignored. Null or empty texts have no place;
+    repeated rows report each; an empty table gives no rows; other columns are ignored.
     """
     shards, size = [[]], 0
     for name, text in sorted((templates or TEMPLATES).items()):
@@ -159,10 +226,10 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, leas
     def scan(batches):
         import pandas as pd
 
-        indexes, hashes = [Index(s) for s in sent.value], WordHashes()
+        indexes = [Index(s, least) for s in sent.value]
         for batch in batches:
             rows = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["text"])
-                    for hit in found_in(text, indexes, hashes, least)]
+                    for hit in found_in(text, indexes)]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "start", "stop", "matched"]).astype(
                 {"doc_id": "Int64", "start": "int64", "stop": "int64", "matched": "int64", "coverage": "float64"})
 

@@ -1,6 +1,7 @@
 import random
 
-from cargofile.llm.licenses import TEMPLATES, aligned, license_spans, words
+import pytest
+from cargofile.llm.licenses import LEAST_COVERAGE, TEMPLATES, Index, aligned, found_in, license_spans, words
 
 
 def test_planted_notices_are_found_with_their_spans(frame, words, corner_texts):
@@ -61,3 +62,48 @@ def test_band_finds_what_full_alignment_finds():
         start = text.index(copy[0])
         assert aligned(text, template, start, 8)[0] >= edit_free(text, template) - 1
     assert words("A-b C") == [b"a", b"b", b"c"]
+
+
+def edits(own):
+    """Every text that one word put in, left out or replaced makes."""
+    for k in range(len(own) + 1):
+        yield own[:k] + ["zz"] + own[k:]
+    for k in range(len(own)):
+        yield own[:k] + own[k + 1:]
+        yield own[:k] + ["zz"] + own[k + 1:]
+
+
+def without_search(text, template, least):
+    """Matches of the best local alignment of the whole text that has enough of them, or none."""
+    best, before = (0, 0), {}
+    for word in template:
+        now = {}
+        for j, other in enumerate(text):
+            up = before.get(j - 1, (0, 0))
+            options = [(up[0] + 1, up[1] + 1) if other == word else (up[0] - 1, up[1])]
+            options += [(x[j - d][0] - 1, x[j - d][1]) for x, d in ((before, 0), (now, 1)) if j - d in x]
+            top = max(options)
+            if top[0] > 0:
+                now[j] = top
+                if top[1] / len(template) >= least:
+                    best = max(best, top)
+        before = now
+    return [best[1]] if best[1] else []
+
+
+def test_short_notices_with_one_word_changed(frame):
+    docs = [(1, "Released under MIT License."), (2, "x Released under an MIT License. y"), (3, "Released under License."),
+            (4, "Released under MIT License. Released under the MIT License. Released under MIT License.")]
+    rows = [r for r in license_spans(frame(docs)).collect() if r.license == "MIT"]
+    assert sorted((r.doc_id, r.coverage, r.start, r.stop) for r in rows) == [
+        (1, 0.8, 0, 26), (2, 0.8, 2, 31), (4, 0.8, 0, 26), (4, 0.8, 60, 86), (4, 1.0, 28, 58)]
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_every_single_and_double_edit_is_found_as_without_search(name):
+    own = [w.decode() for w in words(TEMPLATES[name])]
+    index = Index(sorted(TEMPLATES.items()), LEAST_COVERAGE)
+    texts = {tuple(x) for once in edits(own) for x in (once, *edits(once))}
+    for text in sorted(texts):
+        found = [matched for hit, _, _, _, matched in found_in(" ".join(text), [index]) if hit == name]
+        assert found == without_search(words(" ".join(text)), words(TEMPLATES[name]), LEAST_COVERAGE), text
