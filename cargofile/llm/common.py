@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,23 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def last_complete(spark: SparkSession, root: str, columns: list[str]) -> tuple[int, ...]:
+    """Values of the whole-number columns in the row of `root`'s manifest whose first is largest; zeros if it has none."""
+    try:
+        rows = spark.read.schema(", ".join(f"{c} long" for c in columns)).parquet(f"{root}/complete")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return (0,) * len(columns)
+    return tuple(rows.orderBy(F.desc(columns[0])).first() or (0,) * len(columns))
+
+
+def completed(spark: SparkSession, root: str, values: dict[str, int]) -> None:
+    """Adds a row to `root`'s manifest: one file, so a reader sees all of it or nothing. Written when all else is."""
+    spark.range(1).coalesce(1).select(*[F.lit(v).cast("long").alias(c) for c, v in values.items()]).write.mode(
+        "append").parquet(f"{root}/complete")
+
+
 def lean(spark: SparkSession) -> None:
     """Rows go to Python in batches of at most ARROW_ROWS from now on: whole texts are long, and so are their batches."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cargofile.llm.common import few, fresh, hot_join, spread
+from cargofile.llm.common import completed, few, fresh, hot_join, last_complete, spread
 
 
 @dataclass(frozen=True)
@@ -77,19 +77,25 @@ class BlobLedger:
     """What has been scanned, and what was found, by content, in a shared folder.
 
     scans: (blob, rules), the rule versions a text was scanned for; findings: (blob, rule, kind, start, stop). Each update
-    adds a batch to both, findings first: a job lost between them scans again and writes the same findings, which reading
-    makes distinct. A text that comes back, at any path and in any version of it, is not scanned again for a rule
-    version it was scanned for.
+    adds a batch to both and then its number to the manifest `complete`. Batches count from there on, for every ledger
+    that is opened on the folder, with any rules; only a batch of a lost job, which the manifest lacks, is written over.
+    A text that comes back, at any path and in any version of it, is not scanned again for a rule version it was
+    scanned for. One job at a time may update a folder.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, rules: tuple[Rule, ...] = RULES):
         self.spark, self.root, self.rules, self.batches = spark, root or fresh(spark, "blobs"), rules, 0
+        self._open()
+
+    def _open(self) -> None:
+        self.batches, = last_complete(self.spark, self.root, ["batch"])
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/{name}/{k:06d}" for k in range(1, self.batches + 1)])
 
     def unseen(self, versions: DataFrame) -> DataFrame:
         """(blob, text, todo): one row per distinct text that lacks a scan, with the rule versions it lacks."""
+        self._open()
         every = F.array(*[F.lit(r.key) for r in self.rules])
         texts = versions.select(blob_id(F.col("text")).alias("blob"),
                                 F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -103,7 +109,8 @@ class BlobLedger:
 
     def update(self, versions: DataFrame) -> None:
         """Scans what versions (path columns, text) bring that is new. A null text is an empty one."""
-        next_, new = self.batches + 1, self.unseen(versions)
+        new = self.unseen(versions)
+        next_ = self.batches + 1
         found = matches(new, self.rules, F.col("todo"))
         keys = F.create_map(*[x for r in self.rules for x in (F.lit(r.kind), F.lit(r.key))])
         spread(found.select("blob", keys[F.col("kind")].alias("rule"), "kind", "start", "stop")).write.mode("overwrite").parquet(
@@ -111,10 +118,12 @@ class BlobLedger:
         scans = versions.select(blob_id(F.col("text")).alias("blob")).distinct()
         few(scans.withColumn("rules", F.array(*[F.lit(r.key) for r in self.rules]))).write.mode("overwrite").parquet(
             f"{self.root}/scans/{next_:06d}")
+        completed(self.spark, self.root, {"batch": next_})
         self.batches = next_
 
     def findings(self) -> DataFrame:
         """Distinct (blob, kind, start, stop) by the current rule versions."""
+        self._open()
         return self._read("findings").where(F.col("rule").isin([r.key for r in self.rules])).select(
             "blob", "kind", "start", "stop").distinct()
 

@@ -53,3 +53,20 @@ def test_empty_table(spark, frame):
     ledger = BlobLedger(spark)
     ledger.update(frame([]))
     assert ledger.by_path(frame([])).collect() == []
+
+
+def test_reopened_ledger_goes_on_where_the_folder_ends(spark, frame):
+    first = BlobLedger(spark)
+    first.update(frame(SECRETS[:3]))
+    second = BlobLedger(spark, first.root)
+    assert second.unseen(frame(SECRETS[:3])).collect() == []
+    second.update(frame(SECRETS[3:5]))
+    # A lost job leaves a part of a batch that is in no manifest.
+    second.findings().write.parquet(f"{first.root}/findings/000003")
+    first.update(frame(SECRETS[5:]))
+    newer = BlobLedger(spark, first.root, RULES[1:] + (Rule("assign", r"password: [a-z]+", version=2),))
+    assert {tuple(r.todo) for r in newer.unseen(frame(SECRETS)).collect()} == {("assign@2",)}
+    df = frame(SECRETS)
+    rows = BlobLedger(spark, first.root).by_path(df).select("doc_id", spans_text(of_kind(
+        F.col("found"), [r.kind for r in BASE])).alias("s")).collect()
+    assert sorted((r.doc_id, r.s) for r in rows) == [(d, brute(t)) for d, t in SECRETS]
