@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import few, fresh, hot_join, mixed
+from cargofile.llm.common import completed, few, fresh, hot_join, last_complete, mixed
 
 LEAST_CHARS = 10
 SHARD_KEYS = 50_000
@@ -115,14 +115,21 @@ class LineIndex:
 
     log: one row per (line key, document) reference, +1 when a document comes and -1 when it goes. counts: what the log
     sums to, exact: how many documents hold the key and the smallest of them. filters: per shard of keys a cuckoo filter
-    of the keys that two documents or more hold, updated by what an insertion or deletion changed. Every version of counts
-    and filters is a new folder that is used only once it is complete, so a lost job can be run again.
+    of the keys that two documents or more hold, updated by what an insertion or deletion changed. When the keys outgrow
+    the shards these are cut anew, twice as many at least, and all filters are built from the counts. Every version is a
+    new folder that is used only once it is complete: its number and shards are then added to the manifest `complete`,
+    from which every index opened on the folder goes on. A lost job can be run again. One job at a time may change a folder.
     Keys are 128-bit hashes. A document counts once however often it holds a line or is given.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, shard_keys: int = SHARD_KEYS):
         self.spark, self.root = spark, root or fresh(spark, "lines")
-        self.shard_keys, self.shards, self.version = shard_keys, 1, 0
+        self.shard_keys = shard_keys
+        self._open()
+
+    def _open(self) -> None:
+        self.version, shards = last_complete(self.spark, self.root, ["version", "shards"])
+        self.shards = max(1, shards)
 
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/{version:06d}"
@@ -139,11 +146,13 @@ class LineIndex:
             return self.spark.createDataFrame([], "shard long, data binary")
         return self.spark.read.parquet(self._path("filters", self.version))
 
-    def log(self) -> DataFrame:
-        return self.spark.read.parquet(*[self._path("log", v) for v in range(1, self.version + 1)])
+    def log(self, version: int | None = None) -> DataFrame:
+        version = self.version if version is None else version
+        return self.spark.read.parquet(*[self._path("log", v) for v in range(1, version + 1)])
 
     def insert(self, docs: DataFrame) -> None:
         """Adds documents (doc_id, text). Rows without doc_id hold no reference; given again, a document adds nothing."""
+        self._open()
         new = line_keys(plain(docs).where("doc_id is not null")).select("h1", "h2", "doc_id").distinct()
         if self.version:
             new = new.join(self._live(self.log()), ["h1", "h2", "doc_id"], "left_anti")
@@ -151,6 +160,7 @@ class LineIndex:
 
     def delete(self, ids: DataFrame) -> None:
         """Removes documents by doc_id; lines that only they shared are unique again, and owners move on."""
+        self._open()
         if self.version:
             gone = self._live(self.log()).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
             self._step(gone.select("h1", "h2", "doc_id", F.lit(-1).alias("sign")))
@@ -163,18 +173,30 @@ class LineIndex:
         old = self.counts()
         next_ = self.version + 1
         few(change).write.mode("overwrite").parquet(self._path("log", next_))
-        stored_filters, self.version = self.filters(), next_
-        log = self.log()
+        log = self.log(next_)
         live = log.drop("sign") if next_ == 1 else self._live(log)
         few(live.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("owner")).where("refs > 1")).write.mode("overwrite").parquet(self._path("counts", next_))
-        new = self.counts()
-        if next_ == 1:
-            self.shards = max(1, math.ceil(new.count() / self.shard_keys))
-        shard = F.pmod(F.col("h1"), F.lit(self.shards)).alias("shard")
+        new = self.counts(next_)
+        needed, shards = max(1, math.ceil(new.count() / self.shard_keys)), self.shards
+        if not self.version:
+            shards = needed
+        elif needed > shards:
+            shards = max(needed, 2 * shards)
+        shard = F.pmod(F.col("h1"), F.lit(shards)).alias("shard")
+        if not self.version or shards != self.shards:
+            filters = new.select(shard, "h1").groupBy("shard").applyInPandas(_built, "shard long, data binary")
+        else:
+            filters = self._changed(old, new, shard, next_)
+        few(filters).write.mode("overwrite").parquet(self._path("filters", next_))
+        completed(self.spark, self.root, {"version": next_, "shards": shards})
+        self.version, self.shards = next_, shards
+
+    def _changed(self, old: DataFrame, new: DataFrame, shard: Column, next_: int) -> DataFrame:
+        """The filters after what turned from old to new counts; those that it doesn't fit are built from new."""
         keys = ["h1", "h2"]
         turned = new.join(old, keys, "left_anti").select(shard, "h1", F.lit(1).alias("sign")).union(
             old.join(new, keys, "left_anti").select(shard, "h1", F.lit(-1).alias("sign")))
-        tried = stored_filters.groupBy("shard").cogroup(turned.groupBy("shard")).applyInPandas(
+        tried = self.filters().groupBy("shard").cogroup(turned.groupBy("shard")).applyInPandas(
             _updated, "shard long, data binary")
         path = self._path("tried", next_)
         few(tried).write.mode("overwrite").parquet(path)
@@ -182,10 +204,11 @@ class LineIndex:
         full = tried.where("data is null").select("shard")
         rebuilt = new.select(shard, "h1").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(
             _built, "shard long, data binary")
-        few(tried.where("data is not null").union(rebuilt)).write.mode("overwrite").parquet(self._path("filters", next_))
+        return tried.where("data is not null").union(rebuilt)
 
     def shared_lines(self, docs: DataFrame) -> DataFrame:
         """line_keys of docs with refs and owner, for lines whose key two documents or more hold."""
+        self._open()
         lines, filters = line_keys(docs), self.filters()
         size = filters.agg(F.sum(F.length("data"))).first()[0] or 0
         if size <= FILTER_BYTES:

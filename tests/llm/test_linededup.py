@@ -71,3 +71,26 @@ def test_full_filter_is_rebuilt_from_the_exact_table(spark, frame):
     index.insert(frame([(3, "\n".join(lines)), (4, "\n".join(lines))]))
     docs = [(1, lines[0]), (2, lines[0]), (3, "\n".join(lines)), (4, "\n".join(lines))]
     assert rows(index.cleaned(frame(docs))) == brute(docs)
+
+
+def test_reopened_index_goes_on_where_the_folder_ends(spark, frame):
+    root = LineIndex(spark).root
+    LineIndex(spark, root).insert(frame(DOCS[:3]))
+    LineIndex(spark, root).insert(frame(DOCS[2:]))
+    assert rows(LineIndex(spark, root).cleaned(frame(DOCS))) == brute(DOCS)
+    LineIndex(spark, root).delete(spark.createDataFrame([(2,), (14,)], "doc_id long"))
+    left = [d for d in DOCS if d[0] not in (2, 14)]
+    assert rows(LineIndex(spark, root).cleaned(frame(left))) == brute(left)
+
+
+def test_shards_grow_with_the_keys(spark, frame):
+    root, lines = LineIndex(spark).root, [f"this is line number {k}" for k in range(400)]
+    docs = [(1, lines[0]), (2, lines[0]), (3, "\n".join(lines)), (4, "\n".join(lines)), (5, lines[7])]
+    for part in (docs[:2], docs[2:4], docs[4:]):
+        LineIndex(spark, root, shard_keys=100).insert(frame(part))
+    index = LineIndex(spark, root, shard_keys=100)
+    assert index.shards == 4 and index.filters().count() == 4
+    assert rows(index.cleaned(frame(docs))) == brute(docs)
+    index.delete(spark.createDataFrame([(4,)], "doc_id long"))
+    left = [d for d in docs if d[0] != 4]
+    assert rows(LineIndex(spark, root).cleaned(frame(left))) == brute(left)
