@@ -120,6 +120,16 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], often: str, how
     return joined if heavy is None else joined.unionByName(rows.join(heavy, keys))
 
 
+def id_ties(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the representatives of all classes (k1, k2, rep) that an id of rows (id, k1, k2) is in: from
+    each to the smallest one of the id."""
+    several = rows.groupBy("id").agg(*[f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]).where(
+        "min_k1 != max_k1 or min_k2 != max_k2").select("id")
+    own = rows.join(several, "id", "left_semi").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    low = own.groupBy("id").agg(F.min("rep").alias("b"), F.count("*").alias("often"))
+    return hot_join(own.select("id", F.col("rep").alias("a")), low, ["id"], "often").where("a != b").select("a", "b")
+
+
 def dealt(rows: DataFrame, group: list[str], member: Column, weight: Column, most: int) -> DataFrame:
     """rows with `task`, `side` and `other`, so that every two rows of a group meet in exactly one task of bounded weight.
 

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import BROADCAST_ROWS, WordHashes, components, dealt, hot_join, mixed, runs, slices, stars, stored
+from cargofile.llm.common import BROADCAST_ROWS, WordHashes, components, dealt, hot_join, id_ties, mixed, runs, slices, stars, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -171,9 +171,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     members = stored(sets(chosen, size), "sets")
     links = verified(dealt(members, ["grp"], F.col("doc_id"), F.col("n") + OVERHEAD, TASK_SHINGLES), percent)
     # Rows that repeat an id tie their classes together.
-    ties = rows.where("n_shingles > 0").join(classes, ["k1", "k2"]).where("doc_id != rep and copies > 1").select(
-        F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(
-            classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
+    ties = id_ties(rows.where("n_shingles > 0 and doc_id is not null").select(
+        F.col("doc_id").alias("id"), "k1", "k2"), classes)
     final = components(links.union(ties))
     of_class = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         "k1", "k2", "rep", F.coalesce("component", "rep").alias("component_id"), "copies")

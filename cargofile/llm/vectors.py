@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import components, dealt, few, hot_join, spread, stars, stored
+from cargofile.llm.common import components, dealt, few, hot_join, id_ties, spread, stars, stored
 
 COSINE = 0.93
 SAMPLE = 10_000
@@ -117,9 +117,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
         return pd.DataFrame(out, columns=["k1", "k2", "n", "a", "b"], dtype="int64")
 
     links = stored(spread(tasks.groupBy("task").applyInPandas(compared, "k1 long, k2 long, n long, a long, b long")), "links")
-    ties = rows.where("sound").join(classes, key).where("vec_id != rep").join(
-        classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").select(
-            F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    ties = id_ties(rows.where("sound").select(F.col("vec_id").alias("id"), *key), classes)
     final = components(links.select("a", "b").union(ties))
     per = classes.join(links.groupBy(*key).agg(F.sum("n").alias("n")), key, "left").join(
         final, F.col("rep") == F.col("node"), "left").select(

@@ -62,6 +62,12 @@ def test_groups_split_over_tasks_lose_no_link(frame, words, monkeypatch):
     assert result(near_duplicates(frame(docs), percent=85)) == brute(docs, 85)
 
 
+def test_id_that_is_smallest_in_no_class_ties_its_classes(frame, words):
+    a, b, c = (" ".join(words[k:k + 30]) for k in (0, 50, 100))
+    docs = [(1, a), (5, a), (2, b), (5, b), (6, b), (3, c), (6, c), (6, c), (4, c), (None, a)]
+    assert result(near_duplicates(frame(docs))) == brute(docs, 80)
+
+
 def test_empty_table(frame):
     assert near_duplicates(frame([])).collect() == []
 

@@ -72,3 +72,10 @@ def test_rotation_is_orthogonal_and_lowers_the_quantisation_error():
         return np.linalg.norm(np.where(rows @ r >= 0, 1, -1) - 4 * rows @ r)
 
     assert error(turn) < error(start)
+
+
+def test_id_that_is_smallest_in_no_class_ties_its_classes(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, x, 0), (5, x, 0), (2, y, 0), (5, y, 0), (6, y, 0), (3, z, 0), (6, z, 0), (None, x, 0)]
+    out = near_vectors(spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA)).collect()
+    assert {(r.vec_id, r.component_id) for r in out} == {(i, 1) for i in (1, 2, 3, 5, 6)} | {(None, None)}
