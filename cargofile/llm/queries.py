@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargofile.llm.collocations import collocations
 from cargofile.llm.common import lean
 from cargofile.llm.contamination import occurrences
 from cargofile.llm.cotraining import quality_scores
@@ -16,9 +17,11 @@ from cargofile.llm.neardup import near_duplicates
 from cargofile.llm.oracle import ORACLE  # noqa: F401
 from cargofile.llm.packing import pack
 from cargofile.llm.secrets import BASE, BlobLedger, of_kind, spans_text
+from cargofile.llm.spelling import spelling_variants
 from cargofile.llm.toxicity import learn, scored
 from cargofile.llm.urls import judged_urls
 from cargofile.llm.vectors import near_vectors
+from cargofile.llm.warc import read_warc, resolved, warc_files, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,5 +94,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = resolved(read_warc(warc_files(spark, root)))
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_licenses, op4_quality, op5_decontamination, op6_urls,
-                                   op7_line_dedup, op8_minhash, op9_embeddings, op10_packing)}
+                                   op7_line_dedup, op8_minhash, op9_embeddings, op10_packing, op11_warc,
+                                   op12_collocations, op13_spelling)}
