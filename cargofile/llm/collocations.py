@@ -341,7 +341,8 @@ def phrases(docs: DataFrame, pairs: DataFrame, least: int, longest: int) -> Data
         one = Transducer.built(windows, weights)
         found = [(p, n) for paths, sums in one.prefixes(least if unit < ranges else 1, 2, longest)
                  for p, n in zip(paths.view(np.int64).tolist(), sums.tolist())]
-        return pd.DataFrame({"lang": [lang] * len(found), "words": [f[0] for f in found], "a": [f[1] for f in found]})
+        return pd.DataFrame({"lang": pd.Series([lang] * len(found), dtype=object), "words": pd.Series([f[0] for f in found], dtype=object),
+                             "a": pd.Series([f[1] for f in found], dtype="int64")})
 
     parts = docs.mapInArrow(shards, "lang string, unit long, data binary")
     paths = parts.groupBy("lang", "unit").applyInPandas(united, "lang string, words array<long>, a long")
@@ -383,7 +384,8 @@ def weights_of(table: DataFrame, asked: DataFrame, longest: int) -> DataFrame:
             order = np.lexsort(paths.T[::-1])
             one = Transducer.built(paths[order], weights[order], closed=True)
             out.append(part[["lang", "words"]].assign(f=one.composed(padded(part["words"], longest))))
-        return pd.concat(out) if out else pd.DataFrame({"lang": [], "words": [], "f": []})
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (
+            ("lang", object), ("words", object), ("f", "int64"))})
 
     return table.groupBy("unit").cogroup(asked.groupBy("unit")).applyInPandas(answered, "lang string, words array<long>, f long")
 
