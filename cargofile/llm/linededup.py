@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import completed, few, fresh, hot_join, last_complete, mixed
+from cargofile.llm.common import completed, few, fresh, hot_join, last_complete, mixed, spread, stored
 
 LEAST_CHARS = 10
-SHARD_KEYS = 50_000
-# Filters of at most so many bytes are sent to the tasks; beyond it every line goes to the exact table instead.
-FILTER_BYTES = 48_000_000
+# Line keys for which a shard is made, and line keys that a task tests against a shard's filter at once.
+SHARD_KEYS, TESTED_KEYS = 50_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -105,6 +104,11 @@ def line_keys(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
         "doc_id", "version", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def stored_keys(docs: DataFrame) -> DataFrame:
+    """line_keys of docs, written once: about 40 bytes a line stand for the text wherever its lines are looked at again."""
+    return stored(line_keys(plain(docs)), "line-keys")
+
+
 def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -115,8 +119,9 @@ class LineIndex:
 
     log: one row per (line key, document) reference, +1 when a document comes and -1 when it goes. counts: what the log
     sums to, exact: how many documents hold the key and the smallest of them. filters: per shard of keys a cuckoo filter
-    of the keys that two documents or more hold, updated by what an insertion or deletion changed. When the keys outgrow
-    the shards these are cut anew, twice as many at least, and all filters are built from the counts. Every version is a
+    of the keys that two documents or more hold, updated by what an insertion or deletion changed. When all keys outgrow
+    the shards these are cut anew, twice as many at least, and all filters are built from the counts. Line keys are met
+    with the filter of their shard in the shard's tasks, however many there are; no filter is sent anywhere else. Every version is a
     new folder that is used only once it is complete: its number and shards are then added to the manifest `complete`,
     from which every index opened on the folder goes on. A lost job can be run again. One job at a time may change a folder.
     Keys are 128-bit hashes. A document counts once however often it holds a line or is given.
@@ -150,10 +155,14 @@ class LineIndex:
         version = self.version if version is None else version
         return self.spark.read.parquet(*[self._path("log", v) for v in range(1, version + 1)])
 
-    def insert(self, docs: DataFrame) -> None:
-        """Adds documents (doc_id, text). Rows without doc_id hold no reference; given again, a document adds nothing."""
+    def insert(self, docs: DataFrame, lines: DataFrame | None = None) -> None:
+        """Adds documents (doc_id, text). Rows without doc_id hold no reference; given again, a document adds nothing.
+
+        lines: stored_keys(docs), where the caller has them.
+        """
         self._open()
-        new = line_keys(plain(docs).where("doc_id is not null")).select("h1", "h2", "doc_id").distinct()
+        lines = line_keys(plain(docs)) if lines is None else lines
+        new = lines.where("doc_id is not null").select("h1", "h2", "doc_id").distinct()
         if self.version:
             new = new.join(self._live(self.log()), ["h1", "h2", "doc_id"], "left_anti")
         self._step(new.withColumn("sign", F.lit(1)))
@@ -175,9 +184,12 @@ class LineIndex:
         few(change).write.mode("overwrite").parquet(self._path("log", next_))
         log = self.log(next_)
         live = log.drop("sign") if next_ == 1 else self._live(log)
-        few(live.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("owner")).where("refs > 1")).write.mode("overwrite").parquet(self._path("counts", next_))
+        held = Observation()
+        counts = live.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("owner"))
+        counts = counts.observe(held, F.count("*").alias("keys")).where("refs > 1")
+        few(counts).write.mode("overwrite").parquet(self._path("counts", next_))
         new = self.counts(next_)
-        needed, shards = max(1, math.ceil(new.count() / self.shard_keys)), self.shards
+        needed, shards = max(1, math.ceil(held.get["keys"] / self.shard_keys)), self.shards
         if not self.version:
             shards = needed
         elif needed > shards:
@@ -206,48 +218,42 @@ class LineIndex:
             _built, "shard long, data binary")
         return tried.where("data is not null").union(rebuilt)
 
-    def shared_lines(self, docs: DataFrame) -> DataFrame:
-        """line_keys of docs with refs and owner, for lines whose key two documents or more hold."""
-        self._open()
-        lines, filters = line_keys(docs), self.filters()
-        size = filters.agg(F.sum(F.length("data"))).first()[0] or 0
-        if size <= FILTER_BYTES:
-            rows = {r["shard"]: bytes(r["data"]) for r in filters.toLocalIterator()}
-            sent, shards = self.spark.sparkContext.broadcast(rows), self.shards
-
-            @F.pandas_udf("boolean")
-            def known(h1):
-                import pandas as pd
-
-                hashes, out = h1.to_numpy(), np.zeros(len(h1), bool)
-                shard = hashes % shards
-                for own in np.unique(shard):
-                    if own in sent.value:
-                        mine = shard == own
-                        out[mine] = _loaded(sent.value[own]).contains(hashes[mine])
-                return pd.Series(out)
-
-            lines = lines.where(known("h1"))
-        return hot_join(lines, self.counts().withColumn("often", F.col("refs")), ["h1", "h2"], "often")
-
-    def cleaned(self, docs: DataFrame) -> DataFrame:
+    def known(self, keys: DataFrame) -> DataFrame:
+        """The keys (h1, h2), distinct and stored, that pass the filter of their shard: all shared ones and few others.
+
+        Every shard's keys meet its filter in tasks of about TESTED_KEYS; a shard with more keys than that takes several.
+        """
+        parts = max(1, math.ceil(keys.count() / (self.shards * TESTED_KEYS)))
+        shard = F.pmod(F.col("h1"), F.lit(self.shards))
+        own = keys.select(shard.alias("shard"), F.pmod("h2", F.lit(parts)).alias("part"), "h1", "h2")
+        filters = self.filters().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return own.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInPandas(_passing, "h1 long, h2 long")
+
+    def shared_lines(self, lines: DataFrame) -> DataFrame:
+        """lines (stored line_keys) with refs and owner, for those whose key two documents or more hold."""
+        keys = stored(spread(lines.select("h1", "h2").distinct()), "line-distinct")
+        table = self.counts().join(self.known(keys), ["h1", "h2"], "left_semi").withColumn("often", F.col("refs"))
+        return hot_join(lines, stored(few(table), "line-shared"), ["h1", "h2"], "often")
+
+    def cleaned(self, docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         """docs with n_lines, n_dropped and kept: the text without lines that a document of smaller id holds.
 
         Splits at \\n; a null or empty text is one empty line. Lines whose key (white space stripped at both ends, A-Z
         lower-cased) has fewer than ten code points always stay, as do all lines of the key's smallest doc_id, repeats
         included. Rows that repeat a doc_id are one document. A row without doc_id drops every line that indexed
-        documents share. Other columns pass through; columns named like a result are replaced.
+        documents share. Other columns pass through, whatever their names; those named like a result are replaced.
+        lines: stored_keys(docs), where the caller has them.
         """
-        own = docs.select([c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept", "_id", "_drop")])
-        own = own.withColumn("_id", F.col("doc_id").cast("long")).withColumn(
-            "_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-        shared = self.shared_lines(own.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text")))
+        self._open()
+        names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+        id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+        keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(text).alias("v"),
+                            F.isnull(id_).alias("none"), F.coalesce(id_, F.xxhash64(text)).alias("k"))
+        shared = self.shared_lines(stored_keys(docs) if lines is None else lines)
         drops = shared.where("doc_id is null or owner != doc_id").groupBy("doc_id", "version").agg(
-            F.collect_set("pos").alias("_drop"))
-        drops = drops.select(F.coalesce("doc_id", "version").alias("_k"), F.isnull("doc_id").alias("_none"),
-                             F.col("version").alias("_v"), "_drop")
-        keyed = own.withColumn("_v", F.xxhash64("_text")).withColumn("_none", F.isnull("_id")).withColumn(
-            "_k", F.coalesce("_id", "_v"))
+            F.collect_set("pos").alias("drop"))
+        drops = drops.select(F.coalesce("doc_id", "version").alias("k"), F.isnull("doc_id").alias("none"),
+                             F.col("version").alias("v"), "drop")
 
         @F.pandas_udf("kept string, n_lines long, n_dropped long")
         def rest(text, drop):
@@ -261,14 +267,22 @@ class LineIndex:
                 rows.append((t if not gone else "\n".join(stay), len(lines), len(gone)))
             return pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
 
-        out = keyed.join(drops.hint("shuffle_hash"), ["_k", "_none", "_v"], "left").withColumn("_r", rest("_text", "_drop"))
-        return out.select(*[c for c in own.columns if c not in ("_id", "_text")], "_r.n_lines", "_r.n_dropped", "_r.kept")
+        whole = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+        out = keyed.join(drops.hint("shuffle_hash"), ["k", "none", "v"], "left").withColumn("r", rest(whole, "drop"))
+        return out.select(*[F.col("row")[c].alias(c) for c in names], "r.n_lines", "r.n_dropped", "r.kept")
 
 
 def _loaded(data: bytes) -> Cuckoo:
     return Cuckoo(np.frombuffer(data, np.uint16).reshape(-1, Cuckoo.SLOTS))
 
 
+def _passing(keys, filters):
+    """The keys that a shard's filter holds; none where it has no filter."""
+    if not len(filters):
+        return keys[["h1", "h2"]].iloc[:0]
+    return keys.loc[_loaded(bytes(filters["data"].iloc[0])).contains(keys["h1"].to_numpy()), ["h1", "h2"]]
+
+
 def _updated(old, change):
     """A shard's filter after its changes; null data if the new keys don't fit."""
     import pandas as pd
@@ -292,6 +306,6 @@ def _built(rows):
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """LineIndex.cleaned of one batch that is indexed first; see there for edge cases. An empty table gives no rows."""
-    index = LineIndex(docs.sparkSession)
-    index.insert(docs)
-    return index.cleaned(docs)
+    index, lines = LineIndex(docs.sparkSession), stored_keys(docs)
+    index.insert(docs, lines)
+    return index.cleaned(docs, lines)

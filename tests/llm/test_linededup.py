@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 
+from cargofile.llm import linededup
 from cargofile.llm.linededup import Cuckoo, LineIndex, dedup_lines
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -41,6 +42,31 @@ def test_equals_brute_force(frame, corner_texts):
         assert "lang" in out.columns and out.columns.count("n_lines") == 1
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["row", "v", "k", "none", "drop", "r", "_text", "_v", "_k", "_none", "_r", "_drop", "_id", "lines", "a.b"]
+    df = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in names]) for i, t in DOCS],
+                               ["doc_id", "text", *names])
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *names, "n_lines", "n_dropped", "kept"]
+    assert rows(out) == brute(DOCS)
+    assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names)
+
+
+def test_many_shards_of_several_tasks(spark, frame, monkeypatch):
+    """Every key meets its shard's filter: many shards, and shards whose keys are dealt to several tasks."""
+    monkeypatch.setattr(linededup, "TESTED_KEYS", 7)
+    lines = [f"this is line number {k}" for k in range(300)]
+    docs = [(k, "\n".join(lines[k % 50::7])) for k in range(20)]
+    index = LineIndex(spark, shard_keys=10)
+    index.insert(frame(docs))
+    assert index.shards >= 20 and rows(index.cleaned(frame(docs))) == brute(docs)
+    other = LineIndex(spark, shard_keys=10_000)
+    other.insert(frame(docs))
+    assert other.shards == 1 and rows(other.cleaned(frame(docs))) == brute(docs)
+    keys = linededup.stored_keys(frame([(99, "never seen before\nnor this one ever")])).select("h1", "h2")
+    assert index.known(keys).count() == 0
+
+
 def test_deleting_documents_undoes_what_they_caused(spark, frame):
     index = LineIndex(spark)
     index.insert(frame(DOCS[:3]))
