@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from cargofile.llm.common import few, hot_join, mixed, slices, stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-HELD_PAIRS, HELD_WINDOWS, HELD_WORDS = 3_000_000, 600_000, 200_000
+HELD_PAIRS, HELD_WINDOWS, HELD_WORDS = 2_000_000, 400_000, 100_000
 # Windows, before equal ones are added up, that a prefix range holds; frequent phrases that a range of lookups holds.
-RANGE_WINDOWS, RANGE_PHRASES = 1_000_000, 100_000
+RANGE_WINDOWS, RANGE_PHRASES = 500_000, 100_000
 # Bits of the map of frequent word pairs: 16 for each, 8 MB at most; a fuller map lets more needless windows through.
 MOST_BITS = 1 << 26
 # A-Z to lower case, the ends of pieces to a line feed, a tab to a space.
@@ -27,7 +27,7 @@ END, NONE = np.uint64(0), np.uint64(1)
 class Numbers(dict):
     """64-bit numbers of words (bytes), kept between texts up to a bound: END for a piece's end, NONE between two spaces."""
 
-    MOST = 200_000
+    MOST = 150_000
 
     def __init__(self):
         self.update({b"\n": 0, b"": 1})
@@ -453,13 +453,16 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP, lon
 
 
 def ranked(rows: DataFrame, top: int | None) -> DataFrame:
-    """rows with rank by lang. With `top`, parts of a language first keep as many each, so no task sorts all of them."""
+    """rows with rank by lang. With `top`, parts of a language keep as many each, then parts of what is left, until a task
+    that ranks a language has at most 50 times as many rows."""
     order = [F.desc("score"), F.desc("a"), "phrase"]
     if top is not None:
         rows = stored(few(rows), "collocation-rows")
-        parts = max(1, math.ceil(rows.count() / (50 * top)))
-        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
-        rows = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("rank")
+        parts = math.ceil(rows.count() / (50 * top))
+        while parts > 1:
+            part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
+            rows = stored(few(rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("rank")), "collocation-rows")
+            parts = math.ceil(parts / 50)
     out = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return (out if top is None else out.where(F.col("rank") <= top)).select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score")
