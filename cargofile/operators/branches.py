@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cargofile.functions import documents as D, text as X
-from cargofile.operators.enrich import _pieces
+from cargofile.operators.contain import HOT_ROWS, inside
+
+# Characters from which on a term is looked for by its runs of so many.
+TERM_GRAM = 3
 
 
 def _dimension(branches: DataFrame) -> DataFrame:
@@ -32,13 +35,22 @@ def list_branches(branches: DataFrame) -> DataFrame:
 def search_branches(terms: DataFrame, branches: DataFrame) -> DataFrame:
     """Branches whose name contains a term, ignoring case: termo, cnpj, nome.
 
-    Every branch name yields the substrings whose first letter and length some term has,
-    and those are equi-joined to the terms; no term × branch pairs are formed.
+    Terms of three characters and more go by their rarest run of three in the names.  Shorter ones are compared with the
+    one or two characters that each name has anywhere, once each.  No term × branch pairs are formed.
     """
     want = terms.select("termo", F.lower("termo").alias("key")).filter(F.col("key") != "").distinct()
     names = _dimension(branches).withColumn("key", F.lower("nome"))
-    hits = _pieces(names, want, [], 1).select("cnpj", "nome", F.col("_piece").alias("key")).distinct()
-    return want.join(hits, "key").select("termo", "cnpj", "nome")
+    keys = names.select("key").distinct()
+    asked = want.select("key").distinct()
+    hits = inside(keys, asked, [], TERM_GRAM)
+    short = asked.filter(F.length("key") < TERM_GRAM).withColumnRenamed("key", "piece")
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.array(
+        F.substring("key", i, F.lit(1)), F.substring("key", i, F.lit(2))))))
+    some = keys.filter(F.length("key") > 0).select("key", F.explode(parts).alias("piece"))
+    few = short.limit(HOT_ROWS + 1).count() <= HOT_ROWS
+    hits = hits.select("key", "piece").unionByName(some.join(F.broadcast(short) if few else short, "piece").select("key", "piece"))
+    return hits.join(names, "key").select(F.col("piece").alias("_term"), "cnpj", "nome").join(
+        want.withColumnRenamed("key", "_term"), "_term").select("termo", "cnpj", "nome")
 
 
 def resolve_branch(requests: DataFrame, branches: DataFrame) -> DataFrame:

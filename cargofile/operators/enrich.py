@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cargofile.functions import documents as D, text as X
 from cargofile.operators import ordered
+from cargofile.operators.contain import contained, inside
 from cargofile.schema import PARTIES
 
 # Key lengths and confidence limits of the lookups.
@@ -55,29 +56,6 @@ def unique_doc(rows: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
 
 # --- J3 / J4 containment -----------------------------------------------------------------
 
-def _pieces(long: DataFrame, short: DataFrame, by: list[str], gram: int) -> DataFrame:
-    """Substrings of ``long.key`` that could equal some ``short.key``.
-
-    A short key is known by its first ``gram`` characters and its length.  Lengths are
-    collected per (group, prefix) — a set bounded by the longest key — so each long key
-    yields a bounded number of pieces and no pair of names is ever formed.
-    """
-    sizes = short.select(*by, F.left("key", F.lit(gram)).alias("_g"), F.length("key").alias("_len")).groupBy(
-        *by, "_g").agg(F.collect_set("_len").alias("_lens"))
-    grams = (
-        long.filter(F.length("key") >= gram)
-        .select("*", F.explode(F.sequence(F.lit(1), F.length("key") - (gram - 1))).alias("_pos"))
-        .withColumn("_g", F.expr(f"substr(key, _pos, {gram})"))
-    )
-    return (
-        grams.join(sizes, by + ["_g"])
-        .withColumn("_len", F.explode("_lens"))
-        .filter(F.col("_pos") + F.col("_len") - 1 <= F.length("key"))
-        .withColumn("_piece", F.expr("substr(key, _pos, _len)"))
-        .drop("_g", "_lens", "_pos", "_len")
-    )
-
-
 def containment_candidates(queries: DataFrame, index: DataFrame, by: list[str], gram: int) -> DataFrame:
     """(by…, key, doc) candidates where one key contains the other, either way round.
 
@@ -85,22 +63,17 @@ def containment_candidates(queries: DataFrame, index: DataFrame, by: list[str],
     and largest id per key survive, which is enough to decide "exactly one distinct id".
     Both keys must have at least ``gram`` characters to take part.
     """
-    queries = queries.filter(F.length("key") >= gram)
-    index = index.filter(F.length("key") >= gram)
-    span = index.groupBy(*by, "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    queries = queries.filter(F.length("key") >= gram).select(*by, "key")
+    span = index.filter(F.length("key") >= gram).groupBy(*by, "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
 
     # index key inside query key
-    inner = (
-        _pieces(queries, span.select(*by, "key"), by, gram)
-        .select(*by, "key", "_piece").distinct()
-        .join(span.withColumnRenamed("key", "_piece"), by + ["_piece"])
-        .select(*by, "key", "lo", "hi")
-    )
-    # query key inside index key
+    inner = inside(queries, span, by, gram).select(*by, "key", "lo", "hi")
+    # query key inside index key; ids are brought together per piece before anything is looked up
+    pieces, _ = contained(span.select(*by, "key"), queries, by, gram)
     outer = (
-        _pieces(span, queries, by, gram)
-        .groupBy(*by, F.col("_piece").alias("key")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .join(queries.select(*by, "key"), by + ["key"], "left_semi")
+        pieces.join(span, by + ["key"])
+        .groupBy(*by, F.col("piece").alias("key")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .join(queries, by + ["key"], "left_semi")
     )
     return inner.unionByName(outer).groupBy(*by, "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
