@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cargofile.functions import documents as D, text as X
 from cargofile.operators import ordered
@@ -21,8 +21,8 @@ def with_type(lines: DataFrame) -> DataFrame:
     return lines.withColumn("tipo", F.when(F.length(v) >= 2, F.upper(F.left(v, F.lit(2)))).otherwise(""))
 
 
-def parse_lines(lines: DataFrame, tipo: str) -> DataFrame:
-    """Positional fields of all lines of one type (P1); short lines are padded first."""
+def _fields(tipo: str) -> list[Column]:
+    """The positional fields of a line of one type; short lines are padded first."""
     v = F.col("value")
     padded = F.when(F.length(v) < WIDTH[tipo], F.rpad(v, WIDTH[tipo], " ")).otherwise(v)
     fields = []
@@ -30,15 +30,46 @@ def parse_lines(lines: DataFrame, tipo: str) -> DataFrame:
         raw = F.substring(padded, f.start, f.length) if f.length else F.expr(
             f"substr(CASE WHEN length(value) < {WIDTH[tipo]} THEN rpad(value, {WIDTH[tipo]}, ' ') ELSE value END, {f.start})")
         fields.append((D.digits_only(raw) if f.kind == "doc" else X.strip(raw)).alias(f.name))
-    return with_type(lines).filter(F.col("tipo") == tipo).select("filing_id", "line_no", *fields)
+    return fields
+
+
+def parse_lines(lines: DataFrame, tipo: str) -> DataFrame:
+    """Positional fields of all lines of one type (P1); short lines are padded first."""
+    return with_type(lines).filter(F.col("tipo") == tipo).select("filing_id", "line_no", *_fields(tipo))
+
+
+ROUTES = ("TN", "CC", "TI", "PI")
 
 
-def route_by_type(lines: DataFrame) -> dict[str, DataFrame]:
-    """The four typed tables of a file plus ``invalid`` (P2); other types are ignored."""
-    out = {t.lower(): parse_lines(lines, t) for t in ("TN", "CC", "TI", "PI")}
-    out["invalid"] = lines.filter(F.col("value").isNull()).select(
+def route_by_type(lines: DataFrame, path: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The four typed tables and ``invalid`` (P2), and how many lines went to each and to none (``ignorada``).
+
+    Lines are read once: every line is parsed as its own type only and written under ``path`` in the folder of its
+    output; the counts are observed on the way.  An output reads its folder and its columns and nothing else.  A line
+    without text is invalid; blank lines and other types are ignored.
+    """
+    tipo = F.col("tipo")
+    saida = F.when(F.col("value").isNull(), "invalid").when(tipo.isin(*ROUTES), F.lower(tipo)).otherwise("ignorada")
+    routed = with_type(lines).withColumn("saida", saida).select(
+        "filing_id", "line_no", "saida", *[F.when(tipo == t, F.struct(*_fields(t))).alias(t.lower()) for t in ROUTES])
+    seen, names = Observation(), [t.lower() for t in ROUTES] + ["invalid", "ignorada"]
+    counted = routed.observe(seen, *[F.count_if(F.col("saida") == n).alias(n) for n in names])
+    kept = counted.filter("saida != 'ignorada'")
+    kept.write.partitionBy("saida").parquet(path)
+    back = lines.sparkSession.read.schema(kept.schema).parquet(path)
+    out = {t.lower(): back.filter(F.col("saida") == t.lower()).select("filing_id", "line_no", f"{t.lower()}.*") for t in ROUTES}
+    out["invalid"] = back.filter("saida = 'invalid'").select(
         "filing_id", F.col("line_no").alias("linha_numero"), F.lit("linha ilegivel").alias("motivo"))
-    return out
+    return out, {n: seen.get[n] for n in names}
+
+
+def forbidden_characters(lines: DataFrame) -> DataFrame:
+    """filing_id, caractere, n_linhas: the distinct non-ASCII characters of every filing and the lines they occur in.
+
+    A line gives each of its characters once, and tasks count them before anything is shuffled.
+    """
+    found = lines.select("filing_id", F.explode(X.forbidden_chars(F.col("value"))).alias("caractere"))
+    return found.groupBy("filing_id", "caractere").agg(F.count(F.lit(1)).alias("n_linhas"))
 
 
 def first_invoice(lines: DataFrame) -> DataFrame:
@@ -281,15 +312,23 @@ def filing_status(lines: DataFrame, filings: DataFrame | None = None,
     )
 
 
+def _message_text() -> Column:
+    return _cat("Linha ", F.col("line_no").cast("string"),
+                F.when(F.col("tipo") != "", _cat(" (", F.col("tipo"), ")")).otherwise(""), ": ", F.col("mensagem"))
+
+
+def layout_messages(lines: DataFrame, filings: DataFrame | None = None) -> DataFrame:
+    """Every formatted message of every filing (T3); top_messages() is its first page."""
+    return all_errors(lines, filings).select("filing_id", "fase", "line_no", "ordem", _message_text().alias("mensagem"))
+
+
 def top_messages(lines: DataFrame, filings: DataFrame | None = None, n: int = 20) -> DataFrame:
     """First ``n`` formatted messages per filing, and how many more there are."""
     errors = all_errors(lines, filings)
     total = errors.groupBy("filing_id").agg(F.count(F.lit(1)).alias("_total"))
     first = ordered.top_n(errors, ["filing_id"], ["fase", "line_no", "ordem", "mensagem"], n, "posicao")
-    text = _cat("Linha ", F.col("line_no").cast("string"),
-                F.when(F.col("tipo") != "", _cat(" (", F.col("tipo"), ")")).otherwise(""), ": ", F.col("mensagem"))
     return first.join(total, "filing_id").select(
-        "filing_id", "posicao", text.alias("mensagem"),
+        "filing_id", "posicao", _message_text().alias("mensagem"),
         F.greatest(F.col("_total") - n, F.lit(0)).alias("adicionais"))
 
 

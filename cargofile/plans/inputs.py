@@ -27,6 +27,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_stored[key])
 
 
+def folder(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """A folder that ``build(spark, sf_dir, path)`` fills on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/cargofile-{uuid.uuid4().hex}/{name}"
+        build(spark, sf_dir, path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "records", fixtures.freight)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cargofile.operators import dedup, enrich, extract, learn as L, lines as N, render, report, resolve, validate
 from cargofile.sources import filings as files
@@ -87,11 +87,11 @@ def write_checked(spark: SparkSession, lines: DataFrame, path: str, strict: bool
     return status
 
 
-def check_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def check_files(spark: SparkSession, path: str, file_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(verdict per file, first messages per file) of any folder of filing files."""
-    checks = files.file_checks(spark, path)
+    checks = files.file_checks(spark, path, file_id)
     own = files.file_errors(checks)
-    lines = files.read_filing_lines(spark, path, strict_utf8=True)
+    lines = cut(files.read_filing_lines(spark, path, file_id, strict_utf8=True))
     return N.filing_status(lines, checks.filter("utf8"), own), N.top_messages(lines, checks.filter("utf8"))
 
 
@@ -103,8 +103,12 @@ def extract_reports(pages: DataFrame, rows: DataFrame, repair: bool = True) -> t
     return extract.extract_records(keep(pages), keep(rows), repair), bad
 
 
-def learn_files(spark: SparkSession, lines: DataFrame, store: MemoryStore, origin: str, now: str) -> dict:
-    """Learn from corrected filings; files seen before are skipped.  Returns run counters."""
+def learn_files(spark: SparkSession, lines: DataFrame, store: MemoryStore, origin: str, now: str,
+                stream: str | None = None, batch: int = 0) -> dict:
+    """Learn from corrected filings; files seen before are skipped.  Returns run counters.
+
+    ``stream`` and ``batch`` are kept with the commit, so that a batch that comes again is known.
+    """
     last = store.last_session()
     seen = L.replay_filter(L.content_fingerprint(lines), store.sessions())
     fresh = lines.join(seen.filter(~F.col("replay")).select("filing_id"), "filing_id", "left_semi")
@@ -119,5 +123,32 @@ def learn_files(spark: SparkSession, lines: DataFrame, store: MemoryStore, origi
         F.lit(session).alias("id"), F.col("filing_id").alias("arquivo_txt"), "arquivo_sha256",
         F.lit(now).alias("processado_em"), "total_tn", "candidatos",
         F.lit(totals["aprendidos_novos"]).alias("aprendidos"), F.lit(totals["atualizados"]).alias("atualizados"),
-        "ignorados", "linhas_invalidas"))
+        "ignorados", "linhas_invalidas"), stream, batch)
     return {"replay_detectado": False, **totals}
+
+
+def learn_new_files(spark: SparkSession, folder: str, store_root: str, checkpoint: str, now: str,
+                    file_id: Column | None = None, files_per_batch: int = 1000) -> int:
+    """Learn from the files that came to a folder since the last run (J10, J12); returns how many batches were learned.
+
+    A file stream lists the folder; its checkpoint knows the files of earlier runs, and no content is read to find new
+    ones.  Each batch of at most ``files_per_batch`` files is learned in one commit of the memory that bears the batch's
+    number, so a batch that comes again after a failure between that commit and the stream's own is passed over: every
+    file counts exactly once.  A file whose content was learned before counts as a replay.
+    """
+    name, done = checkpoint.rstrip("/"), []
+
+    def learn(batch: DataFrame, number: int) -> None:
+        store = MemoryStore(batch.sparkSession, store_root)
+        if store.seen(name, number):
+            return
+        paths = [r.path for r in batch.select("path").distinct().limit(files_per_batch + 1).collect()]
+        lines = cut(files.read_filing_lines(batch.sparkSession, paths, file_id))
+        if learn_files(batch.sparkSession, lines, store, name, now, name, number)["replay_detectado"]:
+            store.commit(stream=name, batch=number)
+        done.append(number)
+
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option(
+        "recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
+    found.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return len(done)

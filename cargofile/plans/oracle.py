@@ -5,6 +5,7 @@ from __future__ import annotations
 from cargofile.functions.documents import CNPJ_WEIGHTS, CPF_WEIGHTS
 from cargofile.functions.messages import KINDS, OTHER
 from cargofile.plans.dimensions import BRANCHES, LOG, PAIRS, REGISTRY, REQUESTS, RESOLUTIONS
+from cargofile.plans.file_oracle import CHANGES, QUESTIONS, TERMS
 from cargofile.plans.fixtures import (
     CELLS, COMPANY, DAMAGED, FILINGS, FREIGHT, LINES, REPORTS, _check, duck_sql,
 )
@@ -765,3 +766,92 @@ found as (select id, min(b.cnpj) as cnpj from req join branches b on contains(lo
     "select r.id, case when length(coalesce(direct, cnpj)) = 14 then coalesce(direct, cnpj) end as cnpj from req r left join found f on r.id = f.id")
 ORACLE["default_periods"] = """select o_orderkey, cast(case when month(o_orderdate) <= 6 then 12 else month(o_orderdate) end as int) as mes,
   cast(year(o_orderdate) - case when month(o_orderdate) <= 6 then 1 else 0 end as int) as ano from orders"""
+
+# --- files, stores, registries -----------------------------------------------------------
+
+# Files that write_odd_files() leaves: two lines a row; where CR or LF ends the first, the parser sees two as well.
+ODD = LINES + """,
+marked as (select filing_id, line_no, right(filing_id, 2) as mm, concat(case when right(filing_id, 2) = '06' and line_no = 1 then chr(65279) else '' end, value) as v,
+  case when right(filing_id, 2) = '04' then chr(13) || chr(10) else [chr(10), chr(13) || chr(10), chr(13), chr(11), chr(12), chr(28), chr(29), chr(30),
+    chr(133), chr(8232), chr(8233)][line_no % 11 + 1] end as fim, strlen(value) = length(value) as ascii from lines),
+files as (select filing_id, bool_and(ascii) or any_value(mm) <> '04' as utf8, any_value(mm) = '06' as bom, 2 * count(*) as linhas from marked group by filing_id),
+text_lines as (select m.filing_id, 2 * line_no - 1 as line_no, v as value from marked m union all select filing_id, 2 * line_no, 'X' from marked),
+newline_parts as (
+  select filing_id, line_no, 0 as sub, case when fim in (chr(10), chr(13), chr(13) || chr(10)) then v else concat(v, fim, 'X') end as value from marked
+  union all select filing_id, line_no, 1, 'X' from marked where fim in (chr(10), chr(13), chr(13) || chr(10)))"""
+ORACLE["read_files"] = duck_sql(ODD, "select t.filing_id, t.line_no, t.value from text_lines t join files using (filing_id) where utf8")
+ORACLE["read_files_legacy"] = duck_sql(
+    ODD, "select filing_id, row_number() over (partition by filing_id order by line_no, sub) as line_no, value from newline_parts")
+ORACLE["file_checks"] = duck_sql(ODD, "select filing_id, cast(linhas as bigint) as linhas, utf8, true as legivel, bom from files")
+ORACLE["file_problems"] = duck_sql(ODD, """select filing_id, cast(1 as bigint) as line_no, 'EM' as tipo,
+  'arquivo possui BOM UTF-8; isso desloca o layout posicional da primeira linha.' as mensagem from files where bom
+  union all select filing_id, 1, 'EM', 'Arquivo nao esta em UTF-8 valido.' from files where not utf8""")
+_ODD_LINES = ODD + ", good as (select t.* from text_lines t join files using (filing_id) where utf8)"
+_AS_GOOD = _ODD_LINES + (LINE_ERRORS + DEP)[len(LINES):].replace(" from lines)", " from good)", 1) + """,
+every_error as (select filing_id, 0 as fase, line_no, tipo, ordem, mensagem from line_err union all select filing_id, 1, line_no, tipo, 0, mensagem from dep
+  union all select filing_id, 2, 1, 'EM', 0, 'o BOM nao e imprimivel' from good where line_no = 1 and starts_with(value, chr(65279)) and not regexp_matches(value, '[\\x00-\\x1f\\x7f]')
+  union all select filing_id, 2, 1, 'EM', 0, 'bom' from files where bom union all select filing_id, 2, 1, 'EM', 0, 'utf8' from files where not utf8)"""
+ORACLE["checked_files"] = duck_sql(_AS_GOOD, """select f.filing_id, coalesce(t.n, 0) as total_linhas, coalesce(e.n, 0) as n_erros, coalesce(e.n, 0) = 0 as valido
+  from files f left join (select filing_id, count(*) as n from good group by all) t on f.filing_id = t.filing_id
+  left join (select filing_id, count(*) as n from every_error group by all) e on f.filing_id = e.filing_id""")
+
+WRITTEN = LINES + """,
+rewritten as (select filing_id, row_number() over (partition by filing_id order by line_no) as line_no, concat(value, ' V2') as value
+  from lines where cast(right(filing_id, 2) as int) % 2 = 1 and line_no % 2 = 1
+  union all select filing_id, line_no, value from lines where cast(right(filing_id, 2) as int) % 2 = 0),
+written as (select filing_id, line_no, regexp_replace(value, '[\\x00-\\x1f\\x7f]', '', 'g') as value from rewritten)"""
+ORACLE["written_filings"] = duck_sql(WRITTEN, "select * from written")
+ORACLE["file_fingerprint"] = duck_sql(WRITTEN, """select filing_id as arquivo, cast(sum(strlen(value) + 1) as bigint) as tamanho,
+  sha256(string_agg(concat(value, chr(10)), '' order by line_no)) as arquivo_sha256 from written group by filing_id""")
+
+ORACLE["memory_store"] = duck_sql(_M2, "select nome_key, nome_original, documento, tipo_documento, campo, ocorrencias, status, status_motivo, origem_arquivo from m2")
+ORACLE["memory_items"] = duck_sql(_M2, """select campo, nome_key, documento, tipo_documento, acao, ocorrencias as ocorrencias_arquivo, ocorrencias_total, fim as status_final,
+  cast(2 as bigint) as session_id from items union all
+  select c.campo, c.nome_key, c.documento, c.tipo_documento, concat('NOVO_', case when m.status = 'ativo' then 'PROMOVIDO' else 'QUARENTENA' end), c.ocorrencias, c.ocorrencias, m.status, 1
+  from c1 c join m1 m on c.nome_key = m.nome_key and c.documento = m.documento and c.campo = m.campo""")
+ORACLE["memory_sessions"] = duck_sql(LEARN + f", prints as ({_fingerprint('lines')})", """select case when cast(right(l.filing_id, 2) as int) % 2 = 1 then 1 else 2 end::bigint as id,
+  l.filing_id as arquivo_txt, p.arquivo_sha256, coalesce(t.n, 0) as total_tn, coalesce(s.c, 0) as candidatos, coalesce(s.i, 0) as ignorados
+  from (select distinct filing_id from lines) l join prints p on l.filing_id = p.filing_id left join (select filing_id, count(*) as n from tn group by all) t on l.filing_id = t.filing_id
+  left join (select filing_id, count(distinct case when aceito then concat(nome_key, '|', documento, '|', campo) end) as c, count(*) filter (where not aceito) as i from seen2 group by all) s on l.filing_id = s.filing_id""")
+ORACLE["learn_stream"] = duck_sql(LEARN + _cands("c", "true") + ", m0 as (select *, '' as status, '' as status_motivo from c)" + _classify("m0", "m"),
+                                  "select nome_key, documento, campo, tipo_documento, ocorrencias, status, status_motivo from m")
+
+HISTORY = FREIGHT + "," + CHANGES + """,
+arrived as (select doc, momento, trim(upper(arg_max(nome, ordem))) as nome from changes group by doc, momento),
+begun as (select doc, nome, momento from (select *, lag(nome) over (partition by doc order by momento) as antes from arrived) where antes is null or antes <> nome),
+history as (select doc, nome, momento as valido_desde, lead(momento) over (partition by doc order by momento) as valido_ate from begun)"""
+ORACLE["registry_history"] = duck_sql(HISTORY, "select * from history")
+ORACLE["registry_lookup"] = duck_sql(HISTORY + "," + QUESTIONS, f"""select q.pedido, q.seq, q.doc, q.momento, h.nome from questions q left join history h
+  on {digits('q.doc')} = h.doc and h.valido_desde <= q.momento and (h.valido_ate is null or h.valido_ate > q.momento)""")
+UPSERT = HISTORY + "," + REGISTRY
+ORACLE["registry_upsert"] = duck_sql(UPSERT + ", incoming as (select doc, trim(upper(concat(nome, ' nova'))) as novo from registry)", """
+  select h.doc, h.nome, h.valido_desde, case when h.valido_ate is null and i.novo <> h.nome then 20300101 else h.valido_ate end as valido_ate
+  from history h left join incoming i on h.doc = i.doc
+  union all select i.doc, i.novo, 20300101, null from incoming i left join history h on h.doc = i.doc and h.valido_ate is null where h.doc is null or h.nome <> i.novo""")
+ORACLE["registry_then"] = duck_sql(HISTORY, "select doc, nome from history where valido_desde <= 20170101 and (valido_ate is null or valido_ate > 20170101)")
+
+ORACLE["invoice_positions"] = duck_sql(FREIGHT, """select filing_id, seq, nf_numero, row_number() over (order by
+  case when regexp_matches(nf_numero, '^[0-9]+$') then cast(nf_numero as hugeint) end nulls last, nf_numero nulls last, filing_id, seq) as posicao from freight""")
+GAPS = LINES + ", gaps as (select filing_id, line_no, case when line_no % 97 <> 5 then value end as value from lines)" + TYPED[len(LINES):].replace(" from lines)", " from gaps)")
+
+
+def _joined(tipo):
+    names = ", ".join(f.name for f in LAYOUT[tipo])
+    return f"select filing_id, line_no, '{tipo.lower()}' as saida, concat_ws('|', {names}) as campos from ({_parse(tipo)})"
+
+
+ORACLE["route_lines"] = duck_sql(GAPS, " union all ".join(_joined(t) for t in ("TN", "CC", "TI", "PI")) +
+                                 " union all select filing_id, line_no, 'invalid', 'linha ilegivel' from gaps where value is null")
+ORACLE["route_counts"] = duck_sql(GAPS, """select s.saida, count(t.saida) as n from (select unnest(['tn', 'cc', 'ti', 'pi', 'invalid', 'ignorada']) as saida) s
+  left join (select case when value is null then 'invalid' when tipo in ('TN', 'CC', 'TI', 'PI') then lower(tipo) else 'ignorada' end as saida from typed) t on s.saida = t.saida group by s.saida""")
+ORACLE["forbidden_characters"] = duck_sql(LINES + """, found as (
+  select distinct filing_id, line_no, unnest(regexp_extract_all(value, '[^\\x00-\\x7f]')) as caractere from lines)""",
+    "select filing_id, caractere, count(*) as n_linhas from found group by all")
+ORACLE["layout_messages"] = duck_sql(ALL_ERR, """select filing_id, fase, line_no, concat('Linha ', cast(line_no as string),
+  case when tipo <> '' then concat(' (', tipo, ')') else '' end, ': ', mensagem) as mensagem from every_error""")
+ORACLE["learn_invoices"] = duck_sql(LEARN, "select nome_key, documento, campo, nf, count(*) as n from seen2 where aceito group by all")
+ORACLE["alert_samples"] = duck_sql(ADJ, "select filing_id, tipo, detalhe, count(*) as n from cls where not manual and detalhe <> '' group by all")
+ORACLE["search_branches"] = duck_sql(COMPANY + "," + TERMS, """select distinct termo, doc as cnpj, nome from terms join company on contains(lower(nome), lower(termo)) where termo <> ''""")
+ORACLE["list_branches"] = duck_sql(COMPANY + "," + BRANCHES, "select cnpj, nome, concat(nome, ' - ', cnpj) as rotulo from branches")
+ORACLE["loose_documents"] = duck_sql(PARTY_ROWS, """select distinct doc, left(lpad(doc, cast(greatest(length(doc), 14) as int), '0'), 14) as solto
+  from (select coalesce(doc, '') as doc from party_rows) where length(doc) not in (11, 14)""")

@@ -9,6 +9,7 @@ from cargofile.operators import (
     resolve as Q, validate as V,
 )
 from cargofile.plans import dimensions as dim, inputs
+from cargofile.plans.file_queries import FILE_QUERIES
 from cargofile.schema import PAIR_SCHEMA, PARTIES
 from cargofile.sources.filings import default_period
 
@@ -394,4 +395,4 @@ QUERIES = {
     "default_periods": default_periods,
 }
 
-QUERIES = {name: _tuned(query) for name, query in QUERIES.items()}
+QUERIES = {name: _tuned(query) for name, query in (QUERIES | FILE_QUERIES).items()}
