@@ -1,28 +1,30 @@
-"""License scans: the rarest words of templates pick stretches, which local alignment reads for coverage and spans."""
+"""License scans: winnowed fingerprints of templates pick candidates, banded alignment reports coverage and spans."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import alphanumeric_table
+from cargofile.llm.common import alphanumeric_table, runs
 
 TABLE = alphanumeric_table()
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 LEAST_COVERAGE = 0.8
+# Words of a fingerprint at most, and edits that lose no place however short a template is.
+GRAM, EDITS = 3, 2
 SHARD_WORDS = 200_000
 # A cell of an alignment in one integer: score, matches, and how far its first word lies before the last possible one.
 FIRST_BITS, MATCH_BITS = 22, 18
 MATCH, SCORE = 1 << FIRST_BITS, 1 << (FIRST_BITS + MATCH_BITS)
-# Words of text that are aligned at a time at least.
+# Words of text that a candidate spans at most; longer ones are cut and overlap.
 PIECE = 65_536
 
-# License notices.
+# License notices, and whole texts (without their copyright line).
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -30,12 +32,42 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-                "associated documentation files, to deal in the Software without restriction.",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                "that the following conditions are met.",
-    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-                "hereby granted.",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE.""",
 }
 
 
@@ -90,113 +122,116 @@ def aligned(text: list[bytes], template: list[bytes], start: int, band: int) ->
     return out
 
 
+def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the grams that are smallest (the last of equals) in some window of so many grams in a row."""
+    if len(grams) < window:
+        return np.arange(len(grams))
+    every = np.lib.stride_tricks.sliding_window_view(grams, window)
+    return np.unique(np.arange(len(every)) + window - 1 - np.argmin(every[:, ::-1], axis=1))
+
+
 class Index:
-    """Inverted index of a shard of templates: each template's rarest words.
+    """Inverted index of a shard of templates: fingerprint to (template, word position).
 
-    A place has at least `least` of a template's n words, m of them, so it has one of any n - m + 1 words of the template:
-    those that the fewest templates have, longer words first. Its score is positive, so it spans under 2 m words of text.
+    A place of a template of n words, m of which are needed, has m words and, with e edits (words put in, left out or
+    replaced), at most e breaks, so some m / (e + 1) words in a row are the template's. Gram and window are chosen for each
+    template so that every run of that length has a common fingerprint: with e = n - m, EDITS at least, no place is lost.
     """
 
     def __init__(self, templates: list[tuple[str, str]], least: float):
         self.ids: dict[bytes, int] = {}
-        self.templates: list[tuple[str, np.ndarray, int]] = []
-        self.anchors: dict[int, list[int]] = defaultdict(list)
-        cut = [(name, words(text)) for name, text in templates]
-        often = Counter(w for _, own in cut for w in set(own))
-        for name, own in cut:
+        # name, word numbers, words needed, edits that lose no place
+        self.templates: list[tuple[str, np.ndarray, int, int]] = []
+        self.places: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for name, text in templates:
+            own = words(text)
             n = len(own)
             if n >= 1 << MATCH_BITS:
                 raise ValueError(f"template {name} has {n} words; less than {1 << MATCH_BITS} can be aligned")
             needed = next((k for k in range(1, n + 1) if k / n >= least), 0)
             if not needed:
                 continue
-            rare = sorted(own, key=lambda w: (often[w], -len(w), w))[:n - needed + 1]
             for word in own:
                 self.ids.setdefault(word, len(self.ids) + 1)
-            for word in sorted(set(rare)):
-                self.anchors[self.ids[word]].append(len(self.templates))
-            self.templates.append((name, np.array([self.ids[w] for w in own], np.int64), needed))
-        self.anchored = np.zeros(len(self.ids) + 1, bool)
-        self.anchored[list(self.anchors)] = True
-        self.counts = [np.unique(own, return_counts=True) for _, own, _ in self.templates]
+            numbers, edits = np.array([self.ids[w] for w in own], np.uint64), max(EDITS, n - needed)
+            run = -(-needed // (edits + 1))
+            gram = min(GRAM, run)
+            grams = runs(numbers, gram)
+            for at in winnowed(grams, run - gram + 1).tolist():
+                self.places[gram, run - gram + 1][int(grams[at])].append((len(self.templates), at))
+            self.templates.append((name, numbers.astype(np.int64), needed, edits))
+        self.prints = {kind: np.array(sorted(own), np.uint64) for kind, own in self.places.items()}
 
     def numbers(self, text: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.get, text, repeat(0)), np.int64, len(text))
 
-    def reach(self, nr: int) -> int:
-        return 2 * len(self.templates[nr][1]) - 1
-
-    def stretches(self, text: np.ndarray, nr: int, lo: int, hi: int) -> list[tuple[int, int]]:
-        """Parts of text[lo:hi] outside of which nothing can have enough words: those two reaches long that share as many
-        words with the template, repeats counted, are merged. Every place lies whole in one of them."""
-        reach, (own, counts), out = self.reach(nr), self.counts[nr], []
-        for first in range(lo, max(lo + 1, hi - reach), reach):
-            part = text[first:min(hi, first + 2 * reach)]
-            slot = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            found = np.bincount(slot[own[slot] == part], minlength=len(own))
-            if np.minimum(found, counts).sum() >= self.templates[nr][2]:
-                if out and out[-1][1] >= first:
-                    out[-1][1] = first + len(part)
-                else:
-                    out.append([first, first + len(part)])
-        return [tuple(x) for x in out]
-
     def candidates(self, text: np.ndarray):
-        """(template, first and end of a stretch of text) in which every place of the template lies."""
-        found = defaultdict(list)
-        for at in np.nonzero(self.anchored[text])[0].tolist():
-            for nr in self.anchors[int(text[at])]:
-                found[nr].append(at)
-        for nr, at in found.items():
-            reach, first = self.reach(nr), 0
-            for k in range(1, len(at) + 1):
-                if k == len(at) or at[k] - at[k - 1] >= 2 * reach:
-                    yield nr, max(0, at[first] - reach + 1), min(len(text), at[k - 1] + reach)
+        """(template, first and last diagonal) of hits whose diagonals lie within a template's edits of each other."""
+        found = defaultdict(set)
+        for (gram, window), prints in self.prints.items():
+            if len(text) < gram or not len(prints):
+                continue
+            grams = runs(text.astype(np.uint64), gram)
+            at = winnowed(grams, window)
+            mine = grams[at]
+            slot = np.minimum(np.searchsorted(prints, mine), len(prints) - 1)
+            for k in np.nonzero(prints[slot] == mine)[0].tolist():
+                for nr, place in self.places[gram, window][int(mine[k])]:
+                    found[nr].add(int(at[k]) - place)
+        for nr, diagonals in found.items():
+            edits, own = self.templates[nr][3], sorted(diagonals)
+            first = 0
+            for k in range(1, len(own) + 1):
+                if k == len(own) or own[k] - own[k - 1] > edits or own[k] - own[first] > PIECE:
+                    yield nr, own[first], own[k - 1]
                     first = k
 
-    def places(self, text: np.ndarray, nr: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """(matched, first and last word) in text[lo:hi] that do not overlap: best score first, then more matches, then the
-        first to end; then what the parts between them hold."""
-        _, template, needed = self.templates[nr]
-        out, todo = [], [(lo, hi)]
+    def places_near(self, text: np.ndarray, nr: int, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """(score, matched, first and last word) of places whose alignment lies within the template's edits of the diagonals
+        low to high, and that do not overlap: the best first, then what the parts between them hold."""
+        _, template, needed, edits = self.templates[nr]
+        band = (high - low + 1) // 2 + edits
+        out, todo = [], [(max(0, low - edits), min(len(text), high + len(template) + edits))]
         while todo:
-            for first, end in self.stretches(text, nr, *todo.pop()):
-                spans = sorted(self._spans(text[first:end], template, needed, self.reach(nr)), key=lambda x: x[1])
-                out += [(matched, first + a, first + b) for matched, a, b in spans]
-                edges = [-1, *[x for _, a, b in spans for x in (a, b)], end - first]
-                todo += [(first + a + 1, first + b) for a, b in zip(edges[::2], edges[1::2]) if spans and b - a > needed]
+            lo, hi = todo.pop()
+            spans = self._spans(text[lo:hi], template, needed, (low + high) // 2 - lo, band)
+            out += [(score, matched, lo + a, lo + b) for score, matched, a, b in spans]
+            edges = [-1, *[x for _, _, a, b in sorted(spans, key=lambda s: s[2]) for x in (a, b)], hi - lo]
+            todo += [(lo + a + 1, lo + b) for a, b in zip(edges[::2], edges[1::2]) if spans and b - a > needed]
         return out
 
     @staticmethod
-    def _spans(text: np.ndarray, template: np.ndarray, needed: int, reach: int) -> list[tuple[int, int, int]]:
-        # Per last word the best alignment that has enough matches. A piece knows those that start a reach after it.
-        top, start, length = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), max(PIECE, 4 * reach)
-        for at in range(0, max(1, len(text) - reach), length - reach):
-            part = text[at:at + length]
-            best = np.zeros(len(part), np.int64)
-            for i, (_, row) in enumerate(cells(part, template, 0, len(part) + len(template))):
-                if i + 1 >= needed:
-                    enough = (row // MATCH) % (1 << MATCH_BITS) >= needed
-                    np.maximum(best, row, out=best, where=enough)
-            own = slice(reach if at else 0, None)
-            top[at:at + length][own], start[at:at + length][own] = (best // MATCH)[own], (at + MATCH - 1 - best % MATCH)[own]
-        out, taken = [], np.zeros(len(text), bool)
-        ends = np.nonzero(top)[0]
-        for last in ends[np.lexsort((ends, -top[ends]))].tolist():
-            if not taken[start[last]:last + 1].any():
-                taken[start[last]:last + 1] = True
-                out.append((int(top[last]) % (1 << MATCH_BITS), int(start[last]), last))
-        return out
+    def _spans(text: np.ndarray, template: np.ndarray, needed: int, start: int, band: int) -> list[tuple[int, int, int, int]]:
+        # Per last word the best alignment that has enough matches.
+        best = np.zeros(len(text), np.int64)
+        for i, (lo, row) in enumerate(cells(text, template, start, band)):
+            if i + 1 >= needed and len(row):
+                enough = (row // MATCH) % (1 << MATCH_BITS) >= needed
+                np.maximum(best[lo:lo + len(row)], row, out=best[lo:lo + len(row)], where=enough)
+        return apart([(int(v) // SCORE, int(v) // MATCH % (1 << MATCH_BITS), MATCH - 1 - int(v) % MATCH, int(last))
+                      for last in np.nonzero(best)[0] for v in (best[last],)])
+
+
+def apart(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(score, matched, first, last) of which none overlap: best score first, then more matches, then the first to end."""
+    out, taken = [], set()
+    for score, matched, first, last in sorted(set(spans), key=lambda s: (-s[0], -s[1], s[3], s[2])):
+        if not any(k in taken for k in range(first, last + 1)):
+            taken.update(range(first, last + 1))
+            out.append((score, matched, first, last))
+    return out
 
 
 def found_in(text: str, indexes: list[Index]) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, start, stop, matched words) in a text; offsets in code points, stop exclusive."""
     own, out, spans = words(text), [], None
     for index in indexes:
-        numbers = index.numbers(own)
-        for nr, lo, hi in index.candidates(numbers):
-            name, template, _ = index.templates[nr]
-            for matched, first, last in index.places(numbers, nr, lo, hi):
+        numbers, near = index.numbers(own), defaultdict(list)
+        for nr, low, high in index.candidates(numbers):
+            near[nr] += index.places_near(numbers, nr, low, high)
+        for nr, places in near.items():
+            name, template = index.templates[nr][:2]
+            for _, matched, first, last in apart(places):
                 if spans is None:
                     data = text.encode("utf-8", "surrogatepass")
                     spans = [m.span() for m in WORD.finditer(data)]
@@ -208,11 +243,12 @@ def found_in(text: str, indexes: list[Index]) -> list[tuple[str, float, int, int
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, start, stop, matched): each place where at least `least` of a template's words align.
 
-    Words are runs of letters and digits, A-Z lower-cased. Every local alignment that has as many matches is found: its
-    words cannot all miss the template's rarest ones, which are looked up in an inverted index, and stretches around them
-    that share enough words with the template are aligned whole, without a band. Places of one template do not overlap.
-    Templates come in shards of bounded words; those without a word are ignored. Null or empty texts have no place;
-    repeated rows report each; an empty table gives no rows; other columns are ignored.
+    Words are runs of letters and digits, A-Z lower-cased. Winnowed grams of one to three words are looked up in the
+    templates' inverted index; hits on near diagonals make a candidate, which is aligned in a band around them. A place
+    with at most two edits, or with as many as `least` leaves words to lose, always has a common fingerprint and lies in
+    the band; one with more words put in than that may be missed. Places of one template do not overlap, the best are
+    reported. Templates come in shards of bounded words; those without a word are ignored. Null or empty texts have no
+    place; repeated rows report each; an empty table gives no rows; other columns are ignored.
     """
     shards, size = [[]], 0
     for name, text in sorted((templates or TEMPLATES).items()):
