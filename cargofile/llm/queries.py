@@ -55,7 +55,7 @@ def held_out() -> Column:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    return scored(docs, learn(docs, labels)).select(
+    return scored(docs, learn(docs.where(~held_out()), labels)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import alphanumeric_table
+from cargofile.llm.common import alphanumeric_table, few, stored
 
 TABLE = alphanumeric_table()
 POSITIVES = 6_000
@@ -15,7 +15,8 @@ UNLABELLED = 14_000
 LEAST_DOCS = 4
 LEAST_SIGMAS = 4.0
 EPOCHS = 250
-PRIOR = 0.1
+# What the share of toxic text is taken to be before anything is known; share of positives that an estimate of it rests on.
+PRIOR, TRUE_SHARE = 0.1, 0.3
 
 
 def word_hash(word: bytes) -> int:
@@ -87,39 +88,89 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return vocabulary[keep[1:]], (weights * scale)[keep]
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict[int, float] | None:
-    """Weights by word hash (None: the bias) from labels (doc_id, toxic); None without a confirmed toxic example.
+def class_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_docs: int = LEAST_DOCS) -> float:
+    """The share of positives in unlabelled text, told without a single negative.
 
-    Bounded sample of labelled rows, chosen by the hash of doc_id: at most `positives` confirmed toxic documents, and at
-    most `unlabelled` labelled documents of any label, used as text without label. The class prior is the share of
-    toxic among all labelled rows. Null ids, labels and texts are left out; of a repeated doc_id the largest label counts.
+    Whatever set of documents is looked at, unlabelled text lies in it at least prior times as often as positives do, and
+    as often in a set that negatives never enter. Documents are split in two halves; in turn two classifiers (a
+    low and a high guess of the prior) learn from one, and in the other the smallest such ratio, a standard error up, is taken over the documents above each of its scores
+    that at least TRUE_SHARE of the positives reach. The mean of both turns counts, kept between one unlabelled document and 95 per cent.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    if not prior:
-        return None
-    sure = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-    some = known.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(unlabelled)
-    chosen = sure.select("doc_id", F.lit(1).alias("role")).union(some.select("doc_id", F.lit(0)))
+    ratios = []
+    for turn in (0, 1):
+        p, u = ([own[turn::2], own[1 - turn::2]] for own in (positive, unlabelled))
+        if not all((*p, *u)):
+            continue
+        found = []
+        for guess in (PRIOR, 0.5):
+            words_, weights = fit(p[0], u[0], guess, least_docs)
+            sp, su = (np.sort(Bags(x, words_).scores(weights)) for x in (p[1], u[1]))
+            reach = np.unique(sp)
+            true = 1 - np.searchsorted(sp, reach) / len(sp)
+            both = 1 - np.searchsorted(su, reach) / len(su)
+            # Each share a standard error to the safe side: the smallest of many noisy ratios would be too small.
+            both += np.sqrt(both * (1 - both) / len(su)) + 0.5 / len(su)
+            safe = true - np.sqrt(true * (1 - true) / len(sp))
+            found.append((both / np.maximum(safe, 1e-9))[true >= TRUE_SHARE].min())
+        ratios.append(min(found))
+    return float(np.clip(np.mean(ratios) if ratios else PRIOR, 1 / len(unlabelled), 0.95))
+
+
+def learn(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES,
+          unlabelled: int = UNLABELLED) -> dict[int, float] | None:
+    """Weights by word hash (None: the bias) from confirmed toxic documents and unlabelled text; None without either.
+
+    labels (doc_id, toxic): only rows with toxic 1 are looked at. docs (doc_id, text) is the text that may be learned from.
+    Bounded sample: at most `positives` confirmed documents and at most `unlabelled` documents of docs, whatever their
+    label, both chosen by the hash of doc_id. The class prior is `prior` or else told from the two by class_prior().
+    Null ids and texts are left out; of a doc_id with several texts the smallest counts. Whole texts give the words; those
+    that tell positives from unlabelled text are chosen on Spark, and only they come to the driver.
+    """
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
+    toxic = labels.where("doc_id is not null and toxic = 1").select("doc_id").distinct()
+    sure = toxic.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    some = ids.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(unlabelled)
+    chosen = stored(few(sure.select("doc_id", F.lit(1).alias("role")).union(some.select("doc_id", F.lit(0)))), "toxicity-chosen")
 
     def features(batches):
         import pandas as pd
 
         for batch in batches:
             words = [np.array(sorted({word_hash(w) for w in distinct_words(t)}), np.int32) for t in batch["text"]]
-            yield pd.DataFrame({"role": batch["role"].to_numpy(), "words": words})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "words": words})
+
+    text = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # At most positives + unlabelled ids; one text for each, however often its rows repeat.
+    wanted = chosen.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    texts = text.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    bags = texts.mapInPandas(features, "doc_id long, words array<int>")
+    rows = stored(few(bags.join(F.broadcast(chosen), "doc_id").select("doc_id", "role", "words")), "toxicity-words")
+    sizes = {r["role"]: r["count"] for r in rows.groupBy("role").count().collect()}
+    if len(sizes) < 2:
+        return None
+    n_p, n_u = F.lit(float(sizes[1])), F.lit(float(sizes[0]))
+    counts = rows.select("role", F.explode("words").alias("word")).groupBy("word").agg(
+        F.sum("role").alias("in_p"), F.count("*").alias("n"))
+    # A first choice by what telling() asks for, with half its standard errors, as it is asked of halves of the sample too.
+    rate = F.greatest((F.col("n") - F.col("in_p")) / n_u, 0.5 / n_u)
+    half = F.least(rate, F.lit(0.5))
+    sigmas = F.abs((F.col("in_p") / n_p - rate) / F.sqrt(half * (1 - half) / n_p))
+    words = counts.where((F.col("n") >= LEAST_DOCS) & (sigmas >= LEAST_SIGMAS / 2)).select("word").toArrow().column("word").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(words))
+
+    def chosen_words(batches):
+        import pandas as pd
 
-    text = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    # At most positives + unlabelled ids.
-    rows = text.join(F.broadcast(chosen), "doc_id").select("role", "text").mapInPandas(
-        features, "role int, words array<int>").toArrow()
+        for batch in batches:
+            own = [w[np.isin(w, sent.value)] for w in batch["words"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "role": batch["role"].to_numpy(), "words": own})
+
+    found = rows.mapInPandas(chosen_words, "doc_id long, role int, words array<int>").orderBy("role", F.xxhash64("doc_id")).toArrow()
     # Views of one flat array; no document has objects of its own.
-    role, words = rows.column("role").to_numpy(), rows.column("words").combine_chunks()
+    role, words = found.column("role").to_numpy(), found.column("words").combine_chunks()
     flat, ends = words.values.to_numpy(), words.offsets.to_numpy()
     sets = {r: [flat[ends[k]:ends[k + 1]] for k in np.nonzero(role == r)[0]] for r in (0, 1)}
-    if not sets[0] or not sets[1]:
-        return None
-    words, weights = fit(sets[1], sets[0], min(prior, 0.95))
+    words, weights = fit(sets[1], sets[0], min(prior or class_prior(sets[1], sets[0]), 0.95))
     return {None: float(weights[0])} | dict(zip(words.tolist(), weights[1:].tolist()))
 
 

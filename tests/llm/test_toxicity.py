@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cargofile.llm.toxicity import PRIOR, fit, learn, scored, word_hash
+from cargofile.llm.toxicity import PRIOR, class_prior, fit, learn, scored, word_hash
 
 
 def corpus(words, count, seed):
@@ -32,7 +32,31 @@ def test_held_out_documents_are_told_apart(spark, frame, words, corner_texts):
 def test_label_zero_is_not_used(spark, frame, words):
     docs, labels = corpus(words, 400, 2)
     df, whole = frame(docs), spark.createDataFrame(labels, "doc_id long, toxic int")
-    assert learn(df, whole) == learn(df, whole.orderBy(F.desc("doc_id")))
+    model = learn(df, whole)
+    assert model == learn(df, whole.orderBy(F.desc("doc_id"))) == learn(df, whole.where("toxic = 1"))
+
+
+def test_confirmed_positives_and_unlabelled_text_alone(spark, frame, words):
+    """A third of the toxic documents is confirmed, nothing else is known; ids repeat, some with other texts."""
+    docs, labels = corpus(words, 1500, 3)
+    sure = [k for k, y in labels if y][::3]
+    rows = docs + docs[:50] * 3 + [(k, "zz other text") for k in range(20)]
+    model = learn(frame(rows), spark.createDataFrame([(k, 1) for k in sure] * 2, "doc_id long, toxic int"))
+    out = {r.doc_id: r.score for r in scored(frame(docs), model).select("doc_id", "score").collect()}
+    rest = [(out[k] >= 0.5, y) for k, y in labels if k not in set(sure)]
+    assert np.mean([hit for hit, y in rest if y]) > 0.9 and np.mean([hit for hit, y in rest if not y]) < 0.02
+
+
+def test_class_prior_is_told_from_positives_and_unlabelled_text():
+    pick = np.random.default_rng(1)
+
+    def docs(count, toxic):
+        return [np.unique(np.concatenate([pick.integers(0, 400, 40), 1000 + pick.integers(0, 6, 3) if t else pick.integers(0, 400, 3)]))
+                for t in pick.random(count) < toxic]
+
+    for share in (0.05, 0.2, 0.5):
+        found = class_prior(docs(400, 1.1), docs(4000, share))
+        assert 0.8 * share < found < 1.5 * share
 
 
 def test_without_positives_every_score_is_the_prior(spark, frame):
