@@ -13,6 +13,7 @@ from cargofile.functions import documents as D, text as X
 from cargofile.operators import ordered
 from cargofile.operators.contain import contained, inside
 from cargofile.schema import PARTIES
+from cargofile.sources.shared import cut
 
 # Key lengths and confidence limits of the lookups.
 MIN_KEY = 8            # batch and registry lookups
@@ -63,8 +64,9 @@ def containment_candidates(queries: DataFrame, index: DataFrame, by: list[str],
     and largest id per key survive, which is enough to decide "exactly one distinct id".
     Both keys must have at least ``gram`` characters to take part.
     """
-    queries = queries.filter(F.length("key") >= gram).select(*by, "key")
-    span = index.filter(F.length("key") >= gram).groupBy(*by, "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    # Both are narrow and looked at several times; what they come from is not.
+    queries = cut(queries.filter(F.length("key") >= gram).select(*by, "key"))
+    span = cut(index.filter(F.length("key") >= gram).groupBy(*by, "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
 
     # index key inside query key
     inner = inside(queries, span, by, gram).select(*by, "key", "lo", "hi")
@@ -187,8 +189,9 @@ def documents_by_name(questions: DataFrame, index: DataFrame, registry: DataFram
     """Answers for distinct (filing_id, campo, nome_key): exact in the batch, contained in
     the batch, registry, memory — in this order (J2 → J3 → J4 → J5).  ``origem`` says which."""
     by = ["filing_id", "campo"]
-    q = questions.select(*by, F.col("nome_key").alias("key")).filter(F.length("key") >= MIN_KEY).distinct()
-    idx = index.select(*by, F.col("nome_key").alias("key"), "doc")
+    # The distinct questions and the index are stored once; every step below asks them again.
+    q = cut(questions.select(*by, F.col("nome_key").alias("key")).filter(F.length("key") >= MIN_KEY).distinct())
+    idx = cut(index.select(*by, F.col("nome_key").alias("key"), "doc"))
     exact = unique_doc(idx, by + ["key"]).withColumnRenamed("doc", "doc_exato")
     out = q.join(exact, by + ["key"], "left")
     open_keys = out.filter(F.col("doc_exato").isNull() & (F.length("key") >= MIN_CONTAINED)).select(*by, "key")
