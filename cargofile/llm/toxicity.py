@@ -17,6 +17,8 @@ LEAST_SIGMAS = 4.0
 EPOCHS = 250
 # What the share of toxic text is taken to be before anything is known; share of positives that an estimate of it rests on.
 PRIOR, TRUE_SHARE = 0.1, 0.3
+# Confirmed documents from which on the prior is estimated; fewer tell nothing of it, and PRIOR stands.
+LEAST_POSITIVES = 30
 
 
 def word_hash(word: bytes) -> int:
@@ -95,7 +97,10 @@ def class_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_
     as often in a set that negatives never enter. Documents are split in two halves; in turn two classifiers (a
     low and a high guess of the prior) learn from one, and in the other the smallest such ratio, a standard error up, is taken over the documents above each of its scores
     that at least TRUE_SHARE of the positives reach. The mean of both turns counts, kept between one unlabelled document and 95 per cent.
+    With fewer than LEAST_POSITIVES positives, or where no word tells the two apart, it is PRIOR.
     """
+    if len(positive) < LEAST_POSITIVES:
+        return PRIOR
     ratios = []
     for turn in (0, 1):
         p, u = ([own[turn::2], own[1 - turn::2]] for own in (positive, unlabelled))
@@ -104,6 +109,8 @@ def class_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_
         found = []
         for guess in (PRIOR, 0.5):
             words_, weights = fit(p[0], u[0], guess, least_docs)
+            if not len(words_):
+                continue
             sp, su = (np.sort(Bags(x, words_).scores(weights)) for x in (p[1], u[1]))
             reach = np.unique(sp)
             true = 1 - np.searchsorted(sp, reach) / len(sp)
@@ -112,7 +119,7 @@ def class_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_
             both += np.sqrt(both * (1 - both) / len(su)) + 0.5 / len(su)
             safe = true - np.sqrt(true * (1 - true) / len(sp))
             found.append((both / np.maximum(safe, 1e-9))[true >= TRUE_SHARE].min())
-        ratios.append(min(found))
+        ratios += [min(found)] if found else []
     return float(np.clip(np.mean(ratios) if ratios else PRIOR, 1 / len(unlabelled), 0.95))
 
 

@@ -47,5 +47,5 @@ def test_stages_take_odd_tables(spark, frame, corner_texts):
 
 
 def test_queries_are_registered():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLE) <= set(QUERIES) and os.path.exists(vocabulary())

@@ -73,3 +73,9 @@ def test_risk_stays_near_the_prior_when_unlabelled_text_holds_positives():
     assert {1000, 1001, 1002} <= set(words.tolist())
     assert weights[0] < 0 and all(weights[1:][words >= 1000] > 0)
     assert word_hash(b"a") == word_hash(b"a")
+
+
+def test_few_positives_do_not_tell_the_prior():
+    pick = np.random.default_rng(2)
+    docs = [np.unique(pick.integers(0, 400, 40)) for _ in range(300)]
+    assert class_prior(docs[:9], docs) == PRIOR and class_prior(docs[:60], docs[60:]) <= 0.95
