@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargofile.llm.common import BROADCAST_ROWS, fresh, lean
-from cargofile.llm.contamination import occurrences
+from cargofile.llm.contamination import contaminated
 from cargofile.llm.linededup import dedup_lines
 from cargofile.llm.neardup import near_duplicates
 from cargofile.llm.packing import pack
@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
-    rows = occurrences(wrapped(docs), table(spark, sf_dir, "benchmark"), keep=["_row"])
+    rows = contaminated(wrapped(docs), table(spark, sf_dir, "benchmark"), keep=["_row"])
     return unwrapped(rows.where("not contaminated"), docs.columns)
 
 
