@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
-from cargofile.llm.cotraining import TEXT_FEATURES, calibration, measured, quality_scores
+from pyspark.sql import functions as F
+
+from cargofile.llm.cotraining import FOLDS, MEASURES, SIZES, calibration, measured, quality_scores, trained
 
 
 def corpus(words, count, seed):
@@ -42,5 +44,51 @@ def test_calibration_rises(spark):
 
 
 def test_measures_of_odd_texts():
-    for text in ("", "\n", " ", "a", "|" * 9, "x" * 10_000):
-        assert len(measured(text)) == len(TEXT_FEATURES) and np.isfinite(measured(text)).all()
+    for text in ("", "\n", " ", "a", "|" * 9, "x" * 10_000, "\ud800 é"):
+        values, slots = measured(text)
+        assert len(values) == len(MEASURES) and np.isfinite(values).all()
+        assert len(set(slots)) == len(slots) and all(k < SIZES["text"] for k in slots)
+
+
+def test_weights_equal_counts_by_hand(spark):
+    pick = random.Random(6)
+    data = [([pick.randint(0, 5), 6 + pick.randint(0, 3)], float(pick.random() < 0.6), k % FOLDS, pick.choice([0.5, 1.0]))
+            for k in range(200)] + [([0, 7], 1.0, FOLDS, 0.5), ([1, 7], None, FOLDS, 0.5)]
+    rows = spark.createDataFrame(data, "meta array<int>, y double, fold int, w double").repartition(5)
+    found = trained(rows, "meta", F.col("y"), F.col("w"))
+    for out in range(FOLDS + 1):
+        own = [(s, y, w) for s, y, f, w in data if y is not None and (f != out or out == FOLDS)]
+        g, b = 1 + sum(w for _, y, w in own if y), 1 + sum(w for _, y, w in own if not y)
+        assert abs(found[out, -1] - np.log(g / b)) < 1e-4
+        for slot in range(10):
+            good, bad = (sum(w for s, y, w in own if slot in s and y == v) for v in (1, 0))
+            assert abs(found[out, slot] - np.log((good + g / (g + b)) / g) + np.log((bad + b / (g + b)) / b)) < 1e-4
+        assert abs(found[out, 500]) < 1e-5
+
+
+def test_views_together_beat_either_view_with_few_labels(spark):
+    pick, rows, truth = random.Random(9), [], {}
+    for k in range(2400):
+        good = pick.random() < 0.5
+        truth[k] = good
+        own, other = ("good", "bad") if good else ("bad", "good")
+        side = own if pick.random() < 0.9 else other
+        text = " ".join(f"{own if pick.random() < 0.62 else other}{pick.randint(0, 400)}x" for _ in range(25))
+        rows.append((k, text, "en", f"{side}{pick.randint(0, 5)}", 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(k, int(truth[k])) for k in range(120)], "doc_id long, quality int")
+    rest = range(120, 2400)
+
+    def right(rows, column):
+        return np.mean([(rows[k][column] >= 0.5) == truth[k] for k in rest])
+
+    alone = {r.doc_id: r.asDict() for r in quality_scores(docs, known, rounds=0).collect()}
+    both = {r.doc_id: r.asDict() for r in quality_scores(docs, known, rounds=2, sure=0.85).collect()}
+    assert right(both, "score") > max(right(alone, "text_score"), right(alone, "meta_score")) + 0.02
+    assert right(both, "text_score") > right(alone, "text_score") + 0.05
+
+
+def test_documents_without_metadata_columns(spark):
+    docs = spark.createDataFrame([(k, "fine words here." if k % 2 else "## || ##") for k in range(40)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    assert all(bool(r.predicted) == bool(r.doc_id % 2) for r in quality_scores(docs, known).collect())
