@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargofile.llm.common import alphanumeric_table, spread, stored
+from cargofile.llm.common import BROADCAST_ROWS, alphanumeric_table, few, stored
 
 TABLE = alphanumeric_table()
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -66,13 +66,15 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return pd.DataFrame([measured(t) for t in texts], columns=["m", "words"])
 
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("quality").cast("double").alias("y"))
+    known = stored(few(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("quality").cast("double").alias("y"))), "labels")
+    # Few labels come to the documents; more are joined by shuffle.
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     own = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in META]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own).select(
         "doc_id", meta_slots().alias("meta"), measures(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = stored(spread(rows.join(known, F.col("doc_id") == F.col("_id"), "left").select(
-        "doc_id", "meta", "t.m", "t.words", "y")), "measures")
+    rows = stored(rows.join(known, F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", "meta", "t.m", "t.words", "y"), "measures")
     steps = [k / BINS for k in range(1, BINS)]
     cuts = rows.agg(*[F.percentile_approx(F.col("m")[k], steps, 1000).alias(f"c{k}") for k in range(len(MEASURES))]).first()
     slots = []
