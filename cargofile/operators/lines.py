@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from cargofile.functions import documents as D, text as X
 from cargofile.operators import ordered
 from cargofile.schema import LAYOUT, MODALS, WIDTH
+from cargofile.sources.shared import cut
 
 MAIN_TYPES = ("EM", "TN", "TI")
 
@@ -188,16 +189,18 @@ def _line_rules() -> list[Column]:
     ]
 
 
+def _messages() -> list[Column]:
+    """All messages of one line, a blank one's included; null where the rule holds."""
+    empty = F.col("value") == ""
+    return [F.when(empty, F.lit("linha em branco; cada registro deve ocupar exatamente uma linha.")),
+            *[F.when(~empty, m) for m in _line_rules()]]
+
+
 def line_errors(lines: DataFrame) -> DataFrame:
     """Every rule broken by every line (L1); map-only."""
-    empty = F.col("value") == ""
-    rules = F.array(
-        F.when(empty, F.lit("linha em branco; cada registro deve ocupar exatamente uma linha.")),
-        *[F.when(~empty, m) for m in _line_rules()],
-    )
     return (
         with_id_fields(with_type(lines))
-        .select("filing_id", "line_no", "tipo", F.posexplode(rules).alias("ordem", "mensagem"))
+        .select("filing_id", "line_no", "tipo", F.posexplode(F.array(*_messages())).alias("ordem", "mensagem"))
         .filter(F.col("mensagem").isNotNull())
     )
 
@@ -213,17 +216,23 @@ def segment_lines(lines: DataFrame) -> DataFrame:
     return _with_owner(with_type(lines))
 
 
-def _with_owner(typed: DataFrame) -> DataFrame:
-    # Number and type travel as one integer, so every aggregate buffer stays fixed-width.
+def _main_line() -> Column:
+    """Number and type of a main line as one integer, so every aggregate buffer stays fixed-width; null for others."""
     code = F.coalesce(*[F.when(F.col("tipo") == t, F.lit(i)) for i, t in enumerate(MAIN_TYPES)])
-    owner = F.when(code.isNotNull(), F.col("line_no") * 4 + code)
-    out = ordered.carry_last(typed, ["filing_id"], "line_no", owner, "_owner")
+    return F.when(code.isNotNull(), F.col("line_no") * 4 + code)
+
+
+def _owner_columns(owner: str) -> dict[str, Column]:
     names = F.array(*[F.lit(t) for t in MAIN_TYPES])
-    return out.withColumns({
-        "owner_no": F.floor(F.col("_owner") / 4).cast("long"),
-        "owner_tipo": F.when(F.col("_owner").isNotNull(),
-                             F.element_at(names, (F.col("_owner") % 4 + 1).cast("int"))),
-    }).drop("_owner")
+    return {
+        "owner_no": F.floor(F.col(owner) / 4).cast("long"),
+        "owner_tipo": F.when(F.col(owner).isNotNull(), F.element_at(names, (F.col(owner) % 4 + 1).cast("int"))),
+    }
+
+
+def _with_owner(typed: DataFrame) -> DataFrame:
+    out = ordered.carry_last(typed, ["filing_id"], "line_no", _main_line(), "_owner")
+    return out.withColumns(_owner_columns("_owner")).drop("_owner")
 
 
 # Sub-records a main record can require, and the message when one is missing.
@@ -235,44 +244,76 @@ SEGMENT_MESSAGE = {
 }
 
 
-def dependency_errors(lines: DataFrame, filings: DataFrame | None = None) -> DataFrame:
-    """Cross-line rules (L3).  ``filings`` lists expected filings so that empty ones show up."""
-    # Needs come from the main line itself, presence from any line of its segment.  Both are
-    # small flags computed in the scan, so line texts are never shuffled or sorted.
+def segment_parts(lines: DataFrame, rules: bool = False, rows: int = ordered.SLICE_ROWS) -> DataFrame:
+    """What cross-line rules and verdicts need of every segment, from one scan of the lines; stored.
+
+    One narrow row per segment and slice of a filing: owner_no and owner_tipo (null before the first main line), the
+    largest ``need_*`` and ``has_*`` flags, ``n`` lines, ``n_em`` of them EM and, where ``rules`` asks for it, ``n_erros``
+    line rules broken.  A line that may be an error by itself (a first one that is no EM, PI or LA under no TI of its
+    slice) has a row of its own, with line_no and tipo.  Line texts are never shuffled or sorted.
+    """
+    # Needs come from the main line itself, presence from any line of its segment.
     v, t = F.col("value"), F.col("tipo")
     tn = (t == "TN") & (F.length(v) >= WIDTH["TN"])
     ti = (t == "TI") & (F.length(v) >= WIDTH["TI"])
     need = {"LR": tn & (F.substring(v, 275, 1) == "A"), "LE": tn & (F.substring(v, 276, 1) == "A"),
             "PI": ti, "LA": ti & (F.substring(v, 109, 1) == "A")}
-    typed = with_type(lines).select(
-        "filing_id", "line_no", "tipo",
+    typed = with_type(lines)
+    broken = F.lit(0)
+    if rules:
+        typed = with_id_fields(typed)
+        for m in _messages():
+            broken = broken + m.isNotNull().cast("int")
+    typed = typed.select(
+        "filing_id", "line_no", "tipo", broken.alias("n_erros"),
         *[F.when(cond, 1).otherwise(0).alias(f"need_{k}") for k, cond in need.items()])
-    seg = _with_owner(typed)
+    part = ["filing_id", "_slice"]
+    inner = Window.partitionBy(*part).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = ordered.with_slice(typed, ["filing_id"], "line_no", rows, dense=True).withColumn(
+        "_own", F.last(_main_line(), ignorenulls=True).over(inner))
+    under_ti = F.coalesce(F.col("_own") % 4 == MAIN_TYPES.index("TI"), F.lit(False))
+    alone = ((F.col("line_no") == 1) & (t != "EM")) | (t.isin("PI", "LA") & ~under_ti)
     flag = lambda c: F.max(F.when(c, 1).otherwise(0))
-    parts = (
-        seg.filter(F.col("owner_tipo").isin("TN", "TI"))
-        .groupBy("filing_id", "owner_no", "owner_tipo").agg(
+    parts = cut(
+        own.withColumns({"_no": F.when(alone, F.col("line_no")), "_tipo": F.when(alone, t)})
+        .groupBy(*part, "_own", "_no", "_tipo").agg(
             *[F.max(f"need_{k}").alias(f"need_{k}") for k in SEGMENT_MESSAGE],
-            *[flag(t == k).alias(f"has_{k}") for k in SEGMENT_MESSAGE])
-    )
+            *[flag(t == k).alias(f"has_{k}") for k in SEGMENT_MESSAGE],
+            F.count(F.lit(1)).alias("n"), F.count_if(t == "EM").alias("n_em"), F.sum("n_erros").alias("n_erros")))
+    # The rows before a slice's first main line belong to the last one of the slices before.
+    before = Window.partitionBy("filing_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.groupBy(*part).agg(F.max("_own").alias("_end")).select(*part, F.max("_end").over(before).alias("_carry"))
+    heads = parts.filter(F.col("_own").isNull()).join(carry, part).withColumn("_own", F.col("_carry")).select(parts.columns)
+    out = parts.filter(F.col("_own").isNotNull()).unionByName(heads).withColumns(_owner_columns("_own"))
+    return out.withColumnsRenamed({"_no": "line_no", "_tipo": "tipo"}).drop("_slice", "_own")
+
+
+def dependency_errors(lines: DataFrame, filings: DataFrame | None = None, rows: int = ordered.SLICE_ROWS) -> DataFrame:
+    """Cross-line rules (L3).  ``filings`` lists expected filings so that empty ones show up."""
+    return _dependencies(segment_parts(lines, rows=rows), filings)
+
+
+def _dependencies(parts: DataFrame, filings: DataFrame | None) -> DataFrame:
+    whole = parts.filter(F.col("owner_tipo").isin("TN", "TI")).groupBy("filing_id", "owner_no", "owner_tipo").agg(
+        *[F.max(f"{f}_{k}").alias(f"{f}_{k}") for f in ("need", "has") for k in SEGMENT_MESSAGE])
     rules = F.array(*[
         F.when((F.col(f"need_{t}") == 1) & (F.col(f"has_{t}") == 0), F.lit(text))
         for t, text in SEGMENT_MESSAGE.items()
     ])
-    segment_rules = parts.select(
+    segment_rules = whole.select(
         "filing_id", F.col("owner_no").alias("line_no"), F.col("owner_tipo").alias("tipo"),
         F.explode(rules).alias("mensagem")
     ).filter(F.col("mensagem").isNotNull())
 
-    orphans = seg.filter(F.col("tipo").isin("PI", "LA") & ~F.coalesce(F.col("owner_tipo") == "TI", F.lit(False))).select(
+    orphans = parts.filter(F.col("tipo").isin("PI", "LA") & ~F.coalesce(F.col("owner_tipo") == "TI", F.lit(False))).select(
         "filing_id", "line_no", "tipo",
         _cat("subsecao ", F.col("tipo"), " deve estar vinculada a uma linha TI anterior.").alias("mensagem"))
 
-    first = typed.filter((F.col("line_no") == 1) & (F.col("tipo") != "EM")).select(
+    first = parts.filter((F.col("line_no") == 1) & (F.col("tipo") != "EM")).select(
         "filing_id", F.lit(1).cast("long").alias("line_no"), "tipo",
         F.lit("primeira linha deve ser EM.").alias("mensagem"))
 
-    heads = typed.groupBy("filing_id").agg(F.count_if(F.col("tipo") == "EM").alias("n_em"))
+    heads = parts.groupBy("filing_id").agg(F.sum("n_em").alias("n_em"))
     if filings is not None:
         heads = filings.select("filing_id").distinct().join(heads, "filing_id", "left")
     no_lines = F.col("n_em").isNull()
@@ -297,19 +338,15 @@ def all_errors(lines: DataFrame, filings: DataFrame | None = None) -> DataFrame:
 
 def filing_status(lines: DataFrame, filings: DataFrame | None = None,
                   file_errors: DataFrame | None = None) -> DataFrame:
-    """Verdict per filing: total_linhas, n_erros, valido (L4)."""
-    errors = all_errors(lines, filings).groupBy("filing_id").agg(F.count(F.lit(1)).alias("n_erros"))
-    if file_errors is not None:
-        extra = file_errors.groupBy("filing_id").agg(F.count(F.lit(1)).alias("n_erros"))
-        errors = errors.unionByName(extra).groupBy("filing_id").agg(F.sum("n_erros").alias("n_erros"))
-    total = lines.groupBy("filing_id").agg(F.count(F.lit(1)).alias("total_linhas"))
-    return (
-        total.join(errors, "filing_id", "full" if filings is not None or file_errors is not None else "left")
-        .select("filing_id",
-                F.coalesce("total_linhas", F.lit(0)).cast("long").alias("total_linhas"),
-                F.coalesce("n_erros", F.lit(0)).cast("long").alias("n_erros"))
-        .withColumn("valido", F.col("n_erros") == 0)
-    )
+    """Verdict per filing: total_linhas, n_erros, valido (L4).  Lines are read once."""
+    parts = segment_parts(lines, rules=True)
+    counts = parts.select("filing_id", "n", "n_erros")
+    for errors in (_dependencies(parts, filings), file_errors):
+        if errors is not None:
+            counts = counts.unionByName(errors.select("filing_id", F.lit(0).alias("n"), F.lit(1).alias("n_erros")))
+    return counts.groupBy("filing_id").agg(
+        F.sum("n").alias("total_linhas"), F.sum("n_erros").alias("n_erros")
+    ).withColumn("valido", F.col("n_erros") == 0)
 
 
 def _message_text() -> Column:
@@ -324,7 +361,8 @@ def layout_messages(lines: DataFrame, filings: DataFrame | None = None) -> DataF
 
 def top_messages(lines: DataFrame, filings: DataFrame | None = None, n: int = 20) -> DataFrame:
     """First ``n`` formatted messages per filing, and how many more there are."""
-    errors = all_errors(lines, filings)
+    # Stored, for it is asked twice.
+    errors = cut(all_errors(lines, filings))
     total = errors.groupBy("filing_id").agg(F.count(F.lit(1)).alias("_total"))
     first = ordered.top_n(errors, ["filing_id"], ["fase", "line_no", "ordem", "mensagem"], n, "posicao")
     return first.join(total, "filing_id").select(

@@ -62,6 +62,46 @@ def test_slices_match_whole_filing(spark):
     assert {r.line_no: r.own for r in out.collect()} == expect
 
 
+def test_dependencies_over_tiny_slices(spark):
+    """Cross-line errors and verdicts equal a plain pass over each filing, wherever slices cut its segments."""
+    rnd = random.Random(11)
+    make = {"EM": lambda: EM, "TN": lambda: tn(pickup=rnd.choice("PA"), delivery=rnd.choice("PA")), "CC": cc,
+            "TI": lambda: ti(rnd.choice("PA")), "PI": pi, "LR": lambda: sub("LR"), "LE": lambda: sub("LE"), "LA": lambda: sub("LA")}
+    files = [[make[rnd.choice(list(make))]() for _ in range(size)] for size in (1, 2, 5, 40, 120)]
+    files += [[EM] + [sub("LR")] * 20 + [tn(pickup="A")] + [cc()] * 20 + [sub("LR")] + [ti("A")] + [cc()] * 20 + [pi(), sub("LA")]]
+    expect = []
+    for i, rows in enumerate(files):
+        add = lambda no, tipo, text, i=i: expect.append((f"F{i}", no, tipo, text))
+        if rows[0][:2] != "EM":
+            add(1, rows[0][:2], "primeira linha deve ser EM.")
+        heads = sum(r[:2] == "EM" for r in rows)
+        if heads != 1:
+            add(1, "EM", f"arquivo deve conter exatamente 1 linha EM, encontrado: {heads}.")
+        owner, has, need = None, set(), set()
+        for no, row in enumerate([*rows, "EM"], 1):
+            kind = row[:2]
+            if kind in N.MAIN_TYPES:
+                for k in sorted(need - has):
+                    add(owner[0], owner[1], N.SEGMENT_MESSAGE[k])
+                owner, has, need = (no, kind), set(), set()
+                if kind == "TN":
+                    need = {k for k, at in (("LR", 274), ("LE", 275)) if row[at] == "A"}
+                elif kind == "TI":
+                    need = {"PI"} | ({"LA"} if row[108] == "A" else set())
+            has.add(kind)
+            if kind in ("PI", "LA") and (owner is None or owner[1] != "TI"):
+                add(no, kind, f"subsecao {kind} deve estar vinculada a uma linha TI anterior.")
+    df = lines(spark, *files)
+    for rows in (3, ordered.SLICE_ROWS):
+        got = N.dependency_errors(df, rows=rows).select("filing_id", "line_no", "tipo", "mensagem").collect()
+        assert sorted(map(tuple, got)) == sorted(expect)
+    errors = [r.filing_id for r in N.all_errors(df).collect()]
+    status = {r.filing_id: (r.total_linhas, r.n_erros, r.valido) for r in N.filing_status(df).collect()}
+    assert status == {f"F{i}": (len(rows), errors.count(f"F{i}"), f"F{i}" not in errors) for i, rows in enumerate(files)}
+    listed = spark.createDataFrame([("F0",), ("F9",)], "filing_id string")
+    assert {r.filing_id: (r.total_linhas, r.n_erros) for r in N.filing_status(df, listed).collect()}["F9"] == (0, 1)
+
+
 def test_read_files(spark, tmp_path):
     write(tmp_path / "bom.txt", b"\xef\xbb\xbf" + EM.encode() + b"\r\n" + tn().encode() + b"\n")
     write(tmp_path / "legacy.txt", "EM\nTN çã €\rX\n\nfim".encode("cp1252"))
