@@ -56,6 +56,14 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """name, with underscores put before it until no column of df is called so, upper and lower case being one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def few(df: DataFrame) -> DataFrame:
     """A narrow df in as many partitions as the cluster has cores at most, so that it is written as few files.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cargofile.llm.common import completed, few, fresh, hot_join, last_complete, spread
+from cargofile.llm.common import completed, few, fresh, hot_join, last_complete, spread, unused
 
 
 @dataclass(frozen=True)
@@ -131,14 +131,16 @@ class BlobLedger:
         """versions without text, with `found`: array of (start, nr, stop, kind) by start, then rule order; null if none.
 
         A text's matches are gathered in one array, which the text's length bounds. Texts at many paths are joined where
-        the paths lie (hot_join), so copies do not meet in a task.
+        the paths lie (hot_join), so copies do not meet in a task. A column of versions called `found` is replaced, all
+        others pass through whatever their names.
         """
         order = F.create_map(*[x for k, r in enumerate(self.rules) for x in (F.lit(r.kind), F.lit(k))])
-        paths = versions.withColumn("_blob", blob_id(F.col("text"))).drop("text")
-        per = self.findings().groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.collect_list(
+        blob, often = unused("_blob", versions), unused("_often", versions)
+        paths = versions.withColumn(blob, blob_id(F.col("text"))).drop("text", "found")
+        per = self.findings().groupBy(F.col("blob").alias(blob)).agg(F.sort_array(F.collect_list(
             F.struct("start", order[F.col("kind")].alias("nr"), "stop", "kind"))).alias("found"))
-        often = paths.groupBy("_blob").agg(F.count("*").alias("_often"))
-        return hot_join(paths, per.join(often, "_blob"), ["_blob"], "_often", "left").drop("_blob")
+        times = paths.groupBy(blob).agg(F.count("*").alias(often))
+        return hot_join(paths, per.join(times, blob), [blob], often, "left").drop(blob)
 
 
 def spans_text(found: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cargofile.llm.common import cut, hot_join
+from cargofile.llm.common import cut, hot_join, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 4
@@ -117,10 +117,11 @@ def judged_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int
     columns named like a result are replaced.
     """
     new = ("host", "path", "rule", "verdict", "score")
-    rows = pages.select([c for c in pages.columns if c not in (*new, "_url")]).withColumn(
-        "_url", F.coalesce(F.col("url").cast("string"), F.lit("")))
+    own, guess = unused("_url", pages), unused("guess", pages)
+    rows = pages.select([F.col(f"`{c}`") for c in pages.columns if c.lower() not in new]).withColumn(
+        own, F.coalesce(F.col("url").cast("string"), F.lit("")))
     host, path = host_and_path(F.col("_url"))
-    urls = cut(rows.groupBy("_url").agg(F.count("*").alias("n")).withColumn("host", host).withColumn("path", path))
+    urls = cut(rows.groupBy(F.col(own).alias("_url")).agg(F.count("*").alias("n")).withColumn("host", host).withColumn("path", path))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumn("rule", rule).withColumn("verdict", verdict)
     held = F.crc32("_url") % 5 == 0
@@ -139,7 +140,8 @@ def judged_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int
         "_url", "n", "verdict", "score"))
     limit = threshold(scores.where("verdict is not null"))
     found = scores.where("verdict is null").select(
-        "_url", "n", "score", F.when(F.col("score") >= limit, "allow").otherwise("block").alias("guess"))
-    out = hot_join(rows, found, ["_url"], "n", "left").withColumn("host", host).withColumn("path", path)
+        F.col("_url").alias(own), "n", "score", F.when(F.col("score") >= limit, "allow").otherwise("block").alias(guess))
+    host, path = host_and_path(F.col(own))
+    out = hot_join(rows, found, [own], "n", "left").withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, "guess")).drop("_url", "guess")
+    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, guess)).drop(own, guess)

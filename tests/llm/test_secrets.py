@@ -49,6 +49,21 @@ def test_only_unseen_texts_and_rule_versions_are_scanned(spark, frame):
     assert spans[20] == "assign:2:24" and spans[22] == "hex:39:63"
 
 
+def test_columns_named_like_inner_ones_pass_through(spark, frame):
+    names = ("_blob", "_often", "blob", "start", "__blob", "_BLOB")
+    df = frame(SECRETS).drop("lang").withColumnsRenamed({"source": "found"})
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = df.withColumns({n: F.lit(n) for n in names})
+        ledger = BlobLedger(spark)
+        ledger.update(df)
+        rows = ledger.by_path(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert {r.doc_id for r in rows} == {d for d, _ in SECRETS} and all(r[n] == n for r in rows for n in names)
+    assert {r.doc_id: len(r.found or []) for r in rows}[25] == 0 and any(r.found for r in rows)
+
+
 def test_empty_table(spark, frame):
     ledger = BlobLedger(spark)
     ledger.update(frame([]))

@@ -44,6 +44,13 @@ def test_hosts_paths_and_rules_equal_plain_code(pages):
     assert judged_urls(pages.limit(0)).collect() == []
 
 
+def test_columns_named_like_inner_ones_pass_through(pages):
+    names = ("guess", "_url", "n", "gram", "_guess")
+    want = {(r.page_id, r.verdict, r.score) for r in judged_urls(pages).collect()}
+    rows = judged_urls(pages.selectExpr("*", *[f"'{c}' as {c}" for c in names])).collect()
+    assert {(r.page_id, r.verdict, r.score) for r in rows} == want and all(r[c] == c for r in rows for c in names)
+
+
 def witten_bell(counts, gram):
     p = FLOOR
     for k in range(len(gram)):
