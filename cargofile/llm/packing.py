@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -17,50 +18,77 @@ LENGTH = 2048
 END = 1
 CACHED_WORDS = 600_000
 CACHED_CHARS = 48
+# Letters and the signs behind them: each of the two is one piece of the vocabulary's splitting, whatever stands around it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&]*)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _tokenizer(path: str):
-    """Tokenizer and word cache of this Python process; kept between tasks."""
+    """Tokenizer, word cache, id of the mark and which ids end a piece, of this Python process; kept between tasks."""
     keep = sys.modules.setdefault("cargofile_kept_tokenizers", types.ModuleType("cargofile_kept_tokenizers"))
     if path not in keep.__dict__:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         mark = tok.encode("\x01", add_special_tokens=False).ids
-        keep.__dict__[path] = (tok, {}, mark[0] if len(mark) == 1 else None)
+        ends = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
+        ends[[i for w, i in tok.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
+        keep.__dict__[path] = (tok, {"new": {}, "old": {}}, mark[0] if len(mark) == 1 else None, ends)
     return keep.__dict__[path]
 
 
+def _encode_words(tok, words: list[str], table: dict[str, bytes], between: str, cut) -> list[str]:
+    """Puts the ids of words into table, encoding many at once; cut(ids) has each word's first and last position.
+
+    Returns the words of calls in which cut found another number of them.
+    """
+    missed = []
+    for k in range(0, len(words), 512):
+        some = words[k:k + 512]
+        ids = np.array(tok.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+        first, last = cut(ids)
+        if len(first) == len(some):
+            data = ids.tobytes()
+            table.update(zip(some, [data[a:b] for a, b in zip((first * 4).tolist(), (last * 4).tolist())]))
+        else:
+            missed += some
+    return missed
+
+
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit bytes, equal to encode(text, add_special_tokens=False).
 
-    The vocabulary's pieces never cross white space, so words are encoded once and kept (up to CACHED_WORDS). Texts with
-    a separator on which white space rules differ, or with the mark used between new words, are encoded whole.
+    The vocabulary's pieces never cross white space, so words are encoded once and kept (CACHED_WORDS and those of one call,
+    at most; those last used longest ago go). A plain word is put together from its letters in lower case and the signs
+    behind them. Texts with a separator on which white space rules differ, or with the mark used between other new words,
+    are encoded whole.
     """
-    tok, kept, mark = _tokenizer(path)
-    words, new = [], {}
-    for text in texts:
-        if mark is None or any(c in text for c in "\x01\x1c\x1d\x1e\x1f\x85"):
-            words.append(None)
-            continue
-        mine = text.split()
-        words.append(mine)
-        new.update((w, None) for w in mine if w not in kept)
-    if len(kept) + len(new) > CACHED_WORDS:
-        kept.clear()
-        new = {w: None for mine in words if mine for w in mine}
-    fresh, todo = {}, list(new)
-    for k in range(0, len(todo), 512):
-        some = todo[k:k + 512]
-        ids = np.array(tok.encode_batch_fast([" \x01 ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-        for w, part in zip(some, np.split(ids, np.nonzero(ids == mark)[0])):
-            data = part.tobytes()
-            fresh[w] = data[4:] if w is not some[0] else data
-    table = kept
-    kept.update((w, v) for w, v in fresh.items() if len(w) <= CACHED_CHARS and len(kept) < CACHED_WORDS)
-    if any(w not in kept for w in fresh):
-        table = {**{w: kept[w] for mine in words if mine for w in mine if w in kept}, **fresh}
+    tok, kept, mark, ends = _tokenizer(path)
+    words = [None if mark is None or any(c in text for c in "\x01\x1c\x1d\x1e\x1f\x85") else text.split() for text in texts]
+    # Two halves: when the newer one is full it becomes the older one, so that words still in use are not encoded again.
+    if len(kept["new"]) > CACHED_WORDS // 2:
+        kept["old"], kept["new"] = kept["new"], {}
+    old, table = kept["old"], kept["new"]
+    lacking = set().union(*filter(None, words)).difference(table)
+    table.update((w, old[w]) for w in lacking if w in old)
+    todo = [w for w in lacking if w not in old]
+    plain = {w: m.groups() for w, m in zip(todo, map(PLAIN.fullmatch, todo)) if m}
+    plain = {w: (letters.lower(), signs) for w, (letters, signs) in plain.items()}
+    parts = {p for pair in plain.values() for p in pair if p and p not in table}
+    table.update((p, old[p]) for p in parts if p in old)
+    parts = [p for p in parts if p not in old]
+
+    def by_end(ids):
+        last = np.flatnonzero(ends[ids]) + 1
+        return np.append(0, last[:-1]), last
+
+    def by_mark(ids):
+        at = np.flatnonzero(ids == mark)
+        return np.append(0, at + 1), np.append(at, len(ids))
+
+    missed = _encode_words(tok, parts, table, " ", by_end)
+    _encode_words(tok, [w for w in todo if w not in plain] + missed, table, " \x01 ", by_mark)
+    table.update([(w, table[letters] + table[signs] if signs else table[letters]) for w, (letters, signs) in plain.items()])
     out = []
     for text, mine in zip(texts, words):
         if mine is None:
@@ -68,6 +96,9 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
             out.append(np.array(ids, "<u4").tobytes())
         else:
             out.append(b"".join(map(table.__getitem__, mine)))
+    for w in {*todo, *parts}:
+        if len(w) > CACHED_CHARS:
+            del table[w]
     return out
 
 

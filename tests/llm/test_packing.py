@@ -1,4 +1,6 @@
 import os
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -28,6 +30,26 @@ def test_words_encoded_apart_equal_the_whole(tokenizer, corner_texts):
         plain_ids(tokenizer, t).tolist() for t in texts]
 
 
+def test_words_in_use_are_not_encoded_again_when_the_cache_is_full(tokenizer, monkeypatch):
+    monkeypatch.setattr("cargofile.llm.packing.CACHED_WORDS", 40)
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **kw)
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+    monkeypatch.setitem(sys.modules, "cargofile_kept_tokenizers", types.ModuleType("cargofile_kept_tokenizers"))
+    monkeypatch.setattr("tokenizers.Tokenizer", types.SimpleNamespace(from_file=lambda path: Counting()))
+    for k in range(30):
+        text = "Always here, DON'T go. " + " ".join(f"w{k}x{i}" for i in range(10))
+        assert encoded([text], vocabulary())[0] == plain_ids(tokenizer, text).tobytes()
+    assert sum(t.split().count("here") for t in asked) == 1
+
+
 def test_every_id_lies_in_one_piece_and_sequences_have_no_gap(frame, tokenizer, corner_texts):
     rows = pack(frame(corner_texts), vocabulary(), length=64).collect()
     by_text = {}
