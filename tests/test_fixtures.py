@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from cargofile.plans import fixtures, inputs
+from cargofile.sources import shared
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,22 @@ def test_texts_are_not_shuffled(spark, small):
     assert dealt and not any("value" in line or "linhas" in line for line in dealt)
     keys = fixtures.freight_keys(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "INDÚSTRIA" not in keys and "CLIENTE" not in keys
+
+
+def test_shuffle_partitions_of_inputs_grow_with_the_rows(spark, small, monkeypatch):
+    """All partitions asked for while an input is built and stored, and none of them afterwards."""
+    name = "spark.sql.shuffle.partitions"
+    before, seen = spark.conf.get(name), []
+    monkeypatch.setattr(shared, "TASK_ROWS", 5)
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+    def build(spark, sf):
+        seen.append(int(spark.conf.get(name)))
+        return spark.range(3)
+
+    assert inputs.stored(spark, small, "probe", build).count() == 3
+    assert seen == [-(-rows // 5)] and seen[0] > int(before) and spark.conf.get(name) == before
+    with pytest.raises(ValueError):
+        with shared.sized(spark, 10 ** 9):
+            raise ValueError
+    assert spark.conf.get(name) == before

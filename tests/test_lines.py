@@ -6,7 +6,7 @@ import pytest
 from helpers import EM, P, cc, lines, pi, sub, ti, tn, write
 
 from cargofile.operators import lines as N, ordered
-from cargofile.sources import filings as S
+from cargofile.sources import filings as S, shared
 
 
 def messages(spark, *files):
@@ -128,3 +128,12 @@ def test_file_split_over_blocks(spark, tmp_path):
     write(tmp_path / "big.txt", b"".join(b"TN%07d\n" % i for i in range(1, n + 1)))
     rows = S.read_filing_lines(spark, str(tmp_path), range_bytes=20_000).collect()
     assert len(rows) == n and all(int(r.value[2:]) == r.line_no for r in rows)
+
+
+def test_segments_are_sorted_in_partitions_that_grow_with_the_lines(spark, monkeypatch):
+    name, before, seen = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"), []
+    monkeypatch.setattr(shared, "TASK_ROWS", 1)
+    monkeypatch.setattr(N, "cut", lambda df: seen.append(int(spark.conf.get(name))) or shared.cut(df))
+    df = lines(spark, [EM, tn(pickup="A"), cc(), sub("LR"), ti(), pi()])
+    assert N.dependency_errors(df).count() == 0
+    assert seen == [6] and spark.conf.get(name) == before
