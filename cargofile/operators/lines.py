@@ -22,21 +22,26 @@ def with_type(lines: DataFrame) -> DataFrame:
     return lines.withColumn("tipo", F.when(F.length(v) >= 2, F.upper(F.left(v, F.lit(2)))).otherwise(""))
 
 
-def _fields(tipo: str) -> list[Column]:
-    """The positional fields of a line of one type; short lines are padded first."""
+def _padded(*types: str) -> Column:
+    """The line, padded to the width of its type where it is shorter and of one of ``types``."""
     v = F.col("value")
-    padded = F.when(F.length(v) < WIDTH[tipo], F.rpad(v, WIDTH[tipo], " ")).otherwise(v)
+    return F.coalesce(*[
+        F.when((F.col("tipo") == t) & (F.length(v) < WIDTH[t]), F.rpad(v, WIDTH[t], " ")) for t in types], v)
+
+
+def _fields(tipo: str) -> list[Column]:
+    """The positional fields of a _padded() line of one type."""
     fields = []
     for f in LAYOUT[tipo]:
-        raw = F.substring(padded, f.start, f.length) if f.length else F.expr(
-            f"substr(CASE WHEN length(value) < {WIDTH[tipo]} THEN rpad(value, {WIDTH[tipo]}, ' ') ELSE value END, {f.start})")
+        raw = F.substring("value", f.start, f.length) if f.length else F.expr(f"substr(value, {f.start})")
         fields.append((D.digits_only(raw) if f.kind == "doc" else X.strip(raw)).alias(f.name))
     return fields
 
 
 def parse_lines(lines: DataFrame, tipo: str) -> DataFrame:
     """Positional fields of all lines of one type (P1); short lines are padded first."""
-    return with_type(lines).filter(F.col("tipo") == tipo).select("filing_id", "line_no", *_fields(tipo))
+    typed = with_type(lines).filter(F.col("tipo") == tipo).withColumn("value", _padded(tipo))
+    return typed.select("filing_id", "line_no", *_fields(tipo))
 
 
 ROUTES = ("TN", "CC", "TI", "PI")
@@ -51,7 +56,8 @@ def route_by_type(lines: DataFrame, path: str) -> tuple[dict[str, DataFrame], di
     """
     tipo = F.col("tipo")
     saida = F.when(F.col("value").isNull(), "invalid").when(tipo.isin(*ROUTES), F.lower(tipo)).otherwise("ignorada")
-    routed = with_type(lines).withColumn("saida", saida).select(
+    # Padded once a line; fields that pad for themselves cost several times as much.
+    routed = with_type(lines).withColumns({"saida": saida, "value": _padded(*ROUTES)}).select(
         "filing_id", "line_no", "saida", *[F.when(tipo == t, F.struct(*_fields(t))).alias(t.lower()) for t in ROUTES])
     seen, names = Observation(), [t.lower() for t in ROUTES] + ["invalid", "ignorada"]
     counted = routed.observe(seen, *[F.count_if(F.col("saida") == n).alias(n) for n in names])
